@@ -11,6 +11,8 @@ from gaugework.llm.scratch import materialize
 CLASSES = 1 << 16
 #: Lexicon subsets: LEVELS inclusion rates, each a quarter of the one before, with SUBSETS subsets each.
 LEVELS, SUBSETS = 6, 16
+#: Terms that the band must leave of a text.
+FEWEST = 8
 #: Hexadecimal digits kept of each subset's hash.
 DIGITS = 6
 
@@ -44,30 +46,31 @@ def lexicon(docs: DataFrame, least_df: int = 2, most_share: float = 0.05) -> Col
     return F.split(F.lit(",".join(str(bits.get(i, 0)) for i in range(CLASSES // 32))), ",").cast("array<bigint>")
 
 
+def _quarter(terms_of_level: Column, low: int) -> Column:
+    return F.filter(terms_of_level, lambda t: F.shiftright(t, low).bitwiseAND(F.lit(3).cast("long")) == 0)
+
+
+def _subset_hashes(terms_of_level: Column) -> Column:
+    """One hash of the sorted terms in each subset, 0 where there are none."""
+    own = lambda t: F.shiftright(t, 20).bitwiseAND(F.lit(SUBSETS - 1).cast("long"))
+    one = lambda j: F.aggregate(terms_of_level, F.lit(0).cast("long"), lambda h, t: F.when(own(t) == j, F.xxhash64(h, t)).otherwise(h))
+    return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one)
+
+
 def fingerprint(text: Column, band: Column) -> Column:
     """Number of kept terms, then one hash for each lexicon subset (a dot where the text has none of its terms).
 
     A term's own bits say to which subset it belongs at each level, so a subset is a random part of the lexicon. Its
-    hash covers the sorted distinct terms of the text in it. A text with no term in the band keeps all its terms
+    hash covers the sorted distinct terms of the text in it. A text with fewer than FEWEST terms in the band keeps all its terms
     instead. Equal texts have equal fingerprints; a null or empty text has the count 0 and dots.
     """
     every = terms(text)
     kept = F.filter(every, lambda t: F.get(band, F.shiftright(term_class(t), 5)).bitwiseAND(_bit(term_class(t))) != 0)
-    used = F.when(F.size(kept) > 0, kept).otherwise(every)
-    parts = []
-    level = used
-    for k in range(LEVELS):
-        if k:
-            low = 2 * (k - 1)
-            level = F.filter(level, lambda t, low=low: F.shiftright(t, low).bitwiseAND(F.lit(3).cast("long")) == 0)
-        parts.append(level)
-    hashed = [
-        F.transform(
-            F.sequence(F.lit(0), F.lit(SUBSETS - 1)),
-            lambda j, one=one: F.aggregate(one, F.lit(0).cast("long"), lambda h, t: F.when(F.shiftright(t, 20).bitwiseAND(F.lit(SUBSETS - 1).cast("long")) == j, F.xxhash64(h, t)).otherwise(h)),
-        )
-        for one in parts
-    ]
+    used = F.when(F.size(kept) >= FEWEST, kept).otherwise(every)
+    parts = [used]
+    for k in range(1, LEVELS):
+        parts.append(_quarter(parts[-1], 2 * (k - 1)))
+    hashed = [_subset_hashes(p) for p in parts]
     shown = F.transform(F.concat(*hashed), lambda h: F.when(h == 0, F.lit(".")).otherwise(F.substring(F.lpad(F.lower(F.hex(h)), 16, "0"), 1, DIGITS)))
     return F.concat_ws(" ", F.size(used).cast("string"), F.concat_ws(" ", shown))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugework.llm import bpe, imatch, mixing, quality_rules, secret_scan
+from gaugework.llm import bpe, imatch, mixing, quality_rules, secret_scan, substring_dedup, suffix_dedup
 
 #: The vocabulary file of op10; a parameter of the operator.
 TOKENIZER = "word_bpe_49k.json"
@@ -23,6 +23,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup_substrings(_documents(spark, sf_dir).select("doc_id", "text"), 200, keep_first=False)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secret_scan.scan_secrets(_documents(spark, sf_dir).select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -35,6 +40,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup_passages(_documents(spark, sf_dir).select("doc_id", "text"), 13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
+
+
 def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edit_likeness(_documents(spark, sf_dir)).drop("next_doc_id")
 
@@ -52,8 +62,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_quality_rules": op3_quality_rules,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_imatch": op8_imatch,
     "op9_mixing": op9_mixing,
     "op10_bpe": op10_bpe,
