@@ -4,17 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugework.llm import bpe, mixing, secret_scan
+from gaugework.llm import bpe, jaccard_join, mixing, secret_scan, toxicity
 from gaugework.llm.queries import tokenizer_path
 from gaugework.llm.scratch import materialize
 
-STAGES = []
 
-#: The stages decode, train and tokenize, which SQL cannot express.
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier scores below 0.5."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model, "__score").where("__score < 0.5").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of 0.8 between sets of five-word shingles join."""
+    return jaccard_join.one_of_each(docs, k=5, percent=80)
+
+
+def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with secrets in their texts replaced by marks."""
+    return secret_scan.redact_secrets(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix of sources takes each."""
+    return mixing.mixed_rows(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the documents, and digests of the ids and of the text that they decode to."""
+    return bpe.bpe_digests(docs.select("doc_id", "lang", "source", "text"), tokenizer_path(), with_ids=True)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near copies", drop_near_copies),
+    ("secrets", remove_secrets),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
+
+#: The stages train, decode and tokenize, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table ``documents``, each written to the shared folder and read back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "_"))

@@ -349,15 +349,18 @@ def bpe_decode(rows: DataFrame, path: str, readable: bool = False) -> DataFrame:
     return _columns(rows, path, [("text", "string", pa.string())], "ids", each)
 
 
-def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` with, in place of ``text``: ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``; see ``bpe_encode``."""
+def bpe_digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """``docs`` with, in place of ``text``: ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` (and ``ids``, if asked
+    for); see ``bpe_encode``."""
 
-    def each(enc: Encoder, text) -> tuple[int, str, str]:
+    def each(enc: Encoder, text) -> tuple:
         ids = enc.encode(text or "")
         machine, decoded = TokenText(enc.table), hashlib.sha256()
         for lo in range(0, len(ids), 4096):
             decoded.update(machine.feed(ids[lo : lo + 4096]).encode())
-        return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), decoded.hexdigest()
+        found = len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), decoded.hexdigest()
+        return (*found, ids) if with_ids else found
 
     made = [("n_tokens", "bigint", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())]
+    made += [("ids", "array<int>", pa.list_(pa.int32()))] * with_ids
     return _columns(docs, path, made, "text", each)

@@ -253,18 +253,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` of each document (``doc_id``, ``text``), by links of at least
-    ``percent`` Jaccard similarity between sets of distinct ``k``-word shingles (A to Z lower-cased).
-
-    The component's id is the smallest doc_id that links reach, the document's own included. With fewer than ``k``
-    words the whole sequence is the one shingle; a null text or one without words has none and is linked with nothing.
-    A null doc_id counts last: such a document has the smallest id it reaches, null if there is none. Repeated rows and
-    exact copies are one set in the join, and come out each. An empty table gives an empty result; other columns are left
-    out. No pair is lost: the shingles that are compared first are a sufficient prefix, and large buckets are split, not cut.
-    """
+def _components_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Rows (id, tag, n, component) of keyed documents; see ``link_components``."""
     spark = docs.sparkSession
-    docs = repeats.keyed(docs)
     crowd = spark.sparkContext.broadcast(crowding(docs, k))
     sets = materialize(docs.select("id", "tag", "text").mapInArrow(_sets(crowd, k, percent), "id long, tag int, n long, code long, prefix array<long>"), "sets")
     one = F.struct("id", "tag", "n", "prefix")
@@ -287,6 +278,38 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     named = kinds.select("code", "id").join(labels.hint("shuffle_hash"), "code", "left").select("code", "id", F.coalesce("label", "code").alias("label"))
     least = named.groupBy("label").agg(F.min("id").alias("component"))
     names = named.join(least.hint("merge"), "label").select("code", "component")
-    shown = lambda c: F.when(c != repeats.LAST_ID, c)
-    out = sets.select("id", "n", "code").join(names.hint("merge"), "code", "left")
-    return out.select(shown(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), shown(F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))).alias("component_id"))
+    out = sets.select("id", "tag", "n", "code").join(names.hint("merge"), "code", "left")
+    return out.select("id", "tag", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+
+
+def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` of each document (``doc_id``, ``text``), by links of at least
+    ``percent`` Jaccard similarity between sets of distinct ``k``-word shingles (A to Z lower-cased).
+
+    The component's id is the smallest doc_id that links reach, the document's own included. With fewer than ``k``
+    words the whole sequence is the one shingle; a null text or one without words has none and is linked with nothing.
+    A null doc_id counts last: such a document has the smallest id it reaches, null if there is none. Repeated rows and
+    exact copies are one set in the join, and come out each. An empty table gives an empty result; other columns are left
+    out. No pair is lost: the shingles that are compared first are a sufficient prefix, and large buckets are split, not cut.
+    """
+    shown = lambda c: F.when(F.col(c) != repeats.LAST_ID, F.col(c))
+    out = _components_of(repeats.keyed(docs), k, percent)
+    return out.select(shown("id").alias("doc_id"), F.col("n").alias("n_shingles"), shown("component").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs``, all columns, with one row for each component of ``link_components``: the one with the smallest doc_id.
+
+    A document without words is a component of its own. Of repeated rows (same doc_id and text) one stays.
+    """
+    parts = _components_of(repeats.keyed(docs), k, percent)
+    first = parts.groupBy("component", F.when(F.col("n") > 0, F.lit(0)).otherwise(F.xxhash64("id", "tag")).alias("own")).agg(F.min(F.struct("id", "tag")).alias("one"))
+    counts = parts.groupBy("id", "tag").agg(F.count("*").alias("copies"))
+    stay = materialize(first.select(F.col("one.id").alias("__id"), F.col("one.tag").alias("__tag")).join(counts.withColumnsRenamed({"id": "__id", "tag": "__tag"}).hint("shuffle_hash"), ["__id", "__tag"]), "stay")
+    keyed = docs.withColumn("__id", F.coalesce("doc_id", F.lit(repeats.LAST_ID))).withColumn("__tag", F.hash(F.coalesce("text", F.lit(""))))
+    kept = keyed.join(stay.hint("shuffle_hash"), ["__id", "__tag"])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if stay.where("copies > 1").isEmpty():
+        return kept.select(*columns)
+    single = kept.where("copies = 1").select(*columns)
+    return single.unionByName(kept.where("copies > 1").dropDuplicates(["__id", "__tag"]).select(*columns))
