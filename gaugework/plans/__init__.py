@@ -1 +1,8 @@
+"""Example tables, shared patterns, and the registered queries with their SQL."""
 
+
+def registries() -> list:
+    """All registries of queries."""
+    from gaugework.plans import scoring_queries
+
+    return [scoring_queries.R]
