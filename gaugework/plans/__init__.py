@@ -3,6 +3,6 @@
 
 def registries() -> list:
     """All registries of queries."""
-    from gaugework.plans import scoring_queries
+    from gaugework.plans import explain_queries, profile_queries, scoring_queries, slice_queries, table_queries
 
-    return [scoring_queries.R]
+    return [m.R for m in (scoring_queries, profile_queries, table_queries, slice_queries, explain_queries)]
