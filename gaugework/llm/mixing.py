@@ -110,8 +110,8 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as many times as ``mix`` takes it."""
     taken = mix(docs, **options)
     # Repeated rows share a key; each gets as many copies as one of them, the most.
-    taken = taken.groupBy("row_key").agg(F.max("mix_copies").alias("mix_copies")).where("mix_copies > 0")
+    taken = taken.groupBy(F.col("row_key").alias("__taken")).agg(F.max("mix_copies").alias("__copies")).where("__copies > 0")
     keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    out = keyed.join(taken.hint("shuffle_hash"), F.col("__key") == F.col("row_key"))
-    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
+    out = keyed.join(taken.hint("shuffle_hash"), F.col("__key") == F.col("__taken"))
+    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
