@@ -46,33 +46,35 @@ def lexicon(docs: DataFrame, least_df: int = 2, most_share: float = 0.05) -> Col
     return F.split(F.lit(",".join(str(bits.get(i, 0)) for i in range(CLASSES // 32))), ",").cast("array<bigint>")
 
 
-def _quarter(terms_of_level: Column, low: int) -> Column:
-    return F.filter(terms_of_level, lambda t: F.shiftright(t, low).bitwiseAND(F.lit(3).cast("long")) == 0)
-
-
-def _subset_hashes(terms_of_level: Column) -> Column:
-    """One hash of the sorted terms in each subset, 0 where there are none."""
+def _subset_hashes(used: Column, level: int) -> Column:
+    """One hash of the sorted terms in each subset of a level, 0 where there are none: one pass over the terms, in which
+    each term is hashed into the subset that its bits name."""
     own = lambda t: F.shiftright(t, 20).bitwiseAND(F.lit(SUBSETS - 1).cast("long"))
-    one = lambda j: F.aggregate(terms_of_level, F.lit(0).cast("long"), lambda h, t: F.when(own(t) == j, F.xxhash64(h, t)).otherwise(h))
-    return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one)
+    if level:
+        used = F.filter(used, lambda t: t.bitwiseAND(F.lit(4**level - 1).cast("long")) == 0)
+    none = F.array(*[F.lit(0).cast("long")] * SUBSETS)
+    return F.aggregate(used, none, lambda acc, t: F.transform(acc, lambda h, j: F.when(own(t) == j, F.xxhash64(h, t)).otherwise(h)))
 
 
-def fingerprint(text: Column, band: Column) -> Column:
-    """Number of kept terms, then one hash for each lexicon subset (a dot where the text has none of its terms).
+def with_fingerprints(df: DataFrame, columns: dict[str, str], band: Column) -> DataFrame:
+    """``df`` with a fingerprint for each text column: number of kept terms, then one hash for each lexicon subset (a dot
+    where the text has none of its terms).
 
     A term's own bits say to which subset it belongs at each level, so a subset is a random part of the lexicon. Its
-    hash covers the sorted distinct terms of the text in it. A text with fewer than FEWEST terms in the band keeps all its terms
-    instead. Equal texts have equal fingerprints; a null or empty text has the count 0 and dots.
+    hash covers the sorted distinct terms of the text in it. A text with fewer than FEWEST terms in the band keeps all its
+    terms instead. Equal texts have equal fingerprints; a null or empty text has the count 0 and dots.
     """
-    every = terms(text)
-    kept = F.filter(every, lambda t: F.get(band, F.shiftright(term_class(t), 5)).bitwiseAND(_bit(term_class(t))) != 0)
-    used = F.when(F.size(kept) >= FEWEST, kept).otherwise(every)
-    parts = [used]
-    for k in range(1, LEVELS):
-        parts.append(_quarter(parts[-1], 2 * (k - 1)))
-    hashed = [_subset_hashes(p) for p in parts]
-    shown = F.transform(F.concat(*hashed), lambda h: F.when(h == 0, F.lit(".")).otherwise(F.substring(F.lpad(F.lower(F.hex(h)), 16, "0"), 1, DIGITS)))
-    return F.concat_ws(" ", F.size(used).cast("string"), F.concat_ws(" ", shown))
+    inside = lambda t: F.get(band, F.shiftright(term_class(t), 5)).bitwiseAND(_bit(term_class(t))) != 0
+    names = list(columns)
+    # Each step is a projection of its own that is used more than once, so that no list is made again and again.
+    df = df.withColumns({f"__every_{c}": terms(F.col(c)) for c in names})
+    df = df.withColumns({f"__kept_{c}": F.filter(f"__every_{c}", inside) for c in names})
+    df = df.withColumns({f"__used_{c}": F.when(F.size(f"__kept_{c}") >= FEWEST, F.col(f"__kept_{c}")).otherwise(F.col(f"__every_{c}")) for c in names})
+    shown = lambda h: F.when(h == 0, F.lit(".")).otherwise(F.substring(F.lpad(F.lower(F.hex(h)), 16, "0"), 1, DIGITS))
+    for c in names:
+        hashed = F.concat(*[_subset_hashes(F.col(f"__used_{c}"), k) for k in range(LEVELS)])
+        df = df.withColumn(columns[c], F.concat_ws(" ", F.size(f"__used_{c}").cast("string"), F.concat_ws(" ", F.transform(hashed, shown))))
+    return df.drop(*[f"__{kind}_{c}" for c in names for kind in ("every", "kept", "used")])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -137,9 +139,9 @@ def with_edited(docs: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame, least_df: int = 2, most_share: float = 0.05) -> DataFrame:
     """``doc_id``, ``fingerprint`` of each row of ``docs`` (``doc_id``, ``text``). Nulls and empty texts: see
-    ``fingerprint``. Repeated rows are fingerprinted each; other columns are left out; an empty table gives none."""
+    ``with_fingerprints``. Repeated rows are fingerprinted each; other columns are left out; an empty table gives none."""
     band = lexicon(docs, least_df, most_share)
-    return docs.select("doc_id", fingerprint(F.col("text"), band).alias("fingerprint"))
+    return with_fingerprints(docs.select("doc_id", "text"), {"text": "fingerprint"}, band).select("doc_id", "fingerprint")
 
 
 def edit_likeness(docs: DataFrame, least_df: int = 2, most_share: float = 0.05) -> DataFrame:
@@ -150,13 +152,9 @@ def edit_likeness(docs: DataFrame, least_df: int = 2, most_share: float = 0.05)
     docs = docs.select("doc_id", "text").withColumn("row_key", F.xxhash64("doc_id", "text"))
     band = lexicon(docs, least_df, most_share)
     both = with_edited(docs)
-    prints = both.select(
-        "doc_id", "row_key", "next_key", "next_doc_id", "repeats",
-        F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"),
-        F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"),
-        fingerprint(F.col("text"), band).alias("fingerprint"),
-        fingerprint(F.col("edited"), band).alias("edited_fingerprint"),
-    )
+    sizes = both.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).withColumn("edited_sha256", F.sha2(F.encode("edited", "utf-8"), 256))
+    prints = with_fingerprints(sizes, {"text": "fingerprint", "edited": "edited_fingerprint"}, band)
+    prints = prints.select("doc_id", "row_key", "next_key", "next_doc_id", "repeats", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint")
     prints = materialize(prints, "prints")
     prints = prints.withColumn("nth", F.row_number().over(Window.partitionBy("row_key").orderBy("next_doc_id"))).where(F.col("nth") <= F.col("repeats"))
     other = prints.groupBy(F.col("row_key").alias("next_key")).agg(F.first("fingerprint").alias("next_fingerprint"))
