@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugework.llm.oracles import SQL  # noqa: F401
 from gaugework.llm import bpe, imatch, jaccard_join, mixing, quality_classifier, quality_rules, secret_scan, substring_dedup, suffix_dedup, toxicity
 
 #: The vocabulary file of op10; a parameter of the operator.
@@ -93,5 +94,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_bpe": op10_bpe,
 }
-
-SQL: dict[str, str] = {}
