@@ -2,9 +2,10 @@
 
 Sets meet where they can be linked at all: two sets with a similarity of at least t share one of their first
 n - ceil(t n) + 1 shingles in any fixed order of all shingles. The order here puts shingles of crowded hash classes last.
-All sets that share such a shingle are sent to the bucket of the smallest of them. In a bucket, a signature tree over the
-sets (nodes hold the OR of their sets' token bitmaps and the range of sizes) is traversed against itself, pruning pairs
-of nodes by the largest overlap they could have; what is left is verified on the sets.
+All sets that share such a shingle are sent to the bucket of the smallest of them, as bitmaps of about n bits. In a bucket,
+a signature tree (nodes hold the OR of their sets' token bitmaps and the range of sizes) is traversed against itself,
+pruning pairs of nodes by the largest overlap they could have. Pairs that could be linked join sets into clusters; each
+set is then sent, whole, to the one bucket of its cluster, where another tree leads to the pairs to verify.
 """
 
 from __future__ import annotations
@@ -24,8 +25,11 @@ from gaugework.llm.textblocks import Words, blocks, mixed, signed, utf8_rows
 
 #: Classes of a shingle's hash whose numbers of documents decide the order: a table of fixed size.
 CLASSES = 1 << 16
-#: Shingles of the sets of one bucket; a bucket with more is dealt into blocks, and each pair of blocks is a bucket.
-BUCKET_SHINGLES = 4_000_000
+#: Shingles of the sets of one cluster's bucket, and those that bitmaps of one bucket stand for; a bucket with more is
+#: dealt into blocks, and each pair of blocks is a bucket.
+BUCKET_SHINGLES, BITMAP_SHINGLES = 4_000_000, 100_000_000
+#: Bitmaps show one of so many tokens.
+SAMPLE = 4
 FANOUT = 16
 
 
@@ -86,7 +90,7 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _sets(crowd, k: int, percent: int):
-    """Rows (id, tag, n, code, prefix): size and hash of each document's set, and its first shingles."""
+    """Rows (id, tag, n, code, prefix, bits): size and hash of each document's set, its first shingles, and its bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = crowd.value
@@ -100,129 +104,216 @@ def _sets(crowd, k: int, percent: int):
                 ends = np.concatenate([[0], np.cumsum(np.where(n > 0, prefix_length(n, percent), 0))]).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(h[order][take])))
                 columns = [batch.column(c).slice(a, b - a) for c in ("id", "tag")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n), pa.array(signed(code)), prefix], ["id", "tag", "n", "code", "prefix"])
+                seen = pa.array([sampled_bits(h[cut[i] : cut[i + 1]]) for i in range(b - a)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n), pa.array(signed(code)), prefix, seen], ["id", "tag", "n", "code", "prefix", "bits"])
 
     return run
 
 
+def sampled_bits(tokens: np.ndarray) -> bytes:
+    """A bitmap of the tokens whose hash falls into the sample: a power of two of bits, at least 64 and the set's size."""
+    bits = max(64, 1 << int(max(len(tokens), 1) - 1).bit_length())
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    at = (tokens[(tokens >> np.uint64(40)) % np.uint64(SAMPLE) == 0] % np.uint64(bits)).astype(np.int64)
+    np.bitwise_or.at(out, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    return out.tobytes()
+
+
+def _routes(leader: int, own: int, parts: int) -> list[int]:
+    """The buckets of a member: the leader's own, or one for each pair of blocks that holds the member's block."""
+    if parts <= 1:
+        return [leader]
+    names = [f"{leader} {min(own % parts, other)} {max(own % parts, other)}".encode() for other in range(parts)]
+    return [int.from_bytes(hashlib.blake2b(n, digest_size=8).digest(), "big", signed=True) for n in names]
+
+
 def _deal(k: int):
-    """Rows (route, code, n, tokens) for each bucket that wants a document's set; ``parts`` > 1 deals it into pairs of blocks."""
+    """Rows (route, code, tokens) that send each document's set to its cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = [("route", pa.int64()), ("code", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary())]
+        fields = [("route", pa.int64()), ("code", pa.int64()), ("tokens", pa.binary())]
         for batch in batches:
             for a, b, _, h, cut in _blocks_of(batch, k):
                 rows: list[tuple] = []
-                for i, code, wanted in zip(range(b - a), batch.column("code").slice(a, b - a).to_pylist(), batch.column("wanted").slice(a, b - a).to_pylist(), strict=True):
-                    tokens = h[cut[i] : cut[i + 1]]
-                    for w in wanted:
-                        parts = w["parts"]
-                        own = code % parts
-                        for other in range(parts):
-                            name = f"{w['leader']} {min(own, other)} {max(own, other)}".encode() if parts > 1 else None
-                            route = int.from_bytes(hashlib.blake2b(name, digest_size=8).digest(), "big", signed=True) if name else w["leader"]
-                            rows.append((route, code, len(tokens), tokens.tobytes()))
-                    if len(rows) >= 1000:
-                        yield repeats.emit(rows, fields)
-                        rows = []
+                for i, (code, cluster, parts) in enumerate(zip(*[batch.column(c).slice(a, b - a).to_pylist() for c in ("code", "cluster", "parts")], strict=True)):
+                    body = h[cut[i] : cut[i + 1]].tobytes()
+                    for route in _routes(cluster, code, parts):
+                        rows.append((route, code, body))
                 if rows:
                     yield repeats.emit(rows, fields)
 
     return run
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (route, code, n, bits) that send each member's bitmap to its buckets."""
+    for batch in batches:
+        rows = [(route, code, n, bits) for leader, code, n, bits, parts in zip(*[batch.column(c).to_pylist() for c in ("leader", "code", "n", "bits", "parts")], strict=True) for route in _routes(leader, code, parts)]
+        if rows:
+            yield repeats.emit(rows, [("route", pa.int64()), ("code", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
+
+
+class Components:
+    """Sets of numbers 0 to n - 1 that grow together."""
+
+    def __init__(self, n: int):
+        self.root, self.joined = np.arange(n), 0
+
+    def find(self, i: int) -> int:
+        root = self.root
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    def join(self, a: int, b: int) -> None:
+        if (a := self.find(a)) != (b := self.find(b)):
+            self.root[max(a, b)] = min(a, b)
+            self.joined += 1
+
+    def all(self) -> np.ndarray:
+        while True:
+            up = self.root[self.root]
+            if (up == self.root).all():
+                return up
+            self.root = up
+
+
 class SignatureTree:
-    """Levels of nodes over sets in order; each node covers FANOUT nodes of the level below. Bottom: one node a set."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
-        self.size = np.array([len(s) for s in sets])
-        bits = max(256, 1 << int(8 * self.size.max() - 1).bit_length())
-        bitmap = np.zeros((len(sets), bits // 64), dtype=np.uint64)
-        for i, s in enumerate(sets):
-            at = (s % np.uint64(bits)).astype(np.int64)
-            np.bitwise_or.at(bitmap[i], at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-        #: Tokens of a set that share a bit with another of its tokens.
-        surplus = self.size - np.bitwise_count(bitmap).sum(axis=1).astype(np.int64)
-        self.levels = [(bitmap, self.size, self.size, surplus)]
+    """Levels of nodes over sets in order; each node covers FANOUT nodes of the level below. Bottom: one node a set.
+
+    A node holds the OR of the bitmaps below it, the range of sizes, and the most tokens that a set below does not show as
+    a bit of its own. Two sets share at most the bits that both show, and those that one of them does not show."""
+
+    def __init__(self, bitmap: np.ndarray, size: np.ndarray):
+        hidden = size - np.bitwise_count(bitmap).sum(axis=1).astype(np.int64)
+        self.levels = [(bitmap, size, size, hidden)]
         while len(self.levels[-1][0]) > 1:
-            bitmap, low, high, surplus = self.levels[-1]
+            bitmap, low, high, hidden = self.levels[-1]
             starts = np.arange(0, len(bitmap), FANOUT)
-            self.levels.append((np.bitwise_or.reduceat(bitmap, starts), np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts), np.maximum.reduceat(surplus, starts)))
+            self.levels.append((np.bitwise_or.reduceat(bitmap, starts), np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts), np.maximum.reduceat(hidden, starts)))
 
     def possible(self, level: int, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
         """Whether some set below node a and some below node b could be similar enough, by sizes and largest overlap."""
-        bitmap, low, high, surplus = self.levels[level]
+        bitmap, low, high, hidden = self.levels[level]
         ok = (100 * high[a] >= percent * low[b]) & (100 * high[b] >= percent * low[a])
         out = np.flatnonzero(ok)
         step = max(1, (1 << 21) // bitmap.shape[1])
         for i in range(0, len(out), step):
             x, y = a[out[i : i + step]], b[out[i : i + step]]
-            overlap = np.bitwise_count(bitmap[x] & bitmap[y]).sum(axis=1).astype(np.int64) + np.minimum(surplus[x], surplus[y])
+            overlap = np.bitwise_count(bitmap[x] & bitmap[y]).sum(axis=1).astype(np.int64) + np.minimum(hidden[x], hidden[y])
             ok[out[i : i + step]] = (100 + percent) * overlap >= percent * (low[x] + low[y])
         return ok
 
-    def links(self, percent: int) -> np.ndarray:
-        """The component of each set under links of at least ``percent``. Pairs inside one component are not looked at again."""
-        root = np.arange(len(self.sets))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        def verify(x: int, y: int) -> None:
-            if (p := find(x)) != (q := find(y)):
-                both = len(np.intersect1d(self.sets[x], self.sets[y], assume_unique=True))
-                if 100 * both >= percent * (len(self.sets[x]) + len(self.sets[y]) - both):
-                    root[max(p, q)] = min(p, q)
-
-        for i in range(1, len(self.sets)):  # neighbours in order: copies mostly join here
-            verify(i - 1, i)
+    def _whole(self, together: Components) -> list[np.ndarray]:
+        """For each level, the component of nodes that lie in one as a whole, -1 - node for others."""
+        top = together.all()
+        out = [top]
+        low = high = top
+        for level in range(1, len(self.levels)):
+            starts = np.arange(0, len(low), FANOUT)
+            low, high = np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
+            out.append(np.where(low == high, low, -1 - np.arange(len(low))))
+        return out
+
+    def traverse(self, percent: int, together: Components, visit) -> None:
+        """Calls ``visit`` for pairs of sets that could be similar enough and are not together yet.
+
+        Pairs of nodes that lie in one component are left out. Components only grow, so what is known of them may be a
+        little old: it is brought up to date now and then."""
         stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        whole, joined, since = self._whole(together), together.joined, 0
         while stack:
             level, a, b = stack.pop()
+            since += 1
+            if joined != together.joined and since >= 64:
+                whole, joined, since = self._whole(together), together.joined, 0
+            use = whole[level][a] != whole[level][b]
+            if level:
+                use |= whole[level][a] < 0  # a node of several components, with itself
+            else:
+                use &= a < b
+            a, b = a[use], b[use]
+            keep = self.possible(level, a, b, percent)
             if level == 0:
-                # Bottom: pairs of sets, each pair once, without those already together.
-                tops = np.array([find(i) for i in range(len(root))]) if len(a) > 64 else None
-                use = a < b
-                if tops is not None:
-                    use &= tops[a] != tops[b]
-                a, b = a[use], b[use]
-                a, b = (x[self.possible(0, a, b, percent)] for x in (a, b))
-                for x, y in zip(a.tolist(), b.tolist(), strict=True):
-                    verify(x, y)
+                for x, y in zip(a[keep].tolist(), b[keep].tolist(), strict=True):
+                    if together.find(x) != together.find(y):
+                        visit(x, y)
                 continue
-            keep = self.possible(level, a, b, percent)
             below = len(self.levels[level - 1][0])
             for x, y in zip(a[keep].tolist(), b[keep].tolist(), strict=True):
                 left, right = np.arange(x * FANOUT, min((x + 1) * FANOUT, below)), np.arange(y * FANOUT, min((y + 1) * FANOUT, below))
                 p, q = np.repeat(left, len(right)), np.tile(right, len(left))
                 once = p <= q
                 stack.append((level - 1, p[once], q[once]))
-        return np.array([find(i) for i in range(len(root))])
 
 
-def _join(percent: int):
-    """Rows (code, other): each set of a bucket and the smallest code of its component there, where that is another."""
+def possible_groups(bitmaps: list[np.ndarray], size: np.ndarray, percent: int) -> Components:
+    """Sets (in order of size) grouped by pairs that their bitmaps do not rule out. Similar sets have bitmaps of equal
+    lengths or one twice the other's, which is then folded; each length is a tree with those of twice the length."""
+    together = Components(len(bitmaps))
+    length = np.array([len(b) for b in bitmaps])
+    for n in np.unique(length):
+        own = np.flatnonzero((length == n) | (length == 2 * n))
+        if len(own) < 2:
+            continue
+        folded = np.stack([bitmaps[i] if len(bitmaps[i]) == n else bitmaps[i][:n] | bitmaps[i][n:] for i in own])
+        local, tree = Components(len(own)), SignatureTree(folded, size[own])
+        first = np.arange(len(own) - 1)
+        for i in np.flatnonzero(tree.possible(0, first, first + 1, percent)).tolist():  # neighbours in order
+            local.join(i, i + 1)
+        tree.traverse(percent, local, local.join)
+        for i, top in zip(own.tolist(), local.all().tolist(), strict=True):
+            together.join(i, int(own[top]))
+    return together
+
+
+def linked_groups(sets: list[np.ndarray], percent: int) -> Components:
+    """Sets (in order of size) grouped by links of at least ``percent``."""
+    size = np.array([len(s) for s in sets])
+    bits = max(256, 1 << int(8 * size.max() - 1).bit_length())
+    bitmap = np.zeros((len(sets), bits // 64), dtype=np.uint64)
+    for i, s in enumerate(sets):
+        at = (s % np.uint64(bits)).astype(np.int64)
+        np.bitwise_or.at(bitmap[i], at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    together = Components(len(sets))
+
+    def verify(x: int, y: int) -> None:
+        both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+        if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+            together.join(x, y)
+
+    for i in range(1, len(sets)):  # neighbours in order: copies mostly join here
+        verify(i - 1, i)
+    SignatureTree(bitmap, size).traverse(percent, together, verify)
+    return together
+
+
+def _grouped(name: str, percent: int):
+    """Rows (code, other): each set of a bucket and the smallest code of its group there, where that is another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                yield from zip(*[batch.column(c).to_pylist() for c in ("route", "code", "tokens")], strict=True)
+                sizes = batch.column("n").to_pylist() if name == "bits" else [0] * batch.num_rows
+                yield from zip(batch.column("route").to_pylist(), batch.column("code").to_pylist(), sizes, batch.column(name).to_pylist(), strict=True)
 
         out: list[tuple] = []
         for _, bucket in itertools.groupby(rows(), key=lambda r: r[0]):
-            members = {code: np.frombuffer(tokens, dtype=np.uint64) for _, code, tokens in bucket}
+            members = {code: (n, np.frombuffer(body, dtype=np.uint64)) for _, code, n, body in bucket}
             if len(members) < 2:
                 continue
-            codes = sorted(members, key=lambda c: (len(members[c]), members[c][:1].tolist(), c))
-            top = SignatureTree([members[c] for c in codes]).links(percent)
+            if name == "bits":
+                codes = sorted(members, key=lambda c: (members[c][0], c))
+                groups = possible_groups([members[c][1] for c in codes], np.array([members[c][0] for c in codes]), percent)
+            else:
+                codes = sorted(members, key=lambda c: (len(members[c][1]), members[c][1][:1].tolist(), c))
+                groups = linked_groups([members[c][1] for c in codes], percent)
+            top = groups.all().tolist()
             least: dict[int, int] = {}
-            for c, t in zip(codes, top.tolist(), strict=True):
+            for c, t in zip(codes, top, strict=True):
                 least[t] = min(least.get(t, c), c)
-            out += [(c, least[t]) for c, t in zip(codes, top.tolist(), strict=True) if least[t] != c]
+            out += [(c, least[t]) for c, t in zip(codes, top, strict=True) if least[t] != c]
             if len(out) >= 10_000:
                 yield repeats.emit(out, [("code", pa.int64()), ("other", pa.int64())])
                 out = []
@@ -238,7 +329,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     Each round takes the smallest label among a node and its neighbours and then the label's own label, so paths
     shorten by half; it ends when no label changes. Aggregations combine in each task first, so hubs cost no more.
     """
-    edges = links.select("code", "other").union(links.select(F.col("other").alias("code"), F.col("code").alias("other"))).distinct()
+    links = materialize(links.select("code", "other"), "links")
+    edges = links.union(links.select(F.col("other").alias("code"), F.col("code").alias("other"))).distinct()
     edges = materialize(edges, "edges")
     labels = materialize(edges.groupBy("code").agg(F.least("code", F.min("other")).alias("label")), "labels")
     for _ in range(rounds):
@@ -257,22 +349,26 @@ def _components_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Rows (id, tag, n, component) of keyed documents; see ``link_components``."""
     spark = docs.sparkSession
     crowd = spark.sparkContext.broadcast(crowding(docs, k))
-    sets = materialize(docs.select("id", "tag", "text").mapInArrow(_sets(crowd, k, percent), "id long, tag int, n long, code long, prefix array<long>"), "sets")
-    one = F.struct("id", "tag", "n", "prefix")
+    sets = materialize(docs.select("id", "tag", "text").mapInArrow(_sets(crowd, k, percent), "id long, tag int, n long, code long, prefix array<long>, bits binary"), "sets")
+    one = F.struct("id", "tag", "n", "prefix", "bits")
     kinds = materialize(sets.where("n > 0").groupBy("code").agg(F.min(one).alias("one")).select("code", "one.*"), "kinds")
 
     first = kinds.select("code", "n", F.explode("prefix").alias("token"))
     leaders = first.groupBy("token").agg(F.min("code").alias("leader"), F.max("code").alias("last")).where("leader != last").select("token", "leader")
     members = materialize(first.join(leaders.hint("merge"), "token").select("leader", "code", "n").distinct(), "members")
-    loads = members.groupBy("leader").agg(F.sum("n").alias("load"))
-    parts = F.greatest(F.lit(1), F.ceil(2 * F.col("load") / BUCKET_SHINGLES)).cast("int")
-    parts = F.when(F.col("load") <= BUCKET_SHINGLES, F.lit(1)).otherwise(parts)
-    wanted = members.join(loads.hint("merge"), "leader").select("code", F.struct("leader", parts.alias("parts")).alias("w")).groupBy("code").agg(F.collect_list("w").alias("wanted"))
-    wanted = wanted.join(kinds.select("code", "id", "tag").hint("shuffle_hash"), "code")
-    dealt = docs.select("id", "tag", "text").join(wanted.hint("shuffle_hash"), ["id", "tag"])
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.select("code", "text", "wanted").mapInArrow(_deal(k), "route long, code long, n int, tokens binary")
-    links = dealt.repartition(n, "route").sortWithinPartitions("route").mapInArrow(_join(percent), "code long, other long")
+    parts = lambda most: F.when(F.col("load") <= most, F.lit(1)).otherwise(F.ceil(2 * F.col("load") / most)).cast("int").alias("parts")
+    loads = members.groupBy("leader").agg(F.sum("n").alias("load")).select("leader", parts(BITMAP_SHINGLES))
+    spread = members.join(loads.hint("merge"), "leader").join(kinds.select("code", "bits").hint("merge"), "code").select("leader", "code", "n", "bits", "parts")
+    spread = spread.mapInArrow(_spread, "route long, code long, n long, bits binary")
+    near = spread.repartition(n, "route").sortWithinPartitions("route").mapInArrow(_grouped("bits", percent), "code long, other long")
+    clusters = materialize(components(near).withColumnRenamed("label", "cluster").join(kinds.select("code", "id", "tag", "n").hint("shuffle_hash"), "code"), "clusters")
+
+    loads = clusters.groupBy("cluster").agg(F.sum("n").alias("load")).select("cluster", parts(BUCKET_SHINGLES))
+    wanted = clusters.join(loads.hint("merge"), "cluster").select("id", "tag", "code", "cluster", "parts")
+    dealt = docs.select("id", "tag", "text").join(wanted.hint("shuffle_hash"), ["id", "tag"]).select("code", "cluster", "parts", "text")
+    dealt = dealt.mapInArrow(_deal(k), "route long, code long, tokens binary")
+    links = dealt.repartition(n, "route").sortWithinPartitions("route").mapInArrow(_grouped("tokens", percent), "code long, other long")
     labels = components(links)
 
     named = kinds.select("code", "id").join(labels.hint("shuffle_hash"), "code", "left").select("code", "id", F.coalesce("label", "code").alias("label"))
