@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -37,10 +39,8 @@ def quadratic(features: Sequence[str], most_pairs: int = 128) -> dict[str, Colum
     return out | {f"{a}_{b}": F.col(a) * F.col(b) for a, b in list(combinations(features, 2))[:most_pairs]}
 
 
-def fourier(features: Sequence[str], size: int = 16, gamma: float = 1.0, seed: int = 42) -> dict[str, Column]:
-    """Random Fourier features: sqrt(2 / m) cos(w x + b), with w and b drawn from hashes of their place."""
-    import hashlib
-    import math
+def fourier_weights(d: int, size: int = 16, gamma: float = 1.0, seed: int = 42) -> list[tuple[list[float], float]]:
+    """Weights and shift of each random Fourier feature, drawn from hashes of their place."""
 
     def u(*key: object) -> float:
         return (int(hashlib.md5(":".join(map(str, (seed, *key))).encode()).hexdigest()[:8], 16) + 0.5) / 2**32
@@ -48,9 +48,14 @@ def fourier(features: Sequence[str], size: int = 16, gamma: float = 1.0, seed: i
     def normal(*key: object) -> float:
         return math.sqrt(-2 * math.log(u(*key, "a"))) * math.cos(2 * math.pi * u(*key, "b"))
 
+    return [([normal(i, j) * math.sqrt(2 * gamma) for j in range(d)], 2 * math.pi * u(i, "shift")) for i in range(size)]
+
+
+def fourier(features: Sequence[str], size: int = 16, gamma: float = 1.0, seed: int = 42) -> dict[str, Column]:
+    """Random Fourier features: sqrt(2 / m) cos(w x + b)."""
     out = {}
-    for i in range(size):
-        dot = sum((F.col(f) * (normal(i, j) * math.sqrt(2 * gamma)) for j, f in enumerate(features)), F.lit(2 * math.pi * u(i, "shift")))
+    for i, (w, b) in enumerate(fourier_weights(len(features), size, gamma, seed)):
+        dot = sum((F.col(f) * v for f, v in zip(features, w, strict=True)), F.lit(b))
         out[f"rff{i}"] = F.cos(dot) * math.sqrt(2 / size)
     return out
 

@@ -75,7 +75,10 @@ R.add(
  t AS (SELECT *, sum(n) OVER (PARTITION BY feature_index, bin) AS a, sum(n) OVER (PARTITION BY feature_index, label) AS b, sum(n) OVER (PARTITION BY feature_index) AS total FROM c) SELECT feature_index, feature, greatest(sum(n / total * log2(n * total / (a * b))), 0.0) AS mutual_information FROM t GROUP BY 1, 2 ORDER BY mutual_information DESC, feature_index LIMIT 2""", "mutual_information", "l",
 )
 R.add("p3_quadratic_features", lambda s, d: E(s, d).select("row_id", *[c.alias(n) for n, c in P.quadratic(X).items()]), "SELECT row_id, x1, x2, x3, x1 * x1 AS x1_sq, x2 * x2 AS x2_sq, x3 * x3 AS x3_sq, x1 * x2 AS x1_x2, x1 * x3 AS x1_x3, x2 * x3 AS x2_x3 FROM e", "x1 x2 x3 x1_sq x2_sq x3_sq x1_x2 x1_x3 x2_x3")
-R.add("p3_fourier_features", lambda s, d: E(s, d).select("row_id", *[c.alias(n) for n, c in P.fourier(X, 4, 0.01).items()]))
+_RFF = ", ".join(
+    f"cos({b!r}::DOUBLE + " + " + ".join(f"{f} * {v!r}::DOUBLE" for f, v in zip(X, w, strict=True)) + f") * sqrt(0.5) AS rff{i}" for i, (w, b) in enumerate(P.fourier_weights(3, 4, 0.01))
+)
+R.add("p3_fourier_features", lambda s, d: E(s, d).select("row_id", *[c.alias(n) for n, c in P.fourier(X, 4, 0.01).items()]), f"SELECT row_id, {_RFF} FROM e", "rff0 rff1 rff2 rff3")
 
 
 def _ranks_sql(salt: str) -> str:
@@ -139,4 +142,9 @@ Q_SQL = f"""{DRIFT_SQL}, a AS (SELECT e.row_id, p, label, drift, max_z, ood, (p
  CASE WHEN ood = 1 OR conformal_set IN ('{{0,1}}', 'abstain') OR uncertainty >= 0.8 THEN 'high' WHEN uncertainty >= 0.6 THEN 'medium' ELSE 'low' END AS review_priority FROM a)
  SELECT row_id, predicted_label, confidence, uncertainty, conformal_set, drift, ood, query_score, review_priority, row_number() OVER (ORDER BY query_score DESC, row_id) AS query_rank FROM b"""
 R.add("q1_review_scores", lambda s, d: U.review_scores(E(s, d), P.fit_standardizer(E(s, d), X), X, 0.55).select("row_id", "predicted_label", "confidence", "uncertainty", "conformal_set", "drift", "ood", "query_score", "review_priority", "query_rank"), f"WITH {Q_SQL}", "confidence uncertainty drift query_score", "l")
-R.queries["s4_review_sheet"] = lambda s, d: S.review_sheet(U.review_scores(E(s, d), P.fit_standardizer(E(s, d), X), X, 0.55), X)
+_SHEET = lambda s, d: S.review_sheet(U.review_scores(E(s, d), P.fit_standardizer(E(s, d), X), X, 0.55), X).withColumn("review_label", F.coalesce("review_label", F.lit(""))).withColumns({c: F.col(c).cast("decimal(20,8)").cast("string") for c in ("confidence", "uncertainty", "drift")}).drop("query_score")
+R.add(
+    "s4_review_sheet", _SHEET,
+    f"WITH {Q_SQL.split(' SELECT row_id, predicted_label')[0]} SELECT row_id, x1, x2, x3, predicted_label, confidence::DECIMAL(20,8)::VARCHAR AS confidence, uncertainty::DECIMAL(20,8)::VARCHAR AS uncertainty, conformal_set, b.drift::DECIMAL(20,8)::VARCHAR AS drift, b.ood, row_number() OVER (ORDER BY b.query_score DESC, row_id) AS query_rank, review_priority, '' AS review_label FROM b JOIN (SELECT row_id, x1, x2, x3 FROM e) USING (row_id)",
+    "x1 x2 x3", "l",
+)
