@@ -92,13 +92,14 @@ def repeated_ranges(
     """
     found = docs.select("id", "tag", "text").mapInArrow(extract, SEGMENT)
     several = F.min("id") != F.max("id") if across else F.count("*") > 1
-    repeated = found.groupBy("anchor").agg(several.alias("several")).where("several").select("anchor")
+    # Written out, so that the join below is between two plain shuffles: Spark can split a crowded anchor's rows.
+    repeated = materialize(found.groupBy("anchor").agg(several.alias("several")).where("several").select("anchor"), "repeated")
     hits = materialize(found.join(repeated.hint("merge"), "anchor"), "hits")
 
     # One row for each distinct context of a repeated anchor: how often it comes, and where it comes first.
     groups = hits.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("id", "tag", "lo", "span")).alias("first"))
     groups = materialize(groups, "groups")
-    crowd = groups.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    crowd = materialize(groups.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "crowd")
     want = F.struct(F.col("first.lo").alias("lo"), F.col("first.span").alias("span"), "anchor", "context", (F.col("kinds") > MOST_CONTEXTS).alias("split"))
     wanted = groups.join(crowd.hint("merge"), "anchor").groupBy("first.id", "first.tag").agg(F.collect_list(want).alias("wanted"))
     pieces = docs.join(wanted.hint("shuffle_hash"), ["id", "tag"]).select("id", "tag", "doc_id", "text", "wanted").mapInArrow(contexts, PIECE)
