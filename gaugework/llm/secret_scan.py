@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import base64
-import binascii
+import codecs
+import hashlib
+import io
 import re
+import tempfile
 import zlib
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import IO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 KINDS = ("assign", "access", "hex")
-#: Bytes that one compressed layer may unpack to; what lies beyond is not looked at, which bounds a task's memory.
-LAYER_BYTES = 16 << 20
+#: Bytes of a decoded layer that are unpacked and looked at in one go.
+PIECE = 16 << 20
 
 _ASSIGN = re.compile(
     r"""(?:[Pp][Aa][Ss][Ss](?:[Ww][Oo][Rr][Dd]|[Ww][Dd])|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -26,6 +30,8 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 _ESCAPED = re.compile(r"\\[ux]([0-9A-Fa-f]+)")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/]{16,}|[A-Za-z0-9_-]{16,})={0,2}(?![A-Za-z0-9+/_=-])")
+#: After this, no match of any pattern goes on, here or in what it decodes to.
+_BETWEEN = re.compile(r"""[^A-Za-z0-9+/_.=\-"'\x20:%\\\r\n]|\n(?=\r?\n)""")
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
@@ -46,11 +52,6 @@ class Layer:
     decoded: list[bool] | None
 
 
-def _whole(layer: Layer, text: str, at: int, to: int) -> Layer:
-    n = len(text)
-    return Layer(text, [layer.start[at]] * n, [layer.end[to - 1]] * n, [True] * n)
-
-
 def _spliced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     """The layer with every match replaced by its decoded characters; ``decode`` yields (character, width)."""
     text, start, end, fresh, at = [], [], [], [], 0
@@ -99,48 +100,126 @@ def _escaped(run: str) -> list[tuple[str, int]]:
     return [("�" if 0xD800 <= ord(c) < 0xE000 else c, w) for c, w in out]
 
 
-def _readable(raw: bytes) -> str | None:
-    """The bytes as text, unpacked as long as they are compressed; None for what is no text."""
-    for _ in range(16):
-        if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 0x0F == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
-            try:
-                raw = zlib.decompressobj(47).decompress(raw, LAYER_BYTES)
-                continue
-            except zlib.error:
-                pass
-        break
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and (text.isprintable() or not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text)) else None
+def _packed(head: bytes) -> bool:
+    return head[:2] == b"\x1f\x8b" or (len(head) > 2 and head[0] & 0x0F == 8 and (head[0] << 8 | head[1]) % 31 == 0)
 
 
-def _base64_layers(layer: Layer) -> Iterator[Layer]:
-    for m in _BASE64.finditer(layer.text):
-        body = m[1].translate({45: "+", 95: "/"})
-        if len(body) % 4 == 1:
-            continue
+def _unpack(source: IO[bytes]) -> tuple[IO[bytes], bytes, bool, bytes]:
+    """What all members of ``source`` unpack to (beyond PIECE bytes in an unlinked file), its digest, whether the last
+    member is whole, and the bytes after it."""
+    out, digest, data = tempfile.SpooledTemporaryFile(PIECE), hashlib.blake2b(), source.read(PIECE)
+    while True:
+        engine = zlib.decompressobj(47)
         try:
-            raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-        except binascii.Error:
+            while data and not engine.eof:
+                got = engine.decompress(data, PIECE)
+                data = engine.unconsumed_tail or (engine.unused_data if engine.eof else source.read(PIECE))
+                digest.update(got)
+                out.write(got)
+            if not engine.eof:
+                got = engine.flush()
+                digest.update(got)
+                out.write(got)
+        except zlib.error:
+            return out, digest.digest(), False, b""
+        data += source.read(3) if engine.eof and len(data) < 3 else b""
+        if not engine.eof or not _packed(data[:3]):
+            return out, digest.digest(), engine.eof, data + source.read()
+
+
+def _contents(raw: bytes) -> Iterator[IO[bytes]]:
+    """The bytes, or what they unpack to if they are compressed, until nothing more unpacks; of a broken stream, also its
+    bytes as they are. A stream that unpacks to one seen before (itself, say) ends there."""
+    work: list[IO[bytes]] = [io.BytesIO(raw)]
+    seen: set[bytes] = set()
+    while work:
+        with work.pop() as source:
+            head = source.read(3)
+            source.seek(0)
+            whole = False
+            if _packed(head):
+                out, digest, whole, rest = _unpack(source)
+                if out.tell() and digest not in seen:
+                    seen.add(digest)
+                    out.seek(0)
+                    work.append(out)
+                if rest:
+                    work.append(io.BytesIO(rest))
+                source.seek(0)
+            if not whole:
+                yield source
+
+
+def _pieces(source: IO[bytes], encoding: str) -> Iterator[str]:
+    """The bytes as text, in pieces of about PIECE bytes, cut where nothing that is looked for can go on."""
+    source.seek(0)
+    decoder = codecs.getincrementaldecoder(encoding)("replace")
+    text = ""
+    while data := source.read(PIECE):
+        known = max(len(text) - 2, 0)
+        text += decoder.decode(data)
+        for lo in range(len(text) - 4096, known - 4096, -4096):
+            if cuts := [m.end() for m in _BETWEEN.finditer(text, max(lo, known), lo + 4096)]:
+                yield text[: cuts[-1]]
+                text = text[cuts[-1] :]
+                break
+    if text := text + decoder.decode(b"", True):
+        yield text
+
+
+def _texts(raw: bytes) -> Iterator[str]:
+    if not _packed(raw[:3]):
+        yield raw.decode(errors="replace")
+        return
+    for source in _contents(raw):
+        yield from _pieces(source, "utf-8")
+
+
+def _base64_runs(text: str) -> Iterator[tuple[bytes, int, int]]:
+    for m in _BASE64.finditer(text):
+        body = m[1].translate({45: "+", 95: "/"})
+        if len(body) % 4 != 1:
+            yield base64.b64decode(body + "=" * (-len(body) % 4)), m.start(), m.end()
+
+
+def _children(text: str) -> Iterator[str]:
+    for pattern, decode in ((_PERCENT, _percent), (_ESCAPE, _escaped)):
+        if pattern.search(text):
+            yield pattern.sub(lambda m: m[0] if (got := decode(m[0])) is None else "".join(c for c, _ in got), text)  # noqa: B023
+    for raw, _, _ in _base64_runs(text):
+        yield from _texts(raw)
+
+
+def _kinds(raw: bytes) -> set[str]:
+    """The kinds of secrets in the content of a base64 run and in all layers inside it. They all map to the whole run."""
+    found: set[str] = set()
+    seen: set[bytes] = set()
+    work = [_texts(raw)]
+    while work and len(found) < len(KINDS):
+        if (text := next(work[-1], None)) is None:
+            work.pop()
             continue
-        if (text := _readable(raw)) is not None:
-            yield _whole(layer, text, m.start(), m.end())
+        key = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        if key not in seen:
+            seen.add(key)
+            found.update(kind for kind, _, _ in find(text))
+            work.append(_children(text))
+    return found
 
 
 def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and all spans: the base ones and those of decoded layers, mapped to the document.
 
     A worklist starts with the text itself. From each layer come its percent-decoded text, its text with Unicode
-    escapes resolved, and the content of each base64 run (unpacked if compressed), until nothing new comes; layers
-    seen before, by text and place, are not taken up again. A match in a layer counts if a decoded character is in
+    escapes resolved, until nothing new comes; layers seen before, by text and place, are not taken up again. The content
+    of each base64 run (unpacked if compressed, all of it) is taken through the same steps by ``_kinds``. A match in a layer counts if a decoded character is in
     it; it is mapped to the document's span that its characters come from.
     """
     base = find(text)
     spans = set(base)
     work = deque([Layer(text, range(len(text)), range(1, len(text) + 1), None)])
     seen: set[tuple[str, int, int]] = set()
+    known: dict[bytes, set[str]] = {}
     while work:
         layer = work.popleft()
         if layer.decoded is not None:
@@ -152,7 +231,10 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
             children.append(child)
         if "\\" in layer.text and (child := _spliced(layer, _ESCAPE, _escaped)):
             children.append(child)
-        children.extend(_base64_layers(layer))
+        for raw, lo, hi in _base64_runs(layer.text):
+            if raw not in known:
+                known[raw] = _kinds(raw)
+            spans.update((kind, layer.start[lo], layer.end[hi - 1]) for kind in known[raw])
         for child in children:
             key = (child.text, child.start[0], child.end[-1]) if child.text else None
             if key and key not in seen:

@@ -1,0 +1,38 @@
+"""Encoded layers that are long, in several members, deep, wrapped or not clean text are looked at whole."""
+
+from __future__ import annotations
+
+import base64
+import gzip
+import zlib
+
+from gaugework.llm import secret_scan
+
+SECRET = b'token = "abcdef0123456789"'
+
+
+def spans_of(raw: bytes) -> list[tuple]:
+    run = base64.b64encode(raw).decode()
+    return [s for s in secret_scan.scan(f"see {run} there")[1] if s == ("assign", 4, 4 + len(run))]
+
+
+def test_long_compressed_layer():
+    assert spans_of(gzip.compress(b"ab, " * (17 << 18) + SECRET))
+
+
+def test_pieces(monkeypatch):
+    monkeypatch.setattr(secret_scan, "PIECE", 1000)
+    for filler in (b"ab, " * 9000, "x".encode() + "é".encode() * 9000 + b"\n", b"word\n\n" * 9000, b"none" * 9000 + b" "):
+        for gap in range(0, 1000, 37):
+            assert spans_of(gzip.compress(filler + b"," * gap + SECRET + filler)), gap
+        assert not spans_of(gzip.compress(filler))
+
+
+def test_members_and_rounds():
+    assert spans_of(gzip.compress(b"clean, ") + gzip.compress(SECRET))
+    assert spans_of(gzip.compress(b"clean, " * 9) + SECRET) and spans_of(zlib.compress(b"clean") + b"\0\0" + SECRET)
+    raw = SECRET
+    for _ in range(20):
+        raw = gzip.compress(raw)
+    assert spans_of(raw)
+    assert spans_of(gzip.compress(SECRET * 40)[:-8])  # broken off
