@@ -30,6 +30,10 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 _ESCAPED = re.compile(r"\\[ux]([0-9A-Fa-f]+)")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/]{16,}|[A-Za-z0-9_-]{16,})={0,2}(?![A-Za-z0-9+/_=-])")
+#: Base64 over two lines or more; the marks around PEM blocks are no part of it.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?!-)[A-Za-z0-9+/_-]{16,}(?<!-----)(?:\r?\n(?!-----)[A-Za-z0-9+/_-]+)+={0,2}")
+_LINE = re.compile(r"[^\r\n]+")
+_MARKS = (b"\xff\xfe", b"\xfe\xff")
 #: After this, no match of any pattern goes on, here or in what it decodes to.
 _BETWEEN = re.compile(r"""[^A-Za-z0-9+/_.=\-"'\x20:%\\\r\n]|\n(?=\r?\n)""")
 
@@ -64,11 +68,9 @@ def _spliced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
         fresh.extend(old[lo:hi] if old else [False] * (hi - lo))
 
     for m in pattern.finditer(layer.text):
-        if (got := decode(m[0])) is None:
-            continue
         literal(at, m.start())
         pos = m.start()
-        for char, width in got:
+        for char, width in decode(m[0]):
             text.append(char)
             start.append(layer.start[pos])
             end.append(layer.end[pos + width - 1])
@@ -81,11 +83,9 @@ def _spliced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return Layer("".join(text), start, end, fresh)
 
 
-def _percent(run: str) -> list[tuple[str, int]] | None:
-    try:
-        return [(c, 3 * len(c.encode())) for c in bytes.fromhex(run.replace("%", "")).decode()]
-    except UnicodeDecodeError:
-        return None
+def _percent(run: str) -> list[tuple[str, int]]:
+    text = bytes.fromhex(run.replace("%", "")).decode(errors="surrogateescape")
+    return [("�", 3) if 0xDC80 <= ord(c) < 0xDD00 else (c, 3 * len(c.encode())) for c in text]
 
 
 def _escaped(run: str) -> list[tuple[str, int]]:
@@ -168,24 +168,61 @@ def _pieces(source: IO[bytes], encoding: str) -> Iterator[str]:
 
 
 def _texts(raw: bytes) -> Iterator[str]:
-    if not _packed(raw[:3]):
+    """The text of the bytes, unpacked; invalid bytes are replaced. What has a NUL or a mark of UTF-16 is also read as
+    UTF-16, in both byte orders."""
+    if not _packed(raw[:3]) and b"\0" not in raw and raw[:2] not in _MARKS:
         yield raw.decode(errors="replace")
         return
     for source in _contents(raw):
         yield from _pieces(source, "utf-8")
+        source.seek(0)
+        wide = source.read(2) in _MARKS
+        while not wide and (data := source.read(PIECE)):
+            wide = b"\0" in data
+        for encoding in ("utf-16-le", "utf-16-be") if wide else ():
+            yield from _pieces(source, encoding)
+
+
+def _decoded(body: str) -> bytes | None:
+    body = body.rstrip("=").translate({45: "+", 95: "/"})
+    return base64.b64decode(body + "=" * (-len(body) % 4)) if len(body) % 4 != 1 else None
 
 
 def _base64_runs(text: str) -> Iterator[tuple[bytes, int, int]]:
+    """The bytes of each base64 run and its place: runs inside a line, and runs over lines of one width (the last may be
+    shorter, the first too if it does not begin its line)."""
     for m in _BASE64.finditer(text):
-        body = m[1].translate({45: "+", 95: "/"})
-        if len(body) % 4 != 1:
-            yield base64.b64decode(body + "=" * (-len(body) % 4)), m.start(), m.end()
+        if (raw := _decoded(m[0])) is not None:
+            yield raw, m.start(), m.end()
+    for m in _WRAPPED.finditer(text):
+        lines = [x.span() for x in _LINE.finditer(text, m.start(), m.end())]
+        size = [hi - lo for lo, hi in lines]
+        first = 0
+        while first < len(lines) - 1:
+            to = first + 1
+            # A first line after other text may be shorter than those after it.
+            inside = first == 0 and lines[0][0] > 0 and text[lines[0][0] - 1] != "\n"
+            starts = [(first, size[first])] + ([(first, size[first + 1])] if inside and size[first + 1] > size[first] else [])
+            for at, width in starts:
+                end = at + 1
+                while end < len(lines) and size[end] == width:
+                    end += 1
+                full = end
+                end += end < len(lines) and size[end] < width
+                # What comes after the last full line may be a word of the text, or the run's end.
+                for last in dict.fromkeys((end, full)):
+                    body = "".join(text[lo:hi] for lo, hi in lines[at:last])
+                    if last - at > 1 and len(body) >= 16 and not (set("+/") & set(body) and set("-_") & set(body)) and (raw := _decoded(body)) is not None:
+                        yield raw, lines[at][0], lines[last - 1][1]
+                        break
+                to = max(to, end)
+            first = to
 
 
 def _children(text: str) -> Iterator[str]:
     for pattern, decode in ((_PERCENT, _percent), (_ESCAPE, _escaped)):
         if pattern.search(text):
-            yield pattern.sub(lambda m: m[0] if (got := decode(m[0])) is None else "".join(c for c, _ in got), text)  # noqa: B023
+            yield pattern.sub(lambda m: "".join(c for c, _ in decode(m[0])), text)  # noqa: B023
     for raw, _, _ in _base64_runs(text):
         yield from _texts(raw)
 
@@ -231,10 +268,16 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
             children.append(child)
         if "\\" in layer.text and (child := _spliced(layer, _ESCAPE, _escaped)):
             children.append(child)
+        alone: dict[int, set[str]] = {}
         for raw, lo, hi in _base64_runs(layer.text):
             if raw not in known:
                 known[raw] = _kinds(raw)
-            spans.update((kind, layer.start[lo], layer.end[hi - 1]) for kind in known[raw])
+            new = known[raw]
+            if "\n" not in layer.text[lo:hi]:
+                alone[lo] = new
+            elif layer.text.count("\n", lo, hi) == 1 and layer.text.find("\n", lo) - lo < 60:
+                new = new - alone.get(lo, set())  # a short line that is whole without the next
+            spans.update((kind, layer.start[lo], layer.end[hi - 1]) for kind in new)
         for child in children:
             key = (child.text, child.start[0], child.end[-1]) if child.text else None
             if key and key not in seen:

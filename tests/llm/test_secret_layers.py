@@ -36,3 +36,27 @@ def test_members_and_rounds():
         raw = gzip.compress(raw)
     assert spans_of(raw)
     assert spans_of(gzip.compress(SECRET * 40)[:-8])  # broken off
+
+
+def test_wrapped_runs():
+    clean = b"".join(b"%d clean, " % i for i in range(300))
+    for width in (64, 76):
+        for end in ("\n", "\r\n"):
+            for raw in (clean[:width * 3 // 4 - 9] + SECRET, gzip.compress(clean + SECRET), zlib.compress(clean[:60] + SECRET)):
+                run = base64.b64encode(raw).decode()
+                wrapped = end.join(run[i : i + width] for i in range(0, len(run), width))
+                for text, at in ((f"see {wrapped} there", 4), (f"-----BEGIN CERTIFICATE-----{end}{wrapped}{end}-----END CERTIFICATE-----", 27 + len(end))):
+                    assert ("assign", at, at + len(wrapped)) in secret_scan.scan(text)[1]
+                    assert wrapped[-20:] not in secret_scan.redacted(text)
+    run = base64.b64encode(clean + SECRET).decode()
+    text = "key: " + "\n".join([run[:71], *[run[i : i + 76] for i in range(71, len(run), 76)]])
+    assert ("assign", 5, len(text)) in secret_scan.scan(text)[1]
+
+
+def test_unclean_layers():
+    text = SECRET.decode()
+    for raw in (b"\0" + SECRET, SECRET + b"\x01\x7f", b"\xff\xfe\xc3" + SECRET, text.encode("utf-16"), text.encode("utf-16-le"), text.encode("utf-16-be")):
+        assert spans_of(raw) and spans_of(gzip.compress(raw)), raw
+    run = "".join(f"%{b:02x}" for b in b"\xff\xc3" + SECRET + b"\x80")
+    base, spans = secret_scan.scan(f"é {run} b")
+    assert base == [] and spans == [("assign", 8, 8 + 3 * (len(SECRET) - 1))]
