@@ -349,7 +349,7 @@ def _components_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Rows (id, tag, n, component) of keyed documents; see ``link_components``."""
     spark = docs.sparkSession
     crowd = spark.sparkContext.broadcast(crowding(docs, k))
-    sets = materialize(docs.select("id", "tag", "text").mapInArrow(_sets(crowd, k, percent), "id long, tag int, n long, code long, prefix array<long>, bits binary"), "sets")
+    sets = materialize(docs.select("id", "tag", "text").mapInArrow(_sets(crowd, k, percent), "id long, tag long, n long, code long, prefix array<long>, bits binary"), "sets")
     one = F.struct("id", "tag", "n", "prefix", "bits")
     kinds = materialize(sets.where("n > 0").groupBy("code").agg(F.min(one).alias("one")).select("code", "one.*"), "kinds")
 
@@ -402,7 +402,7 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     first = parts.groupBy("component", F.when(F.col("n") > 0, F.lit(0)).otherwise(F.xxhash64("id", "tag")).alias("own")).agg(F.min(F.struct("id", "tag")).alias("one"))
     counts = parts.groupBy("id", "tag").agg(F.count("*").alias("copies"))
     stay = materialize(first.select(F.col("one.id").alias("__id"), F.col("one.tag").alias("__tag")).join(counts.withColumnsRenamed({"id": "__id", "tag": "__tag"}).hint("shuffle_hash"), ["__id", "__tag"]), "stay")
-    keyed = docs.withColumn("__id", F.coalesce("doc_id", F.lit(repeats.LAST_ID))).withColumn("__tag", F.hash(F.coalesce("text", F.lit(""))))
+    keyed = docs.withColumn("__id", F.coalesce("doc_id", F.lit(repeats.LAST_ID))).withColumn("__tag", repeats.text_tag())
     kept = keyed.join(stay.hint("shuffle_hash"), ["__id", "__tag"])
     columns = [F.col(f"`{c}`") for c in docs.columns]
     if stay.where("copies > 1").isEmpty():

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.llm.scratch import materialize
@@ -22,7 +22,7 @@ from gaugework.llm.textblocks import mixed, range_hash, signed
 PIECE = "route long, id long, lo int, context long, offset int, body binary"
 PIECE_FIELDS = [("route", pa.int64()), ("id", pa.int64()), ("lo", pa.int32()), ("context", pa.int64()), ("offset", pa.int32()), ("body", pa.binary())]
 CHECKED_FIELDS = [("context", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]
-SEGMENT = "id long, tag int, lo int, span int, anchor long, context long"
+SEGMENT = "id long, tag long, lo int, span int, anchor long, context long"
 #: Contexts of one anchor that are compared in one group; an anchor with more is split by its windows' own hashes.
 MOST_CONTEXTS = 4096
 _LOW = np.uint64((1 << 21) - 1)
@@ -68,10 +68,15 @@ def segment_batch(ids: np.ndarray, tags: np.ndarray, row: np.ndarray, lo: np.nda
     return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(tags[row]), *small, pa.array(signed(anchor)), pa.array(signed(context))], ["id", "tag", "lo", "span", "anchor", "context"])
 
 
+def text_tag() -> Column:
+    """64 bits of hash, as wide as those of windows and contexts."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``id`` (doc_id, nulls last of all) and ``tag`` (hash of the text), which tell rows apart: rows
+    """``docs`` with ``id`` (doc_id, nulls last of all) and ``tag`` (64-bit hash of the text), which tell rows apart: rows
     that agree in both are repeated rows and fare alike."""
-    return docs.select(F.coalesce(F.col("doc_id"), F.lit(LAST_ID)).alias("id"), F.hash(F.coalesce("text", F.lit(""))).alias("tag"), "doc_id", "text")
+    return docs.select(F.coalesce(F.col("doc_id"), F.lit(LAST_ID)).alias("id"), text_tag().alias("tag"), "doc_id", "text")
 
 
 def repeated_ranges(
