@@ -14,8 +14,6 @@ from gaugework.llm.textblocks import Words, blocks, prefix_hash, range_hash, utf
 
 #: Document metrics that get adaptive thresholds, as whole numbers: shares in thousandths, lengths in tenths.
 METRICS = ("symbol_share", "dup_line_share", "repeat_share", "word_length")
-#: Bins of a sketch: whole numbers up to this; larger values share the last bin.
-BINS = 1000
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 _SYMBOL = np.zeros(256, dtype=np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
@@ -105,12 +103,13 @@ def with_metrics(stats: DataFrame) -> DataFrame:
 
 
 def sketch(metrics: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """A quantile sketch for each group and metric, as rows (group, metric, bin, n): counts on a fixed grid.
+    """A quantile sketch for each group and metric, as rows (group, metric, bin, n): counts of whole numbers without an
+    upper end.
 
     Two sketches merge by adding counts, in any order, which is what the aggregation does (partly in each task, so
-    a group with a third of all rows costs no more than others). A quantile read off it is exact to one bin.
+    a group with a third of all rows costs no more than others). A quantile read off it is exact.
     """
-    names = F.array(*[F.struct(F.lit(m).alias("metric"), F.least(F.col(m), F.lit(BINS)).cast("int").alias("bin")) for m in METRICS])
+    names = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("bin")) for m in METRICS])
     return metrics.select(*by, F.explode(names).alias("m")).groupBy(*by, "m.metric", "m.bin").agg(F.count("*").alias("n"))
 
 
@@ -119,8 +118,8 @@ def quantiles(sketches: DataFrame, by: tuple[str, ...], at: dict[str, float]) ->
     pairs = sketches.groupBy(*by, "metric").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("total"))
 
     def read(share: float) -> Column:
-        """Walks the at most BINS + 1 bins: state is (rows so far, bin where the share was reached)."""
-        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("bin"))
+        """Walks the bins, one for each distinct value: state is (rows so far, bin where the share was reached)."""
+        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("bin"))
         step = lambda s, b: F.struct((s["seen"] + b["n"]).alias("seen"), F.coalesce(s["bin"], F.when(s["seen"] + b["n"] >= F.col("total") * share, b["bin"])).alias("bin"))
         return F.aggregate("bins", start, step, lambda s: s["bin"])
 
