@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugework.llm.scratch import materialize
 
-#: Terms are counted by this many classes of their hash: the size of the lexicon is fixed.
+#: Frequent terms are looked up in a constant list, by this many classes of their hash.
 CLASSES = 1 << 16
 #: Lexicon subsets: LEVELS inclusion rates, each a quarter of the one before, with SUBSETS subsets each.
 LEVELS, SUBSETS = 6, 16
@@ -27,23 +27,42 @@ def term_class(term: Column) -> Column:
     return F.shiftrightunsigned(term, 48).cast("int")
 
 
-def _bit(number: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), number % 32)
+def _none() -> Column:
+    return F.array().cast("array<bigint>")
 
 
-def lexicon(docs: DataFrame, least_df: int = 2, most_share: float = 0.05) -> Column:
-    """The idf band as a constant array of CLASSES / 32 bit words: a class is in it if more than ``least_df`` - 1 and
-    at most ``most_share`` of all documents (or ``least_df``, if that is more) hold one of its terms.
+def lexicon(docs: DataFrame, least_df: int = 2, most_share: float = 0.05) -> tuple[list[int], DataFrame, DataFrame]:
+    """What is outside the idf band, and what is known: the frequent terms, the rare terms of each row (row_key, rare), and
+    all terms that are not rare (term). A term is rare if fewer than ``least_df`` rows of ``docs`` (row_key, text) hold
+    it, and frequent if more than ``most_share`` of all rows (and more than ``least_df``) do.
 
-    Counts cover all documents. What reaches the driver is one row of CLASSES bits, whatever the input's size.
+    Each term is counted by its 64-bit hash. What reaches the driver is the frequent terms: at most the mean number of
+    terms of a row over ``most_share``, whatever the number of rows.
     """
-    per_doc = docs.select(F.explode(F.array_distinct(F.transform(terms(F.col("text")), term_class))).alias("class"))
-    df = per_doc.groupBy("class").agg(F.count("*").alias("df"))
-    n = docs.count()
-    inside = df.where(F.col("df").between(least_df, max(least_df, int(n * most_share))))
-    words = inside.groupBy(F.shiftright("class", 5).alias("word")).agg(F.sum(_bit(F.col("class"))).alias("bits"))
-    bits = {r["word"]: r["bits"] for r in words.collect()}
-    return F.split(F.lit(",".join(str(bits.get(i, 0)) for i in range(CLASSES // 32))), ",").cast("array<bigint>")
+    pairs = docs.select("row_key", F.explode(terms(F.col("text"))).alias("term"))
+    counts = materialize(pairs.groupBy("term").agg(F.count("*").alias("df"), F.min("row_key").alias("row_key")), "counts")
+    most = max(least_df, int(docs.count() * most_share))
+    frequent = sorted((r["term"] for r in counts.where(F.col("df") > most).select("term").collect()), key=lambda t: t % 2**64)
+    rare = counts.where(F.col("df") < least_df)
+    rare = rare.select("row_key", "term") if least_df <= 2 else pairs.join(rare.select("term").hint("merge"), "term")
+    rare = materialize(rare.groupBy("row_key").agg(F.collect_set("term").alias("rare")), "rare")
+    return frequent, rare, counts.where(F.col("df") >= least_df).select("term")
+
+
+def _without_frequent(every: Column, frequent: list[int]) -> Column:
+    """``every`` less the frequent terms, which are a constant array in the order of their classes."""
+    if not frequent:
+        return every
+    starts, at = [], 0
+    for c in range(CLASSES + 1):
+        while at < len(frequent) and (frequent[at] % 2**64) >> 48 < c:
+            at += 1
+        starts.append(at)
+    first = F.split(F.lit(",".join(map(str, starts))), ",").cast("array<int>")
+    flat = F.split(F.lit(",".join(map(str, frequent))), ",").cast("array<bigint>")
+    lo = lambda t: F.get(first, term_class(t))
+    hi = lambda t: F.get(first, term_class(t) + 1)
+    return F.filter(every, lambda t: (lo(t) == hi(t)) | ~F.array_contains(F.slice(flat, lo(t) + 1, hi(t) - lo(t)), t))
 
 
 def _subset_hashes(used: Column, level: int) -> Column:
@@ -56,19 +75,19 @@ def _subset_hashes(used: Column, level: int) -> Column:
     return F.aggregate(used, none, lambda acc, t: F.transform(acc, lambda h, j: F.when(own(t) == j, F.xxhash64(h, t)).otherwise(h)))
 
 
-def with_fingerprints(df: DataFrame, columns: dict[str, str], band: Column) -> DataFrame:
+def with_fingerprints(df: DataFrame, columns: dict[str, str], frequent: list[int], rare: dict[str, str]) -> DataFrame:
     """``df`` with a fingerprint for each text column: number of kept terms, then one hash for each lexicon subset (a dot
     where the text has none of its terms).
 
-    A term's own bits say to which subset it belongs at each level, so a subset is a random part of the lexicon. Its
-    hash covers the sorted distinct terms of the text in it. A text with fewer than FEWEST terms in the band keeps all its
-    terms instead. Equal texts have equal fingerprints; a null or empty text has the count 0 and dots.
+    The terms in the band are those that are neither in ``frequent`` nor in the column that ``rare`` names. A term's own
+    bits say to which subset it belongs at each level, so a subset is a random part of the lexicon. Its hash covers the
+    sorted distinct terms of the text in it. A text with fewer than FEWEST terms in the band keeps all its terms instead.
+    Equal texts have equal fingerprints; a null or empty text has the count 0 and dots.
     """
-    inside = lambda t: F.get(band, F.shiftright(term_class(t), 5)).bitwiseAND(_bit(term_class(t))) != 0
     names = list(columns)
     # Each step is a projection of its own that is used more than once, so that no list is made again and again.
     df = df.withColumns({f"__every_{c}": terms(F.col(c)) for c in names})
-    df = df.withColumns({f"__kept_{c}": F.filter(f"__every_{c}", inside) for c in names})
+    df = df.withColumns({f"__kept_{c}": F.array_except(_without_frequent(F.col(f"__every_{c}"), frequent), F.coalesce(rare[c], _none())) for c in names})
     df = df.withColumns({f"__used_{c}": F.when(F.size(f"__kept_{c}") >= FEWEST, F.col(f"__kept_{c}")).otherwise(F.col(f"__every_{c}")) for c in names})
     shown = lambda h: F.when(h == 0, F.lit(".")).otherwise(F.substring(F.lpad(F.lower(F.hex(h)), 16, "0"), 1, DIGITS))
     for c in names:
@@ -140,8 +159,10 @@ def with_edited(docs: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame, least_df: int = 2, most_share: float = 0.05) -> DataFrame:
     """``doc_id``, ``fingerprint`` of each row of ``docs`` (``doc_id``, ``text``). Nulls and empty texts: see
     ``with_fingerprints``. Repeated rows are fingerprinted each; other columns are left out; an empty table gives none."""
-    band = lexicon(docs, least_df, most_share)
-    return with_fingerprints(docs.select("doc_id", "text"), {"text": "fingerprint"}, band).select("doc_id", "fingerprint")
+    docs = docs.select("doc_id", "text").withColumn("row_key", F.xxhash64("doc_id", "text"))
+    frequent, rare, _ = lexicon(docs, least_df, most_share)
+    docs = docs.join(rare.hint("shuffle_hash"), "row_key", "left")
+    return with_fingerprints(docs, {"text": "fingerprint"}, frequent, {"text": "rare"}).select("doc_id", "fingerprint")
 
 
 def edit_likeness(docs: DataFrame, least_df: int = 2, most_share: float = 0.05) -> DataFrame:
@@ -150,10 +171,16 @@ def edit_likeness(docs: DataFrame, least_df: int = 2, most_share: float = 0.05)
     Repeated rows (same doc_id and text) count as neighbours of each other. A single row is its own next document.
     """
     docs = docs.select("doc_id", "text").withColumn("row_key", F.xxhash64("doc_id", "text"))
-    band = lexicon(docs, least_df, most_share)
+    frequent, rare, known = lexicon(docs, least_df, most_share)
     both = with_edited(docs)
+    # Terms that only the edited text has: the next document's, and words that the cuts made, which no text may hold.
+    added = both.select("row_key", F.explode(_without_frequent(F.array_except(terms(F.col("edited")), terms(F.col("text"))), frequent)).alias("term"))
+    fresh = added.join(known.hint("merge"), "term", "left_anti").groupBy("row_key").agg(F.collect_set("term").alias("fresh"))
+    fresh = materialize(fresh, "fresh")
+    both = both.join(rare.hint("shuffle_hash"), "row_key", "left").join(fresh.hint("shuffle_hash"), "row_key", "left")
+    both = both.withColumn("edited_rare", F.concat(F.coalesce("rare", _none()), F.coalesce("fresh", _none())))
     sizes = both.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).withColumn("edited_sha256", F.sha2(F.encode("edited", "utf-8"), 256))
-    prints = with_fingerprints(sizes, {"text": "fingerprint", "edited": "edited_fingerprint"}, band)
+    prints = with_fingerprints(sizes, {"text": "fingerprint", "edited": "edited_fingerprint"}, frequent, {"text": "rare", "edited": "edited_rare"})
     prints = prints.select("doc_id", "row_key", "next_key", "next_doc_id", "repeats", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint")
     prints = materialize(prints, "prints")
     prints = prints.withColumn("nth", F.row_number().over(Window.partitionBy("row_key").orderBy("next_doc_id"))).where(F.col("nth") <= F.col("repeats"))
