@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,12 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.llm.scratch import materialize
-from gaugework.llm.textblocks import _LOWER, _SPACE, blocks, mixed, utf8_rows
+from gaugework.llm.textblocks import blocks, mixed, utf8_rows
 
-#: Lengths in bytes of the n-grams, classes of their hash, and features that the classifier keeps at most.
-SIZES, BUCKETS, FEATURES = (4, 5), 1 << 18, 4096
+#: Lengths in code points of the n-grams, classes of their hash, and features that the classifier keeps at most.
+SIZES, BUCKETS, FEATURES = (3, 4, 5), 1 << 19, 4096
+#: Standard errors that a feature's log-count ratio is at least away from 0.
+SURE = 4.0
 #: Labelled rows that the classifier is fitted on at most: those with the smallest hash of their id.
 TRAINING_ROWS = 12_000
+#: Weight of the squared norm in the classifier's objective (the mean loss has the weight 1).
+L2 = 3e-4
 
 
 def held_out(doc_id: Column) -> Column:
@@ -33,30 +38,61 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
+@lru_cache(maxsize=1)
+def _folded() -> np.ndarray:
+    """For each code point below U+20000 its lower case, where that is one code point; all white space is a blank."""
+    out = np.arange(1 << 17, dtype=np.uint32)
+    for i in range(1 << 17):
+        c = chr(i)
+        if c.isspace():
+            out[i] = 32
+        elif len(low := c.lower()) == 1:
+            out[i] = ord(low)
+    return out
+
+
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' code points, folded as ``_folded`` says, and the rows' offsets among them."""
+    lead = (data & 0xC0) != 0x80
+    place = np.concatenate([[0], np.cumsum(lead)])
+    wide = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.uint32)
+    at = np.flatnonzero(lead)
+    code = wide[at]
+    for low, mask, more in ((0xC0, 0x1F, 1), (0xE0, 0x0F, 2), (0xF0, 0x07, 3)):
+        own = np.flatnonzero(data[at] >= low)
+        if len(own):
+            value = wide[at[own]] & mask
+            for i in range(more):
+                value = value << 6 | wide[at[own] + 1 + i] & 0x3F
+            code[own] = value
+    table = _folded()
+    small = code < len(table)
+    return np.where(small, table[np.where(small, code, 0)], code), place[offsets]
+
+
 def gram_rows(data: np.ndarray, offsets: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of the distinct n-grams of each row: lower-cased bytes, white space as one kind of byte, none inside
-    a gram but at its ends. With ``weight``, only buckets of a weight other than 0."""
-    text = np.where(_SPACE[data], np.uint8(32), _LOWER[data])
+    """(row, bucket) of the distinct n-grams of each row: lower-cased code points, white space as one kind of them, none
+    inside a gram but at its ends. With ``weight``, only buckets of a weight other than 0."""
+    text, cut = code_points(data, offsets)
     # A blank on both sides of each text, so that its first and last words have ends.
     rows = len(offsets) - 1
-    at = np.arange(len(text)) + 2 * np.repeat(np.arange(rows), np.diff(offsets)) + 1
-    padded = np.full(len(text) + 2 * rows, 32, dtype=np.uint8)
+    at = np.arange(len(text)) + 2 * np.repeat(np.arange(rows), np.diff(cut)) + 1
+    padded = np.full(len(text) + 2 * rows, 32, dtype=np.uint64)
     padded[at] = text
-    start = offsets[:-1] + 2 * np.arange(rows)
-    wide = padded.astype(np.uint64)
+    start = cut[:-1] + 2 * np.arange(rows)
     blank = padded == 32
     pairs = []
     for n in SIZES:
         m = len(padded) - n + 1
         if m <= 0:
             continue
-        h = np.zeros(m, dtype=np.uint64)
+        h = np.full(m, n, dtype=np.uint64)
         inner = np.zeros(m, dtype=bool)
         for i in range(n):
-            h = (h << np.uint64(8)) | wide[i : i + m]
+            h = h * np.uint64(0xFF51AFD7ED558CCD) + padded[i : i + m]
             if 0 < i < n - 1:
                 inner |= blank[i : i + m]
-        bucket = (mixed(h + np.uint64(n << 56)) % np.uint64(BUCKETS)).astype(np.int64)
+        bucket = (mixed(h) & np.uint64(BUCKETS - 1)).astype(np.int64)
         use = ~inner if weight is None else ~inner & (weight[bucket] != 0)
         pos = np.flatnonzero(use)
         row = np.searchsorted(start, pos, side="right") - 1
@@ -78,31 +114,64 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_logistic(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, features: int, l2: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, float]:
-    """L2-regularised logistic regression over sparse (row, col, value), by accelerated gradient steps."""
+def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int = 300, close: float = 1e-5, memory: int = 10) -> tuple[np.ndarray, list[float]]:
+    """L-BFGS: the point where the smooth convex ``f`` (value, gradient) has no slope above ``close``, and the values on
+    the way there. A step is halved until it lowers the value enough, so the values fall."""
+    value, g = f(x)
+    values, pairs = [value], []
+    for _ in range(steps):
+        if np.abs(g).max(initial=0.0) <= close:
+            break
+        d, kept = -g, []
+        for s, y in reversed(pairs):
+            a = (s @ d) / (s @ y)
+            d = d - a * y
+            kept.append(a)
+        if pairs:
+            s, y = pairs[-1]
+            d = d * ((s @ y) / (y @ y))
+        for (s, y), a in zip(pairs, reversed(kept), strict=True):
+            d = d + s * (a - (y @ d) / (s @ y))
+        slope, step = g @ d, 1.0 if pairs else 1.0 / max(1.0, float(np.sqrt(g @ g)))
+        while True:
+            new, new_g = f(x + step * d)
+            if new <= value + 1e-4 * step * slope or step < 1e-12:
+                break
+            step /= 2
+        if new >= value:
+            break
+        s, y = step * d, new_g - g
+        x, value, g = x + s, new, new_g
+        values.append(value)
+        if s @ y > 1e-12 * (y @ y):
+            pairs = [*pairs[1 - memory :], (s, y)]
+    return x, values
+
+
+def fit_logistic(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, features: int, l2: float = L2) -> tuple[np.ndarray, float, list[float]]:
+    """Weights and bias where mean log loss + l2 / 2 * |weights| ** 2 is least, over sparse (row, col, value); and the
+    objective on the way there. The objective does not depend on the number of rows."""
     n = len(y)
-    w = u = np.zeros(features)
-    b = c = float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
-    square = np.bincount(row, value * value, minlength=n)
-    rate = 1.0 / (0.25 * (np.percentile(square, 99) + 1) + l2)
-    for t in range(steps):
-        z = np.bincount(row, u[col] * value, minlength=n) + c
-        g = (1.0 / (1.0 + np.exp(-np.clip(z, -40, 40))) - y) / n
-        new_w = u - rate * n / 50 * (np.bincount(col, g[row] * value, minlength=features) + l2 * u / 10)
-        new_b = c - rate * n / 50 * g.sum()
-        k = t / (t + 3.0)
-        u, c = new_w + k * (new_w - w), new_b + k * (new_b - b)
-        w, b = new_w, new_b
-    return w, b
+
+    def f(x: np.ndarray) -> tuple[float, np.ndarray]:
+        z = np.bincount(row, x[col] * value, minlength=n) + x[-1]
+        p = 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
+        g = (p - y) / n
+        loss = np.mean(np.logaddexp(0.0, z) - y * z) + l2 / 2 * (x[:-1] @ x[:-1])
+        return float(loss), np.append(np.bincount(col, g[row] * value, minlength=features) + l2 * x[:-1], g.sum())
+
+    x, values = minimise(f, np.append(np.zeros(features), np.log((y.sum() + 1) / (n - y.sum() + 1))))
+    return x[:-1], float(x[-1]), values
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAINING_ROWS) -> Model:
     """Fit on at most ``most`` labelled rows, none of them held out.
 
-    Spark counts in how many texts of either label each bucket occurs. Of buckets in 3 texts or more, the FEATURES
-    with the most significant log-count ratio are kept, scaled by that ratio. The driver sees those, and for each
-    training row its kept features: both bounded by the parameters. Without rows of both labels, the score is the
-    share of label 1 (0.5 without any).
+    Spark counts in how many texts of either label each bucket occurs. Of buckets in 3 texts or more whose log-count
+    ratio is SURE standard errors away from 0, the FEATURES surest are kept, scaled by that ratio. The driver sees those,
+    and for each training row its kept features: both bounded by the parameters. Without rows of both labels, the score
+    is the share of label 1 (0.5 without any). Labels other than 0 and 1 and null ids are not learned from; of several
+    labels of one id the larger counts; repeated rows of ``docs`` are learned from each.
     """
     rows = materialize(training_rows(docs, labels, label, most), "training")
 
@@ -126,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TR
     counts = rows.select("text", "label").mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     ratio = F.log((F.col("n1") + 1) / (n1 + 2)) - F.log((F.col("n0") + 1) / (n0 + 2))
     sure = F.abs("ratio") / F.sqrt(1 / (F.col("n0") + 1) + 1 / (F.col("n1") + 1))
-    kept = counts.where("n0 + n1 >= 3").withColumn("ratio", ratio).orderBy(sure.desc(), "bucket").limit(FEATURES).toPandas()
+    kept = counts.where("n0 + n1 >= 3").withColumn("ratio", ratio).where(sure >= SURE).orderBy(sure.desc(), "bucket").limit(FEATURES).toPandas()
     scale = np.zeros(BUCKETS)
     scale[kept["bucket"].to_numpy(np.int64)] = kept["ratio"].to_numpy()
 
@@ -145,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TR
     column = np.full(BUCKETS, -1)
     names = np.flatnonzero(scale)
     column[names] = np.arange(len(names))
-    w, b = fit_logistic(row, column[bucket], scale[bucket], seen["label"].to_numpy(float), len(names))
+    w, b, _ = fit_logistic(row, column[bucket], scale[bucket], seen["label"].to_numpy(float), len(names))
     weight = np.zeros(BUCKETS)
     weight[names] = w * scale[names]
     return Model(weight, float(b))
@@ -153,8 +222,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TR
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """``docs`` with ``score``, the chance of label 1, of whole texts; all other columns stay, one called ``score`` is
-    replaced. A null or empty text is scored by its lack of n-grams; repeated rows are scored each; an empty table gives an
-    empty result."""
+    replaced. A null or empty text is scored by its lack of n-grams, a text of any length as a whole; equal texts have
+    equal scores; repeated rows are scored each; an empty table gives an empty result."""
     keep = [f for f in docs.schema.fields if f.name != name]
     sent = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias))
 
