@@ -3,13 +3,14 @@
 A text is a sequence of symbols (bytes or words); a window is W symbols in a row. Each window has an anchor: among its
 k-symbol grams the one with the smallest hash, the leftmost of equals. Equal windows have equal anchors at equal
 places, so only windows whose anchor gram repeats can repeat, and consecutive windows mostly share an anchor: one row
-(a segment) stands for all of them. Segments of equal content (same context) are treated once; only anchors that come
-with several contexts need their text compared, which is left to the caller's method, bucket by bucket.
+(a segment) stands for all of them. Anchors only route text: the contexts of an anchor (distinct contents of its segments)
+meet in one bucket, each once, with a second copy if it has any, and the caller's method judges every window there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import hashlib
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,21 @@ from pyspark.sql import functions as F
 from gaugework.llm.scratch import materialize
 from gaugework.llm.textblocks import mixed, range_hash, signed
 
-PIECE = "route long, id long, lo int, context long, offset int, body binary"
-PIECE_FIELDS = [("route", pa.int64()), ("id", pa.int64()), ("lo", pa.int32()), ("context", pa.int64()), ("offset", pa.int32()), ("body", pa.binary())]
-CHECKED_FIELDS = [("context", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]
+MARKS = [("anchor", pa.int64()), ("context", pa.int64()), ("at", pa.int32()), ("span", pa.int32())]
+#: Text of a bucket, from the place where it comes first. ``twice``: it comes again. ``marks``: the contexts in it.
+PIECE_FIELDS = [("route", pa.int64()), ("id", pa.int64()), ("tag", pa.int64()), ("lo", pa.int32()), ("twice", pa.bool_()), ("body", pa.binary()), ("marks", pa.list_(pa.struct(MARKS)))]
+PIECE = "route long, id long, tag long, lo int, twice boolean, body binary, marks array<struct<anchor: bigint, context: bigint, at: int, span: int>>"
+_RANGES = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+#: A context, where it comes first, and its windows to remove there and where it comes again.
+VERDICT_FIELDS = [("anchor", pa.int64()), ("context", pa.int64()), ("id", pa.int64()), ("tag", pa.int64()), ("lo", pa.int32()), ("part", _RANGES), ("rest", _RANGES)]
+VERDICT = "anchor long, context long, id long, tag long, lo int, part array<struct<lo: int, hi: int>>, rest array<struct<lo: int, hi: int>>"
+WINDOW_FIELDS = [("window", pa.int64()), ("id", pa.int64()), ("tag", pa.int64()), ("lo", pa.int32()), ("twice", pa.bool_()), ("anchor", pa.int64()), ("context", pa.int64()), ("at", pa.int32()), ("body", pa.binary())]
+WINDOW = "window long, id long, tag long, lo int, twice boolean, anchor long, context long, at int, body binary"
 SEGMENT = "id long, tag long, lo int, span int, anchor long, context long"
-#: Contexts of one anchor that are compared in one group; an anchor with more is split by its windows' own hashes.
+#: Contexts of one anchor that meet in one bucket; of an anchor with more, each window is routed by its own hash.
 MOST_CONTEXTS = 4096
+#: Symbols after which a run of contexts is cut; a cut between contexts changes no verdict.
+RUN = 1 << 16
 _LOW = np.uint64((1 << 21) - 1)
 LAST_ID = (1 << 63) - 1
 
@@ -79,49 +89,141 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id"), F.lit(LAST_ID)).alias("id"), text_tag().alias("tag"), "doc_id", "text")
 
 
-def repeated_ranges(
-    docs: DataFrame,
-    extract: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-    contexts: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-    resolve: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-    across: bool,
-    copies_too: bool,
-) -> DataFrame:
+Symbols = Callable[[str], Sequence]
+Join = Callable[[Sequence], bytes]
+
+
+def _pieces(symbols: Symbols, join: Join, width: int):
+    """Texts with ``wanted`` contexts as PIECE rows: a context that has its anchor for itself goes with its neighbours of
+    that kind as one run, any other goes to the bucket of its anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for key, tag, text, wanted in zip(*[batch.column(c) for c in ("id", "tag", "text", "wanted")], strict=True):
+                text, key, tag = symbols(text.as_py() or ""), key.as_py(), tag.as_py()
+                together: list[dict] = []
+                for w in [*sorted(wanted.as_py(), key=lambda w: w["lo"]), None]:
+                    if together and not (w and w["alone"] and w["lo"] == together[-1]["lo"] + together[-1]["span"] + 1 and w["lo"] - together[0]["lo"] < RUN):
+                        lo, hi = together[0]["lo"], together[-1]["lo"] + together[-1]["span"]
+                        marks = [{"anchor": x["anchor"], "context": x["context"], "at": x["lo"] - lo, "span": x["span"]} for x in together]
+                        rows.append((together[0]["context"], key, tag, lo, True, join(text[lo : hi + width]), marks))
+                        together = []
+                    if w and w["alone"]:
+                        together.append(w)
+                    elif w:
+                        marks = [{"anchor": w["anchor"], "context": w["context"], "at": 0, "span": w["span"]}]
+                        rows.append((w["anchor"], key, tag, w["lo"], w["twice"], join(text[w["lo"] : w["lo"] + w["span"] + width]), marks))
+                if len(rows) >= 2000:
+                    yield emit(rows, PIECE_FIELDS)
+                    rows = []
+            if rows:
+                yield emit(rows, PIECE_FIELDS)
+
+    return run
+
+
+def _windows(symbols: Symbols, join: Join, width: int):
+    """Texts with ``wanted`` contexts as WINDOW rows, one for each window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for key, tag, text, wanted in zip(*[batch.column(c) for c in ("id", "tag", "text", "wanted")], strict=True):
+                text, key, tag = symbols(text.as_py() or ""), key.as_py(), tag.as_py()
+                for w in wanted.as_py():
+                    for o in range(w["span"] + 1):
+                        body = join(text[w["lo"] + o : w["lo"] + o + width])
+                        name = int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "big", signed=True)
+                        rows.append((name, key, tag, w["lo"] + o, w["twice"], w["anchor"], w["context"], o, body))
+                    if len(rows) >= 2000:
+                        yield emit(rows, WINDOW_FIELDS)
+                        rows = []
+            if rows:
+                yield emit(rows, WINDOW_FIELDS)
+
+    return run
+
+
+def judged(row: tuple, part: list[tuple[int, int]], rest: list[tuple[int, int]]) -> Iterator[tuple]:
+    """VERDICT rows of a PIECE row, given ranges of its windows to remove at its first place and at later ones."""
+    _, key, tag, lo, _, _, marks = row
+    for m in marks:
+        a, b = m["at"], m["at"] + m["span"]
+        own = [[{"lo": max(x, a) - a, "hi": min(y, b) - a} for x, y in ranges if x <= b and y >= a] for ranges in (part, rest)]
+        if own[0] or own[1]:
+            yield (m["anchor"], m["context"], key, tag, lo + a, *own)
+
+
+def piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of sorted PIECE batches; of those that repeated rows of the table (one id, one text) made, the first."""
+    place = None
+    for batch in batches:
+        for row in zip(*[batch.column(n).to_pylist() for n, _ in PIECE_FIELDS], strict=True):
+            if row[:4] != place:
+                yield row
+            place = row[:4]
+
+
+def repeated_ranges(docs: DataFrame, extract: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], resolve: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], symbols: Symbols, join: Join, width: int, across: bool) -> DataFrame:
     """Window ranges to remove: rows (id, tag, ranges), ranges an array of (lo, hi), windows lo to hi inclusive.
 
-    ``extract`` turns keyed texts into SEGMENT rows. ``contexts`` turns rows (id, tag, doc_id, text, wanted), wanted an
-    array of (lo, span, anchor, context, split), into rows (route, id, lo, context, offset, body) for every wanted
-    segment, one for each window if split. ``resolve`` gets these sorted by (route, id, lo) and returns
-    (context, lo, hi) for windows of them that are repeats. ``across``: repeats count between different ids only.
-    ``copies_too``: of equal segments all are repeats, not only those after the first.
+    ``extract`` turns keyed texts into SEGMENT rows. ``symbols`` cuts a text, ``join`` makes bytes of a part of it.
+    ``resolve`` gets PIECE rows sorted by (route, id, lo, tag) and gives the VERDICT rows of the contexts in them; what it
+    does not give is not removed. ``across``: repeats count between different ids only, and a later place is one with a
+    larger id; else every other place is.
+
+    Contexts are told apart by anchor and context hash, 128 bits together. A bucket holds each of its contexts once, at most
+    MOST_CONTEXTS of them. A crowded anchor's windows are counted by their own hash first, so that each is one row of a
+    bucket of its own, however often it comes.
     """
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = docs.select("id", "tag", "text").mapInArrow(extract, SEGMENT)
     several = F.min("id") != F.max("id") if across else F.count("*") > 1
-    # Written out, so that the join below is between two plain shuffles: Spark can split a crowded anchor's rows.
+    # Written out, so that the joins below are between plain shuffles: Spark can split a crowded key's rows.
     repeated = materialize(found.groupBy("anchor").agg(several.alias("several")).where("several").select("anchor"), "repeated")
     hits = materialize(found.join(repeated.hint("merge"), "anchor"), "hits")
 
-    # One row for each distinct context of a repeated anchor: how often it comes, and where it comes first.
-    groups = hits.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("id", "tag", "lo", "span")).alias("first"))
+    # One row for each distinct context of a repeated anchor: whether it comes again, and where it comes first.
+    again = F.min("id") != F.max("id") if across else F.count("*") > 1
+    groups = hits.groupBy("anchor", "context").agg(again.alias("twice"), F.min(F.struct("id", "tag", "lo", "span")).alias("first"))
     groups = materialize(groups, "groups")
-    crowd = materialize(groups.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "crowd")
-    want = F.struct(F.col("first.lo").alias("lo"), F.col("first.span").alias("span"), "anchor", "context", (F.col("kinds") > MOST_CONTEXTS).alias("split"))
-    wanted = groups.join(crowd.hint("merge"), "anchor").groupBy("first.id", "first.tag").agg(F.collect_list(want).alias("wanted"))
-    pieces = docs.join(wanted.hint("shuffle_hash"), ["id", "tag"]).select("id", "tag", "doc_id", "text", "wanted").mapInArrow(contexts, PIECE)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    checked = pieces.repartition(n, "route").sortWithinPartitions("route", "id", "lo").mapInArrow(resolve, "context long, lo int, hi int")
-    partial = materialize(checked.groupBy("context").agg(F.collect_list(F.struct("lo", "hi")).alias("part")), "partial")
-
-    verdicts = groups.join(partial.hint("shuffle_hash"), "context", "left").where("n > 1 or part is not null").select("context", "n", "first", "part")
-    at = hits.join(verdicts.hint("merge"), "context")
-    later = F.col("id") > F.col("first.id")
-    if not across:
-        later = (F.col("id") != F.col("first.id")) | (F.col("tag") != F.col("first.tag")) | (F.col("lo") != F.col("first.lo"))
-    everything = F.col("n") > 1 if copies_too else later
-    full = F.array(F.struct(F.col("lo"), (F.col("lo") + F.col("span")).alias("hi")))
-    moved = F.transform("part", lambda p: F.struct((p["lo"] + F.col("lo")).alias("lo"), (p["hi"] + F.col("lo")).alias("hi")))
-    rows = at.select("id", "tag", F.explode(F.when(everything, full).otherwise(moved)).alias("r"))
-    return rows.groupBy("id", "tag").agg(F.collect_list("r").alias("ranges"))
+    kinds = materialize(groups.groupBy("anchor").agg(F.count("*").alias("kinds")), "kinds")
+    want = F.struct(F.col("first.lo").alias("lo"), F.col("first.span").alias("span"), "anchor", "context", "twice", (F.col("kinds") == 1).alias("alone"))
+    placed = groups.join(kinds.hint("merge"), "anchor").where("twice or kinds > 1")
+
+    def texts(contexts: DataFrame) -> DataFrame:
+        wanted = contexts.groupBy("first.id", "first.tag").agg(F.collect_list(want).alias("wanted"))
+        return docs.join(wanted.hint("shuffle_hash"), ["id", "tag"]).select("id", "tag", "text", "wanted")
+
+    def resolved(pieces: DataFrame) -> DataFrame:
+        return pieces.repartition(n, "route").sortWithinPartitions("route", "id", "lo", "tag").mapInArrow(resolve, VERDICT)
+
+    verdicts = resolved(texts(placed.where(F.col("kinds") <= MOST_CONTEXTS)).mapInArrow(_pieces(symbols, join, width), PIECE))
+    if not kinds.where(F.col("kinds") > MOST_CONTEXTS).isEmpty():
+        windows = materialize(texts(placed.where(F.col("kinds") > MOST_CONTEXTS)).mapInArrow(_windows(symbols, join, width), WINDOW), "windows")
+        many = F.min("id") != F.max("id") if across else F.count("*") > 1
+        once = windows.groupBy("window").agg((many | F.max("twice")).alias("twice"), F.min(F.struct("id", "tag", "lo", "body")).alias("f")).where("twice")
+        mark = F.array(F.struct(F.col("window").alias("anchor"), F.col("window").alias("context"), F.lit(0).alias("at"), F.lit(0).alias("span")))
+        known = resolved(once.select(F.col("window").alias("route"), "f.id", "f.tag", "f.lo", "twice", "f.body", mark.alias("marks")))
+        known = materialize(known.select(F.col("anchor").alias("window"), F.struct("id", "tag", "lo").alias("f"), (F.size("part") > 0).alias("part"), (F.size("rest") > 0).alias("rest")), "known")
+        seen = windows.drop("body").join(known.hint("merge"), "window")
+        here = F.when(_later(across), F.col("rest")).otherwise(F.col("part"))
+        ranges = lambda c: F.collect_list(F.when(c, F.struct(F.col("at").alias("lo"), F.col("at").alias("hi"))))
+        verdicts = verdicts.union(seen.groupBy("anchor", "context", "id", "tag", (F.col("lo") - F.col("at")).alias("lo")).agg(ranges(here).alias("part"), ranges(F.col("rest") & F.col("twice")).alias("rest")))
+    verdicts = materialize(verdicts.select("anchor", "context", F.struct("id", "tag", "lo").alias("f"), "part", "rest"), "verdicts")
+
+    at = hits.join(verdicts.hint("merge"), ["anchor", "context"])
+    own = F.transform(F.when(_later(across), F.col("rest")).otherwise(F.col("part")), lambda p: F.struct((p["lo"] + F.col("lo")).alias("lo"), (p["hi"] + F.col("lo")).alias("hi")))
+    return at.select("id", "tag", F.explode(own).alias("r")).groupBy("id", "tag").agg(F.collect_list("r").alias("ranges"))
+
+
+def _later(across: bool) -> Column:
+    """Whether a place (id, tag, lo) is a later one than the first, f."""
+    if across:
+        return F.col("id") > F.col("f.id")
+    return (F.col("id") != F.col("f.id")) | (F.col("tag") != F.col("f.tag")) | (F.col("lo") != F.col("f.lo"))
 
 
 def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ bucket's reference block, indexed as it grows; every later passage is factored a
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -69,52 +68,31 @@ def _extract(width: int):
     return run
 
 
-def _contexts(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for key, text, wanted in zip(batch.column("id"), batch.column("text"), batch.column("wanted"), strict=True):
-                words, key = (text.as_py() or "").encode().split(), key.as_py()
-                for w in wanted.as_py():
-                    lo, span = w["lo"], w["span"]
-                    if not w["split"]:
-                        rows.append((w["anchor"], key, lo, w["context"], 0, b" ".join(words[lo : lo + span + width])))
-                        continue
-                    for o in range(span + 1):
-                        body = b" ".join(words[lo + o : lo + o + width])
-                        route = int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "big", signed=True)
-                        rows.append((route, key, lo + o, w["context"], o, body))
-                if len(rows) >= 4000:
-                    yield repeats.emit(rows, repeats.PIECE_FIELDS)
-                    rows = []
-            if rows:
-                yield repeats.emit(rows, repeats.PIECE_FIELDS)
-
-    return run
+def _words(text: str) -> list[bytes]:
+    return text.encode().split()
 
 
 def _resolve(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                yield from zip(*[batch.column(n).to_pylist() for n, _ in repeats.PIECE_FIELDS], strict=True)
+    """PIECE rows to VERDICT rows: each bucket's passages are factored in the order of their ids; a passage that comes again
+    is factored again, as one of a later document."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for _, bucket in groupby(rows(), key=lambda r: r[0]):
+        for _, bucket in groupby(repeats.piece_rows(batches), key=lambda r: r[0]):
             block: list[tuple[int, list[bytes]]] = []
             index: dict[bytes, tuple[int, int]] = {}
-            for _, own, _, context, offset, body in bucket:
-                passage = body.split(b" ")
-                known = factor(passage, own, block, index, width)
-                out += [(context, offset + a, offset + b) for a, b in known]
+            for row in bucket:
+                own, passage = row[1], row[5].split(b" ")
+                part = factor(passage, own, block, index, width)
                 block.append((own, passage))
                 for at in range(len(passage) - width + 1):
                     index.setdefault(b" ".join(passage[at : at + width]), (len(block) - 1, at))
+                out += repeats.judged(row, part, factor(passage, own + 1, block, index, width) if row[4] else [])
             if len(out) >= 10_000:
-                yield repeats.emit(out, repeats.CHECKED_FIELDS)
+                yield repeats.emit(out, repeats.VERDICT_FIELDS)
                 out = []
         if out:
-            yield repeats.emit(out, repeats.CHECKED_FIELDS)
+            yield repeats.emit(out, repeats.VERDICT_FIELDS)
 
     return run
 
@@ -128,7 +106,7 @@ def dedup_passages(docs: DataFrame, width: int = 13) -> DataFrame:
     other. An empty table gives an empty result; other columns are left out.
     """
     docs = repeats.keyed(docs)
-    ranges = repeats.repeated_ranges(docs, _extract(width), _contexts(width), _resolve(width), across=True, copies_too=False)
+    ranges = repeats.repeated_ranges(docs, _extract(width), _resolve(width), _words, b" ".join, width, across=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,8 +7,7 @@ order give, for every position, the longest match that starts earlier.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ def suffix_order(text: np.ndarray, longest: int) -> tuple[np.ndarray, dict[int,
     ranks: dict[int, np.ndarray] = {}
     h = 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal suffixes in any order
         new = np.ones(n, dtype=np.int64)
         new[1:] = key[order[1:]] != key[order[:-1]]
         rank = np.empty(n, dtype=np.int64)
@@ -81,9 +80,12 @@ def previous_factor(position: np.ndarray, lcp: np.ndarray, least: int) -> np.nda
     return best
 
 
-def repeated_starts(bodies: list[bytes], least: int, first_stays: bool) -> list[np.ndarray]:
-    """For each body, in order of precedence, which of its ``least``-byte windows occur in an earlier window (or, if the
-    first does not stay, in any other)."""
+def repeated_starts(bodies: list[bytes], least: int, first_stays: bool, twice: Sequence[bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of the joined bodies, which are in order of precedence: whether the ``least`` bytes from there on lie in
+    its body and occur earlier (or, if the first does not stay, anywhere else); and the same of the second copies of the
+    bodies that come ``twice``.
+
+    A second copy's suffixes stand beside the first's in suffix order, so they are put in after the sort."""
     sizes = np.array([len(b) for b in bodies])
     text = np.frombuffer(b"".join(bodies), dtype=np.uint8)
     ends = np.cumsum(sizes)
@@ -97,12 +99,16 @@ def repeated_starts(bodies: list[bytes], least: int, first_stays: bool) -> list[
     if least % 8 and len(order) > 1:  # the last bytes, one by one
         for i in range(step, least):
             lcp[1:] += (lcp[1:] == i) & (text[order[:-1] + i] == text[order[1:] + i])
-    match = previous_factor(order, lcp, least)
+    times = 1 + np.repeat(np.asarray(twice, dtype=np.int64), sizes)[order] if twice is not None else np.ones(len(order), np.int64)
+    copy = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    order, lcp = np.repeat(order, times), np.where(copy > 0, least, np.repeat(lcp, times))
+    place = 2 * order + copy
+    match = previous_factor(place, lcp, least)
     if not first_stays:
-        match = np.maximum(match, previous_factor(-order, lcp, least))
-    flag = np.zeros(len(text), dtype=bool)
-    flag[order] = match >= least
-    return [flag[e - s : e - least + 1] for s, e in zip(sizes, ends, strict=True)]
+        match = np.maximum(match, previous_factor(-place, lcp, least))
+    flags = np.zeros((2, len(text)), dtype=bool)
+    flags[copy, order] = match >= least
+    return flags[0], flags[1]
 
 
 def _extract(least: int):
@@ -127,47 +133,32 @@ def _extract(least: int):
     return run
 
 
-def _contexts(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for key, text, wanted in zip(batch.column("id"), batch.column("text"), batch.column("wanted"), strict=True):
-                raw, key = (text.as_py() or "").encode(), key.as_py()
-                for w in wanted.as_py():
-                    lo, span = w["lo"], w["span"]
-                    if not w["split"]:
-                        rows.append((w["anchor"], key, lo, w["context"], 0, raw[lo : lo + span + least]))
-                        continue
-                    for o in range(span + 1):
-                        body = raw[lo + o : lo + o + least]
-                        route = int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "big", signed=True)
-                        rows.append((route, key, lo + o, w["context"], o, body))
-                if len(rows) >= 2000:
-                    yield repeats.emit(rows, repeats.PIECE_FIELDS)
-                    rows = []
-            if rows:
-                yield repeats.emit(rows, repeats.PIECE_FIELDS)
-
-    return run
-
-
 def _resolve(least: int, first_stays: bool):
+    """PIECE rows to VERDICT rows. The LPF of a text's second copy is what is left of the text."""
+
     def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        flags = repeated_starts([r[5] for r in rows], least, first_stays)
-        out = [(r[3], r[4] + a, r[4] + b) for r, f in zip(rows, flags, strict=True) for a, b in repeats.runs(f)]
+        flags = repeated_starts([r[5] for r in rows], least, first_stays, [r[4] for r in rows])
+        ends = np.cumsum([len(r[5]) for r in rows])
+        ranges: list[list[list[tuple[int, int]]]] = [[[] for _ in rows] for _ in flags]
+        for flag, found in zip(flags, ranges, strict=True):  # no run goes over the end of a body: its last bytes start no window
+            at = np.array(repeats.runs(flag), dtype=np.int64).reshape(-1, 2)
+            body = np.searchsorted(ends, at[:, 0], side="right")
+            at -= (ends[body] - np.array([len(rows[i][5]) for i in body], dtype=np.int64))[:, None]
+            for i, (lo, hi) in zip(body.tolist(), at.tolist(), strict=True):
+                found[i].append((lo, hi))
+        out = [v for r, a, b in zip(rows, *ranges, strict=True) for v in repeats.judged(r, a, b)]
         if out:
-            yield repeats.emit(out, repeats.CHECKED_FIELDS)
+            yield repeats.emit(out, repeats.VERDICT_FIELDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
-        for batch in batches:
-            for row in zip(*[batch.column(n).to_pylist() for n, _ in repeats.PIECE_FIELDS], strict=True):
-                if size >= ARRAY and row[0] != rows[-1][0]:  # arrays end between buckets
-                    yield from solve(rows)
-                    rows, size = [], 0
-                rows.append(row)
-                size += len(row[5])
+        for row in repeats.piece_rows(batches):
+            if size >= ARRAY and row[0] != rows[-1][0]:  # arrays end between buckets
+                yield from solve(rows)
+                rows, size = [], 0
+            rows.append(row)
+            size += len(row[5])
         if rows:
             yield from solve(rows)
 
@@ -186,7 +177,7 @@ def dedup_substrings(docs: DataFrame, least: int = 200, keep_first: bool = True)
     other columns are left out.
     """
     docs = repeats.keyed(docs)
-    ranges = repeats.repeated_ranges(docs, _extract(least), _contexts(least), _resolve(least, keep_first), across=False, copies_too=not keep_first)
+    ranges = repeats.repeated_ranges(docs, _extract(least), _resolve(least, keep_first), str.encode, bytes, least, across=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -95,7 +95,15 @@ def test_suffix_arrays_against_sorting():
                 flags.append(b[i : i + least] in seen)
                 seen[b[i : i + least]] = 1
             want.append(flags)
-        assert [f.tolist() for f in suffix_dedup.repeated_starts(bodies, least, True)] == want
+        split = lambda flags, of: [flags[60 * i : 60 * i + 61 - least].tolist() for i in range(len(of))]
+        assert split(suffix_dedup.repeated_starts(bodies, least, True)[0], bodies) == want
+        # Second copies: as if each of these bodies stood right behind its first copy.
+        for first_stays in (True, False):
+            twice = [rng.random() < 0.4 for _ in bodies]
+            doubled = [b for b, t in zip(bodies, twice) for _ in range(1 + t)]
+            at = iter(split(suffix_dedup.repeated_starts(doubled, least, first_stays)[0], doubled))
+            for f, g, t in zip(*[split(x, bodies) for x in suffix_dedup.repeated_starts(bodies, least, first_stays, twice)], twice):
+                assert f == next(at) and (not t or g == next(at))
 
 
 def test_crowded_anchors_are_split(spark, docs, monkeypatch):
