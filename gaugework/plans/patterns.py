@@ -1,7 +1,9 @@
 """Distributed ranks, prefix sums and reshaping, on which the operators are built.
 
-A window without partition columns runs in one task. Here a value range is cut into buckets, each bucket gets the total
-of those before it, and windows run inside buckets. Where the cuts lie changes balance, never results.
+A window without partition columns runs in one task. Here the order is cut into buckets, each bucket gets the total of
+those before it, and windows run inside buckets. Cuts lie at quantiles, as many as the session has shuffle partitions, and
+rows of one crowded value are cut again by their tie key. Where the cuts lie changes balance, never results. A null group is
+a group; a null value comes before all others, NaN after them.
 """
 
 from __future__ import annotations
@@ -11,19 +13,46 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+#: Buckets at least and at most.
+BUCKETS, MOST_BUCKETS = 64, 4096
 
 
-def with_bucket(df: DataFrame, value: Column, by: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
-    """``df`` with ``_bucket``: which of equal parts of the group's range of values a row's value is in."""
-    df = df.withColumn("_v", value.cast("double"))
-    limits = df.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).select(F.lit(0).alias("_all"), *by, "_lo", "_hi")
-    joined = df.withColumn("_all", F.lit(0)).join(limits.hint("broadcast") if not by else limits, ["_all", *by])
-    part = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets)).otherwise(0)
-    return joined.withColumn("_bucket", F.least(part, F.lit(buckets - 1)).cast("int")).drop("_lo", "_hi", "_all", "_v")
+def buckets_of(df: DataFrame) -> int:
+    return min(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), BUCKETS), MOST_BUCKETS)
+
 
+def join_groups(df: DataFrame, small: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on the columns ``by``, where null equals null."""
+    renamed = small.withColumnsRenamed({c: f"_g_{c}" for c in by})
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(f"`{c}`").eqNullSafe(F.col(f"`_g_{c}`"))
+    return df.join(renamed, on, how).drop(*[f"_g_{c}" for c in by])
 
-def running_sums(df: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (), descending: bool = False, buckets: int = BUCKETS) -> DataFrame:
+
+def with_bucket(df: DataFrame, value: Column, by: Sequence[str], buckets: int | None = None, tie: str | None = None) -> DataFrame:
+    """``df`` with ``_bucket``, which grows with the value (and, where a value fills a bucket or more, with a numeric tie)."""
+    parts = buckets or buckets_of(df)
+    df = df.withColumn("_v", value.cast("double"))
+    splits = tie is not None and dict(df.dtypes)[tie] in ("bigint", "int", "double")
+    cuts = F.percentile_approx(F.when(~F.isnan("_v"), F.col("_v")), F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(10_000))
+    ends = [f(F.col(tie).cast("double")).alias(n) for f, n in ((F.min, "_lo"), (F.max, "_hi"))] if splits else []
+    limits = df.groupBy(*by).agg(F.coalesce(cuts, F.array().cast("array<double>")).alias("_cuts"), *ends)
+    joined = with_totals(df, limits, by)
+    # Binary search: cuts that are not above the value. A cut that comes twice is a value that fills a bucket.
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range((parts - 1).bit_length()))])
+    joined = joined.withColumn("_at", F.aggregate(steps, F.lit(0), lambda at, k: F.when(F.get("_cuts", at + k - 1) <= F.col("_v"), at + k).otherwise(at)))
+    at = F.coalesce(F.col("_at"), F.lit(0)).cast("long") * (parts + 1)
+    if splits:
+        crowded = (F.get("_cuts", F.col("_at") - 1) == F.get("_cuts", F.col("_at") - 2))
+        place = F.least(F.floor((F.col(tie).cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * parts), F.lit(parts - 1))
+        inside = F.when(F.col("_v") > F.get("_cuts", F.col("_at") - 1), F.lit(parts)).when(F.col("_hi") > F.col("_lo"), F.coalesce(place, F.lit(0))).otherwise(0)
+        at = at + F.when(F.coalesce(crowded, F.lit(False)), inside).otherwise(0)
+    at = F.when(F.col("_v").isNull(), F.lit(-1).cast("long")).otherwise(at)
+    return joined.withColumn("_bucket", at.cast("long")).drop("_cuts", "_lo", "_hi", "_v", "_at")
+
+
+def running_sums(df: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (), descending: bool = False, buckets: int | None = None) -> DataFrame:
     """``df`` (one row for each group and value) with, for each column c of ``sums``, ``cum_c``: its sum over the rows
     of the group up to and including this one, in the order of ``value``."""
     by = list(by)
@@ -33,19 +62,19 @@ def running_sums(df: DataFrame, value: str, sums: Sequence[str], by: Sequence[st
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select(*by, "_bucket", *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums])
     inside = Window.partitionBy(*by, "_bucket").orderBy(v).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.join(per, [*by, "_bucket"])
+    out = join_groups(df, per, [*by, "_bucket"])
     return out.select(*[x for x in df.columns if x != "_bucket"], *[(F.sum(c).over(inside) + F.col(f"_b_{c}")).alias(f"cum_{c}") for c in sums])
 
 
-def ranked(df: DataFrame, order: Column, tie: str = "row_id", by: Sequence[str] = (), name: str = "rank", buckets: int = BUCKETS) -> DataFrame:
+def ranked(df: DataFrame, order: Column, tie: str = "row_id", by: Sequence[str] = (), name: str = "rank", buckets: int | None = None) -> DataFrame:
     """``df`` with the 1-based rank of each row in its group, by ``order`` (ascending), then ``tie``."""
     by = list(by)
-    df = with_bucket(df.withColumn("_order", order.cast("double")), F.col("_order"), by, buckets)
+    df = with_bucket(df.withColumn("_order", order.cast("double")), F.col("_order"), by, buckets, tie)
     per = df.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select(*by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*by, "_bucket").orderBy("_order", tie)
-    out = df.join(per, [*by, "_bucket"]).withColumn(name, (F.row_number().over(inside) + F.col("_before")).cast("long"))
+    out = join_groups(df, per, [*by, "_bucket"]).withColumn(name, (F.row_number().over(inside) + F.col("_before")).cast("long"))
     return out.drop("_bucket", "_before", "_order")
 
 
@@ -66,7 +95,7 @@ def with_totals(df: DataFrame, totals: DataFrame, by: Sequence[str] = ()) -> Dat
     """Join one row for each group (or one row at all, without groups)."""
     by = list(by)
     if by:
-        return df.join(totals, by)
+        return join_groups(df, totals, by)
     return df.withColumn("_all", F.lit(0)).join(F.broadcast(totals.withColumn("_all", F.lit(0))), "_all").drop("_all")
 
 
