@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -132,6 +133,30 @@ def random_search(examples: DataFrame, features: Sequence[str], trials: int = 6,
     return out
 
 
+def model_queue(examples: DataFrame, features: Sequence[str], families: Sequence[str] = ("logistic", "forest", "boosted"), seed: int = 42) -> DataFrame:
+    """Each model family fitted on the same rows and judged on the same others, one row each, at its best F1's threshold.
+
+    ``rank`` orders by F1, then accuracy, then the smaller log loss; ``best`` marks the first. Rows stay on the executors:
+    Spark ML gathers gradients or histograms."""
+    made = {
+        "logistic": lambda: LogisticRegression(featuresCol="_x", labelCol="label", regParam=1e-4, maxIter=50),
+        "forest": lambda: RandomForestClassifier(featuresCol="_x", labelCol="label", numTrees=40, maxDepth=6, seed=seed),
+        "boosted": lambda: GBTClassifier(featuresCol="_x", labelCol="label", maxIter=20, maxDepth=4, seed=seed),
+    }
+    parts = stratified_split(examples.select("row_id", "label", *features), {"train": 0.7, "validation": 0.3}, seed)
+    parts = VectorAssembler(inputCols=list(features), outputCol="_x").transform(parts)
+    out = None
+    for family in families:
+        model = made[family]().fit(parts.where("split = 'train'"))
+        val = model.transform(parts.where("split = 'validation'")).select("row_id", "label", F.round(vector_to_array("probability")[1], 9).alias("p"))
+        t = optimal_threshold(val).select(F.col("threshold").alias("_t"))
+        row = with_rates(with_totals(val, t).agg(F.lit(family).alias("family"), F.count("*").alias("n"), F.max("_t").alias("threshold"), *confusion_aggs(F.col("_t")), *probability_aggs()))
+        row = with_totals(row, ranking_metrics(val)).drop("mean_p", "prevalence", "predicted_positive_rate")
+        out = row if out is None else out.unionByName(row)
+    order = Window.orderBy(F.round("f1", 9).desc(), F.round("accuracy", 9).desc(), F.round("log_loss", 9), "family")  # a row a family
+    return out.withColumn("rank", F.row_number().over(order)).withColumn("best", F.col("rank") == 1)
+
+
 def learning_curve(examples: DataFrame, features: Sequence[str], fractions: Sequence[float] = (0.1, 0.25, 0.5, 1.0), seed: int = 42) -> DataFrame:
     """Holdout F1 by share of training rows; the shares are nested (a row's hash decides)."""
     parts = stratified_split(examples, {"train": 0.7, "validation": 0.3}, seed)
@@ -233,5 +258,5 @@ def chronological_holdout(examples: DataFrame, features: Sequence[str], order: C
 def shift_drivers(sided: DataFrame, features: Sequence[str], seed: int = 42) -> DataFrame:
     """Features by what dealing them out anew costs a model that tells the sides apart."""
     data = sided.select("row_id", (F.col("side") == "current").cast("int").alias("label"), *features)
-    return permutation_importance(data, features, linear_score(*fit_logistic(data, features, 1e-3)), 2, seed)
+    return permutation_importance(data, features, linear_score(*fit_logistic(data, features, 1e-3)), 5, seed)
 

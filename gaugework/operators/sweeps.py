@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugework.functions.columns import clip, hash_uniform, poisson_weight, ratio, rates, with_rates
+from gaugework.functions.columns import clip, hash_normal, poisson_draw, ratio, rates, with_rates
 from gaugework.plans.patterns import grid, ranked, running_sums, score_steps, with_totals
 
 CAPACITIES = (0.01, 0.02, 0.05, 0.10, 0.15, 0.20, 0.30, 0.40, 0.50, 0.75, 1.0)
@@ -162,14 +162,13 @@ def selective_area(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def threshold_stability(scored: DataFrame, current: float = 0.5, replicates: int = 80, size: int = 101, seed: int = 42) -> DataFrame:
     """Poisson bootstrap of the best grid threshold: one row of quantiles, spread and verdict.
 
-    A row's weight in a replicate hangs on its id alone. Weights are summed by replicate and grid cell in each task
-    first, so replicates cost reading, not shuffling."""
+    A row's weight in a replicate is a Poisson(1) number. Rows of one grid cell and label are counted once, and a
+    replicate's sum of their weights is one Poisson number of that mean."""
     spark = scored.sparkSession
-    rows = scored.select("row_id", "label", F.floor(F.col("p") * (size - 1) + 1e-9).cast("int").alias("cell")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    rows = rows.withColumn("w", poisson_weight(hash_uniform(F.col("row_id"), seed, F.concat(F.lit("boot"), F.col("rep")))))
-    cells = rows.groupBy("rep", "cell").agg(F.sum(F.col("w") * F.col("label")).cast("long").alias("pos"), F.sum(F.col("w") * (1 - F.col("label"))).cast("long").alias("neg"))
+    cells = scored.groupBy(F.floor(F.col("p") * (size - 1) + 1e-9).cast("int").alias("cell")).agg(F.sum("label").cast("long").alias("pos"), F.sum(1 - F.col("label")).cast("long").alias("neg"))
     frame = spark.range(replicates).select(F.col("id").cast("int").alias("rep")).crossJoin(F.broadcast(spark.range(size).select(F.col("id").cast("int").alias("cell"))))
-    cells = frame.join(cells, ["rep", "cell"], "left").na.fill(0, ["pos", "neg"])
+    cells = frame.join(F.broadcast(cells), "cell", "left").na.fill(0, ["pos", "neg"])  # a row for each cell of the grid
+    cells = cells.select("rep", "cell", *[poisson_draw(F.col(c), hash_normal(F.col("rep"), seed, F.concat(F.lit(f"boot{c}"), F.col("cell")))).alias(c) for c in ("pos", "neg")])
     down = Window.partitionBy("rep").orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("rep")
     cells = cells.select("rep", (F.col("cell") / (size - 1)).alias("t"), F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(whole).alias("P"), F.sum("neg").over(whole).alias("N"))

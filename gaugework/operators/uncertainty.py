@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.functions.columns import clip, hash_normal, hash_uniform, poisson_weight, ratio, with_rates
-from gaugework.operators.metrics import confusion_aggs
+from gaugework.functions.columns import clip, hash_normal, poisson_draw, ratio, with_rates
+from gaugework.operators.metrics import confusion
 from gaugework.plans.patterns import ranked, running_sums, with_totals
 
 
@@ -75,12 +75,12 @@ def aps_sweep(calibration: DataFrame, evaluation: DataFrame, alphas: Sequence[fl
 
 
 def bootstrap_intervals(scored: DataFrame, replicates: int = 1000, alpha: float = 0.05, threshold: float = 0.5, seed: int = 42) -> DataFrame:
-    """Intervals of F1, accuracy and balanced accuracy from Poisson weights by row id and replicate.
+    """Intervals of F1, accuracy and balanced accuracy by the Poisson bootstrap.
 
-    The weighted cells of all replicates are summed in each task first: what is shuffled does not depend on the rows."""
-    rows = scored.select("row_id", "label", "p").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    rows = rows.withColumn("w", poisson_weight(hash_uniform(F.col("row_id"), seed, F.concat(F.lit("ci"), F.col("rep")))))
-    reps = with_rates(rows.groupBy("rep").agg(*confusion_aggs(threshold, F.col("w"))))
+    A replicate weighs each row by a Poisson(1) number. At a fixed threshold only the weighted cells of the confusion table
+    count, and a sum of n such weights is Poisson(n): each replicate draws four numbers, and the rows are counted once."""
+    cells = with_totals(scored.sparkSession.range(replicates).select(F.col("id").alias("rep")), confusion(scored, threshold).select("tp", "fp", "tn", "fn"))
+    reps = with_rates(cells.select("rep", *[poisson_draw(F.col(c), hash_normal(F.col("rep"), seed, f"ci{c}")).alias(c) for c in ("tp", "fp", "tn", "fn")]))
     names = ("f1", "accuracy", "balanced_accuracy")
     q = reps.agg(*[F.percentile(m, F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias(m) for m in names], *[F.avg(m).alias(f"{m}_mean") for m in names])
     return q.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.get(m, F.lit(0)).alias("low"), F.get(m, F.lit(1)).alias("high"), F.col(f"{m}_mean").alias("mean")) for m in names])))

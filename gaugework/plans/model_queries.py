@@ -33,11 +33,12 @@ R.add(
 )
 R.queries["m2_logistic_scores"] = lambda s, d: E(s, d).select("row_id", M.linear_score(*M.fit_logistic(E(s, d), X))(*[F.col(x) for x in X]).alias("p"))
 R.queries["m3_train_pipeline"] = lambda s, d: M.train_pipeline(E(s, d), X)[1]
-R.queries["m4_cross_validation"] = lambda s, d: M.cross_validate(E(s, d), X, 3)
-R.queries["m4_cross_validation_summary"] = lambda s, d: M.cross_validation_summary(M.cross_validate(E(s, d), X, 3))
-R.queries["m5_m6_random_search"] = lambda s, d: M.random_search(E(s, d), X, 4)
+R.queries["m4_cross_validation"] = lambda s, d: M.cross_validate(E(s, d), X)
+R.queries["m4_cross_validation_summary"] = lambda s, d: M.cross_validation_summary(M.cross_validate(E(s, d), X))
+R.queries["m5_m6_random_search"] = lambda s, d: M.random_search(E(s, d), X)
+R.queries["m6_model_queue"] = lambda s, d: M.model_queue(E(s, d), X)
 R.queries["m7_learning_curve"] = lambda s, d: M.learning_curve(E(s, d), X)
-R.queries["m8_committee_stability"] = lambda s, d: M.committee_stability(M.committee(E(s, d), X, 4))
+R.queries["m8_committee_stability"] = lambda s, d: M.committee_stability(M.committee(E(s, d), X))
 R.queries["m10_stacked"] = lambda s, d: M.stacked(_panel(s, d), M.stack_weights(_panel(s, d)))
 R.queries["m11_distilled_scores"] = lambda s, d: E(s, d).select("row_id", M.linear_score(*M.distill(E(s, d), X, F.col("p")))(*[F.col(x) for x in X]).alias("p"))
 R.queries["c1_c2_calibration_repair"] = lambda s, d: M.calibration_repair(E(s, d))

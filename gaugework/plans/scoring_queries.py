@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gaugework.operators import metrics as M
 from gaugework.operators import sweeps as S
 from gaugework.plans.registry import Registry
-from gaugework.plans.tables import confusion_sql, event_examples, poisson_sql, rates_sql, ratio_sql, uniform_sql
+from gaugework.plans.tables import confusion_sql, event_examples, normal_sql, poisson_sql, rates_sql, ratio_sql
 
 R = Registry()
 E = event_examples
@@ -117,12 +117,11 @@ R.add(
     f"WITH {CURVE_SQL}, o AS (SELECT coverage, max(error) AS error FROM curve WHERE selected > 0 GROUP BY coverage), q AS (SELECT coverage, error, lag(coverage) OVER (ORDER BY coverage) AS c0, lag(error) OVER (ORDER BY coverage) AS e0 FROM o) SELECT coalesce(sum((coverage - c0) * (error + e0) / 2), 0.0) AS aurc, min(error) AS min_error FROM q",
     "aurc min_error",
 )
-_W = poisson_sql("u")
+_T7 = ", ".join(f"""{poisson_sql(c, normal_sql("rep", 42, f"'boot{c}' || cell"))} AS {c}""" for c in ("pos", "neg"))
 R.add(
     "t7_threshold_stability", lambda s, d: S.threshold_stability(E(s, d)),
-    f"""WITH b AS (SELECT rep, CAST(floor(p * 100 + 1e-9) AS INT) AS cell, label, {uniform_sql('row_id', 42, "'boot' || rep")} AS u FROM e, range(80) r(rep)),
- c AS (SELECT rep, cell, sum({_W} * label) AS pos, sum({_W} * (1 - label)) AS neg FROM b GROUP BY rep, cell),
- f AS (SELECT r.rep, k.cell, coalesce(pos, 0) AS pos, coalesce(neg, 0) AS neg FROM range(80) r(rep) CROSS JOIN range(101) k(cell) LEFT JOIN c ON c.rep = r.rep AND c.cell = k.cell),
+    f"""WITH c AS (SELECT CAST(floor(p * 100 + 1e-9) AS INT) AS cell, sum(label) AS pos, sum(1 - label) AS neg FROM e GROUP BY 1),
+ g AS (SELECT r.rep, k.cell, coalesce(pos, 0) AS pos, coalesce(neg, 0) AS neg FROM range(80) r(rep) CROSS JOIN range(101) k(cell) LEFT JOIN c ON c.cell = k.cell), f AS (SELECT rep, cell, {_T7} FROM g),
  s AS (SELECT rep, cell / 100.0::DOUBLE AS t, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER v AS n_pos, sum(neg) OVER v AS n_neg FROM f WINDOW w AS (PARTITION BY rep ORDER BY cell DESC), v AS (PARTITION BY rep)),
  m AS (SELECT rep, t, {rates_sql()} FROM (SELECT rep, t, tp, fp, n_neg - fp AS tn, n_pos - tp AS fn FROM s)),
  o AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY round(f1, 9) DESC, round(balanced_accuracy, 9) DESC, round(accuracy, 9) DESC, round(abs(t - 0.5), 9), t) AS rn, max(f1) OVER (PARTITION BY rep) AS best, max(CASE WHEN abs(t - 0.5) < 1e-9 THEN f1 END) OVER (PARTITION BY rep) AS now FROM m),

@@ -119,10 +119,10 @@ R.add(
     "u3_aps_sweep", lambda s, d: U.aps_sweep(*_sides(s, d)),
     f"WITH {CONF_SQL.format(score='CASE WHEN label = (p > 0.5)::INT THEN greatest(p, 1 - p) ELSE 1.0::DOUBLE END')}, z AS (SELECT *, greatest(p, 1 - p) < quantile OR p <= 0.5 AS in0, greatest(p, 1 - p) < quantile OR p > 0.5 AS in1 FROM ev, qs), sw AS ({_SETS}) SELECT * FROM sw", _SWD,
 )
-_W = poisson_sql("u")
+_B1 = ", ".join(f"""{poisson_sql(c, normal_sql("rep", 42, f"'ci{c}'"))} AS {c}""" for c in ("tp", "fp", "tn", "fn"))
 R.add(
-    "b1_bootstrap_intervals", lambda s, d: U.bootstrap_intervals(E(s, d), 100),
-    f"""WITH b AS (SELECT rep, label, p, {uniform_sql('row_id', 42, "'ci' || rep")} AS u FROM e, range(100) r(rep)), w AS (SELECT rep, label, p, {_W} AS w FROM b), c AS (SELECT rep, {confusion_sql('0.5', 'w')} FROM w GROUP BY rep), m AS (SELECT {rates_sql()} FROM c)
+    "b1_bootstrap_intervals", lambda s, d: U.bootstrap_intervals(E(s, d)),
+    f"""WITH o AS (SELECT {confusion_sql()} FROM e), c AS (SELECT rep, {_B1} FROM o, range(1000) r(rep)), m AS (SELECT {rates_sql()} FROM c)
  SELECT 'f1' AS metric, quantile_cont(f1, 0.025) AS low, quantile_cont(f1, 0.975) AS high, avg(f1) AS mean FROM m UNION ALL SELECT 'accuracy', quantile_cont(accuracy, 0.025), quantile_cont(accuracy, 0.975), avg(accuracy) FROM m UNION ALL SELECT 'balanced_accuracy', quantile_cont(balanced_accuracy, 0.025), quantile_cont(balanced_accuracy, 0.975), avg(balanced_accuracy) FROM m""",
     "low high mean",
 )
