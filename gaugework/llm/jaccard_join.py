@@ -28,6 +28,8 @@ CLASSES = 1 << 16
 #: Shingles of the sets of one cluster's bucket, and those that bitmaps of one bucket stand for; a bucket with more is
 #: dealt into blocks, and each pair of blocks is a bucket.
 BUCKET_SHINGLES, BITMAP_SHINGLES = 4_000_000, 100_000_000
+#: Tasks over which the nodes of one label are spread.
+SALTS = 32
 #: Bitmaps show one of so many tokens.
 SAMPLE = 4
 FANOUT = 16
@@ -327,7 +329,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of links (code, other): rows (code, label) for every node, the label its component's smallest.
 
     Each round takes the smallest label among a node and its neighbours and then the label's own label, so paths
-    shorten by half; it ends when no label changes. Aggregations combine in each task first, so hubs cost no more.
+    shorten by half; it ends when no label changes. Aggregations combine in each task first, so hubs cost no more. The label
+    of a label is looked up once and spread over SALTS tasks, so a component's nodes do not meet in one.
     """
     links = materialize(links.select("code", "other"), "links")
     edges = links.union(links.select(F.col("other").alias("code"), F.col("code").alias("other"))).distinct()
@@ -336,8 +339,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         near = edges.join(labels.select(F.col("code").alias("other"), "label").hint("merge"), "other").groupBy("code").agg(F.min("label").alias("near"))
         low = labels.join(near.hint("shuffle_hash"), "code").select("code", F.least("label", "near").alias("low"), "label")
-        jump = low.select(F.col("code").alias("low"), F.col("low").alias("far"))
-        new = low.join(jump.hint("merge"), "low").select("code", F.least("low", "far").alias("label"), (F.least("low", "far") != F.col("label")).alias("changed"))
+        low = materialize(low, "low")
+        jump = low.select("low").distinct().join(low.select(F.col("code").alias("low"), F.col("low").alias("far")).hint("merge"), "low")
+        salted = jump.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        new = low.withColumn("salt", F.pmod(F.xxhash64("code"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["low", "salt"])
+        new = new.select("code", F.least("low", "far").alias("label"), (F.least("low", "far") != F.col("label")).alias("changed"))
         new = materialize(new, "labels")
         labels = new.select("code", "label")
         if new.where("changed").isEmpty():
@@ -372,8 +378,11 @@ def _components_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
     labels = components(links)
 
     named = kinds.select("code", "id").join(labels.hint("shuffle_hash"), "code", "left").select("code", "id", F.coalesce("label", "code").alias("label"))
-    least = named.groupBy("label").agg(F.min("id").alias("component"))
-    names = named.join(least.hint("merge"), "label").select("code", "component")
+    named = named.withColumn("salt", F.pmod(F.xxhash64("code"), F.lit(SALTS)).cast("int"))
+    # Any other label than those of several codes is its one code's own.
+    least = named.groupBy("label").agg(F.min("id").alias("component"), F.count("*").alias("codes")).where("codes > 1").drop("codes")
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    names = named.join(least.hint("merge"), ["label", "salt"], "left").select("code", F.coalesce("component", "id").alias("component"))
     out = sets.select("id", "tag", "n", "code").join(names.hint("merge"), "code", "left")
     return out.select("id", "tag", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
 
