@@ -22,7 +22,7 @@ WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {_WORDS.form
  m AS (SELECT *, CASE WHEN n_words > 0 THEN n_symbols * 1000 // n_words ELSE 0 END AS symbol_share, CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END AS dup_line_share,
   CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END AS repeat_share, CASE WHEN n_words > 0 THEN word_chars * 10 // n_words ELSE 0 END AS word_length FROM s),
  v AS (SELECT doc_id, lang, source, unnest(['symbol_share', 'dup_line_share', 'repeat_share', 'word_length']) AS metric, unnest([symbol_share, dup_line_share, repeat_share, word_length]) AS value FROM m),
- q AS (SELECT lang, source, metric, quantile_disc(least(value, 1000), 0.25) AS q1, quantile_disc(least(value, 1000), 0.75) AS q3 FROM v GROUP BY ALL),
+ q AS (SELECT lang, source, metric, quantile_disc(value, 0.25) AS q1, quantile_disc(value, 0.75) AS q3 FROM v GROUP BY ALL),
  bad AS (SELECT DISTINCT doc_id FROM v JOIN q ON v.lang IS NOT DISTINCT FROM q.lang AND v.source IS NOT DISTINCT FROM q.source AND v.metric = q.metric WHERE value > q3 + 6 * greatest(q3 - q1, 30) OR value < q1 - 6 * greatest(q3 - q1, 30))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM m

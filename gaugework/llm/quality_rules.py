@@ -77,8 +77,8 @@ def block_stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def text_stats(docs: DataFrame) -> DataFrame:
-    """Every column of ``docs`` but ``text``, and the counts of ``STATS``, of whole texts."""
-    keep = [f for f in docs.schema.fields if f.name != "text"]
+    """Every column of ``docs`` but ``text``, and the counts of ``STATS``, of whole texts; columns of these names are replaced."""
+    keep = [f for f in docs.schema.fields if f.name not in ("text", *[c.split(" ")[0] for c in STATS.split(", ")])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,8 +141,12 @@ def judge(docs: DataFrame, by: tuple[str, ...] = ("lang", "source"), spread: int
     ``base_failed``: under 50 words, or more than half of the words in repeated 3-word windows. ``kept``: not failed,
     and no metric outside the limits of its language and source. Limits are joined by salted keys, so a group with
     a third of all rows spreads over ``salts`` tasks. Nulls: a null text has no words and fails; a null language or
-    source is a group of its own. Repeated rows are judged each. An empty table gives an empty result.
+    source is a group of its own. Equal values are on the same side of a limit. A text of any length is counted whole.
+    Repeated rows are judged each. An empty table gives an empty result. Columns named as the counts, the metrics or
+    what comes of them are replaced; names that begin with two underscores are the operator's own.
     """
+    made = ("base_failed", "kept", *METRICS, *[f"{m}_{c}" for m in METRICS for c in ("low", "high")])
+    docs = docs.drop(*[c for c in docs.columns if c in made or c.startswith("__")])
     seen = materialize(with_metrics(text_stats(docs)), "stats")
     limits = thresholds(seen, by, spread, least_width).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     left = seen.withColumn("__salt", F.pmod(F.xxhash64(*[c for c in ("doc_id",) if c in seen.columns], "n_words", "word_chars"), F.lit(salts)).cast("int"))

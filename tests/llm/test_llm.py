@@ -207,6 +207,9 @@ def test_quality_statistics(spark, docs, clashing, none):
     for r in out.collect():
         assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]) and not (r["kept"] and r["base_failed"])
     assert quality_rules.judge(none).count() == 0
+    names = ("n_words", "word_chars", "base_failed", "kept")
+    extra = clashing.withColumns({n: F.lit("extra") for n in ("n_lines", "repeat_share", "word_length_low", "base_failed")})
+    assert got(quality_rules.judge(extra).select(*names)) == got(quality_rules.judge(docs).select(*names))
 
 
 def test_quality_sketches_merge(spark):
@@ -214,8 +217,10 @@ def test_quality_sketches_merge(spark):
     df = spark.createDataFrame(rows, "lang string, source string, symbol_share long, dup_line_share long, repeat_share long, word_length long")
     q = quality_rules.quantiles(quality_rules.sketch(df, ("lang", "source")), ("lang", "source"), {"q": 0.5}).where("metric = 'symbol_share'").first()
     assert abs(q["q"] - 47) <= 1
-    halves = quality_rules.sketch(df.limit(400), ("lang", "source")).union(quality_rules.sketch(df.subtract(df.limit(0)), ("lang", "source")).limit(0))
-    assert halves.groupBy("metric").agg(F.sum("n")).count() == 4
+    by = ("lang", "source")
+    halves = quality_rules.sketch(df.where("symbol_share < 40"), by).union(quality_rules.sketch(df.where("symbol_share >= 40"), by))
+    merged = halves.groupBy(*by, "metric", "bin").agg(F.sum("n").alias("n"))
+    assert got(merged) == got(quality_rules.sketch(df, by).select(*merged.columns))
 
 
 def test_classifiers(spark, clashing, none):
