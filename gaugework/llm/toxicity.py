@@ -20,6 +20,8 @@ SIZES, BUCKETS, FEATURES = (3, 4, 5), 1 << 19, 4096
 SURE = 4.0
 #: Labelled rows that the classifier is fitted on at most: those with the smallest hash of their id.
 TRAINING_ROWS = 12_000
+#: Bytes of text that one step works on, with some 150 bytes of arrays for each.
+STEP = 1 << 18
 #: Weight of the squared norm in the classifier's objective (the mean loss has the weight 1).
 L2 = 3e-4
 
@@ -180,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TR
         for batch in batches:
             data, offsets = utf8_rows(batch.column("text"))
             y = batch.column("label").to_numpy()
-            for a, b in blocks(offsets):
+            for a, b in blocks(offsets, STEP):
                 row, bucket = gram_rows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 for k in (0, 1):
                     total[k] += np.bincount(bucket[y[a:b][row] == k], minlength=BUCKETS)
@@ -202,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TR
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8_rows(batch.column("text"))
-            for a, b in blocks(offsets):
+            for a, b in blocks(offsets, STEP):
                 row, bucket = gram_rows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], scale)
                 cut = np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("label").slice(a, b - a).cast(pa.int32()), pa.ListArray.from_arrays(pa.array(cut), pa.array(bucket.astype(np.int32)))], ["doc_id", "label", "buckets"])
@@ -231,7 +233,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
         own = Model(*sent.value)
         for batch in batches:
             data, offsets = utf8_rows(batch.column("text"))
-            parts = [own.score(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in blocks(offsets)]
+            parts = [own.score(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in blocks(offsets, STEP)]
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in keep], pa.array(np.concatenate([*parts, np.zeros(0)]))], [*[f.name for f in keep], name])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keep)
