@@ -165,7 +165,7 @@ def piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             place = row[:4]
 
 
-def repeated_ranges(docs: DataFrame, extract: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], resolve: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], symbols: Symbols, join: Join, width: int, across: bool) -> DataFrame:
+def repeated_ranges(docs: DataFrame, extract: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], resolve: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], symbols: Symbols, join: Join, width: int, across: bool, write_segments: bool = False) -> DataFrame:
     """Window ranges to remove: rows (id, tag, ranges), ranges an array of (lo, hi), windows lo to hi inclusive.
 
     ``extract`` turns keyed texts into SEGMENT rows. ``symbols`` cuts a text, ``join`` makes bytes of a part of it.
@@ -173,6 +173,8 @@ def repeated_ranges(docs: DataFrame, extract: Callable[[Iterator[pa.RecordBatch]
     does not give is not removed. ``across``: repeats count between different ids only, and a later place is one with a
     larger id; else every other place is.
 
+    With ``write_segments``, segments are written out and read twice; else they are made twice, which takes less disk.
+
     Contexts are told apart by anchor and context hash, 128 bits together. A bucket holds each of its contexts once, at most
     MOST_CONTEXTS of them. A crowded anchor's windows are counted by their own hash first, so that each is one row of a
     bucket of its own, however often it comes.
@@ -180,6 +182,8 @@ def repeated_ranges(docs: DataFrame, extract: Callable[[Iterator[pa.RecordBatch]
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = docs.select("id", "tag", "text").mapInArrow(extract, SEGMENT)
+    if write_segments:
+        found = materialize(found, "segments")
     several = F.min("id") != F.max("id") if across else F.count("*") > 1
     # Written out, so that the joins below are between plain shuffles: Spark can split a crowded key's rows.
     repeated = materialize(found.groupBy("anchor").agg(several.alias("several")).where("several").select("anchor"), "repeated")

@@ -21,28 +21,41 @@ GRAM, PIECE, ARRAY = 32, 1 << 19, 1 << 20
 
 
 def suffix_order(text: np.ndarray, longest: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """Suffixes sorted by their first 2 ** m >= ``longest`` bytes, and at each power h the ranks by the first h bytes."""
-    n = len(text)
+    """Suffixes sorted by their first ``longest`` bytes or a few more, and for growing lengths h the ranks by the first h
+    bytes: the place of the first suffix with the same h bytes. Each round joins the ranks of ``_parts`` neighbouring
+    stretches of h bytes; only suffixes that share these bytes with others are sorted further."""
+    n, parts = len(text), _parts(len(text))
     padded = np.zeros(n + 8, dtype=np.uint64)
     padded[:n] = text
     key = np.zeros(n, dtype=np.uint64)
     for i in range(8):
         key = (key << np.uint64(8)) | padded[i : i + n]
+    order = np.argsort(key)  # equal suffixes in any order
+    place, sorted_key = np.arange(n), key[order]  # places in the order that are not settled, and what they are sorted by
+    rank = np.zeros(n + 1, dtype=np.int64)  # at n: behind the end
     ranks: dict[int, np.ndarray] = {}
     h = 8
     while True:
-        order = np.argsort(key)  # equal suffixes in any order
-        new = np.ones(n, dtype=np.int64)
-        new[1:] = key[order[1:]] != key[order[:-1]]
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.cumsum(new)
-        ranks[h] = rank
+        new = np.ones(len(place) + 1, dtype=bool)
+        new[1:-1] = sorted_key[1:] != sorted_key[:-1]
+        first = np.flatnonzero(new)
+        rank[order[place]] = np.repeat(place[first[:-1]], np.diff(first)) + 1
+        ranks[h] = rank[:n].copy()
         if h >= longest:
             return order, ranks
-        after = np.zeros(n, dtype=np.int64)
-        after[: max(n - h, 0)] = rank[h:]
-        key = (rank * (n + 1) + after).astype(np.uint64)
-        h *= 2
+        place = place[~(new[:-1] & new[1:])]
+        own = order[place]
+        key = rank[own]
+        for i in range(1, parts):
+            key = key * (n + 1) + rank[np.minimum(own + i * h, n)]
+        within = np.argsort(key)
+        order[place], sorted_key = own[within], key[within]
+        h *= parts
+
+
+def _parts(n: int) -> int:
+    """How many ranks of n suffixes one 63-bit number holds, 3 at most."""
+    return 3 if n < (1 << 21) - 1 else 2
 
 
 def common_prefix(ranks: dict[int, np.ndarray], a: np.ndarray, b: np.ndarray, longest: int) -> np.ndarray:
@@ -50,11 +63,12 @@ def common_prefix(ranks: dict[int, np.ndarray], a: np.ndarray, b: np.ndarray, lo
     n = len(next(iter(ranks.values())))
     same = np.zeros(len(a), dtype=np.int64)
     for h in sorted(ranks, reverse=True):
-        x, y = a + same, b + same
-        inside = (x < n) & (y < n) & (same + h <= longest)
-        equal = np.zeros(len(a), dtype=bool)
-        equal[inside] = ranks[h][x[inside]] == ranks[h][y[inside]]
-        same[equal] += h
+        for _ in range(_parts(n) - 1):
+            x, y = a + same, b + same
+            inside = (x < n) & (y < n) & (same + h <= longest)
+            equal = np.zeros(len(a), dtype=bool)
+            equal[inside] = ranks[h][x[inside]] == ranks[h][y[inside]]
+            same[equal] += h
     return same
 
 
@@ -69,12 +83,11 @@ def previous_factor(position: np.ndarray, lcp: np.ndarray, least: int) -> np.nda
         pos = position[::side]
         share = lcp.copy() if side == 1 else np.append(lcp[1:], 0)[::-1].copy()
         near = np.arange(len(pos)) - 1
-        while True:
-            go = np.flatnonzero((near >= 0) & (share >= least) & (pos[np.maximum(near, 0)] > pos))
-            if not len(go):
-                break
+        go = np.flatnonzero((near >= 0) & (share >= least))
+        while len(go := go[pos[near[go]] > pos[go]]):
             at = near[go]
             near[go], share[go] = near[at], np.minimum(share[go], share[at])
+            go = go[(near[go] >= 0) & (share[go] >= least)]
         share[near < 0] = 0
         best = np.maximum(best, share[::side])
     return best
@@ -90,8 +103,7 @@ def repeated_starts(bodies: list[bytes], least: int, first_stays: bool, twice: S
     text = np.frombuffer(b"".join(bodies), dtype=np.uint8)
     ends = np.cumsum(sizes)
     room = np.repeat(ends, sizes) - np.arange(len(text))
-    power = 1 << max(3, (least - 1).bit_length())
-    order, ranks = suffix_order(text, power)
+    order, ranks = suffix_order(text, least)
     order = order[room[order] >= least]
     step = 8 * (least // 8)
     lcp = np.zeros(len(order), dtype=np.int64)
@@ -177,7 +189,7 @@ def dedup_substrings(docs: DataFrame, least: int = 200, keep_first: bool = True)
     other columns are left out.
     """
     docs = repeats.keyed(docs)
-    ranges = repeats.repeated_ranges(docs, _extract(least), _resolve(least, keep_first), str.encode, bytes, least, across=False)
+    ranges = repeats.repeated_ranges(docs, _extract(least), _resolve(least, keep_first), str.encode, bytes, least, across=False, write_segments=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
