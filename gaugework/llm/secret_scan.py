@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import codecs
 import hashlib
 import io
 import re
 import tempfile
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,16 +28,21 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
-_ESCAPED = re.compile(r"\\[ux]([0-9A-Fa-f]+)")
+_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2}|%u[0-9A-Fa-f]{4})+")
+#: Parts of a percent run: bytes, and UTF-16 units.
+_BYTES = re.compile(r"((?:%[0-9A-Fa-f]{2})+)|%u([0-9A-Fa-f]{4})")
+_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
+_ESCAPED = re.compile(r"\\[uUx]\{?([0-9A-Fa-f]+)\}?|&#[xX]([0-9A-Fa-f]+);|&#([0-9]+);")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/]{16,}|[A-Za-z0-9_-]{16,})={0,2}(?![A-Za-z0-9+/_=-])")
 #: Base64 over two lines or more; the marks around PEM blocks are no part of it.
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?!-)[A-Za-z0-9+/_-]{16,}(?<!-----)(?:\r?\n(?!-----)[A-Za-z0-9+/_-]+)+={0,2}")
 _LINE = re.compile(r"[^\r\n]+")
+#: A run of the characters of both alphabets: base64, or a path or name that ends in base64 after one of ``_JOINT``.
+_JOINED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+_JOINT = re.compile(r"[+/_-]+")
 _MARKS = (b"\xff\xfe", b"\xfe\xff")
 #: After this, no match of any pattern goes on, here or in what it decodes to.
-_BETWEEN = re.compile(r"""[^A-Za-z0-9+/_.=\-"'\x20:%\\\r\n]|\n(?=\r?\n)""")
+_BETWEEN = re.compile(r"""[^A-Za-z0-9+/_.=\-"'\x20:%\\\r\n{}&#;]|\n(?=\r?\n)""")
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
@@ -51,21 +58,21 @@ class Layer:
     """A text and, for each of its characters, the span of the document that it comes from and if it was decoded."""
 
     text: str
-    start: list[int] | range
-    end: list[int] | range
-    decoded: list[bool] | None
+    start: array | range
+    end: array | range
+    decoded: bytearray | None
 
 
 def _spliced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     """The layer with every match replaced by its decoded characters; ``decode`` yields (character, width)."""
-    text, start, end, fresh, at = [], [], [], [], 0
+    text, start, end, fresh, at = [], array("q"), array("q"), bytearray(), 0
     old = layer.decoded
 
     def literal(lo: int, hi: int) -> None:
         text.append(layer.text[lo:hi])
         start.extend(layer.start[lo:hi])
         end.extend(layer.end[lo:hi])
-        fresh.extend(old[lo:hi] if old else [False] * (hi - lo))
+        fresh.extend(old[lo:hi] if old else bytes(hi - lo))
 
     for m in pattern.finditer(layer.text):
         literal(at, m.start())
@@ -84,20 +91,31 @@ def _spliced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
 
 
 def _percent(run: str) -> list[tuple[str, int]]:
-    text = bytes.fromhex(run.replace("%", "")).decode(errors="surrogateescape")
-    return [("�", 3) if 0xDC80 <= ord(c) < 0xDD00 else (c, 3 * len(c.encode())) for c in text]
+    out: list[tuple[str, int]] = []
+    for m in _BYTES.finditer(run):
+        if m[1]:
+            text = bytes.fromhex(m[1].replace("%", "")).decode(errors="surrogateescape")
+            out += [("�", 3) if 0xDC80 <= ord(c) < 0xDD00 else (c, 3 * len(c.encode())) for c in text]
+        else:
+            out.append((chr(int(m[2], 16)), 6))
+    return _paired(out)
 
 
 def _escaped(run: str) -> list[tuple[str, int]]:
+    codes = ((int(m[3] or m[1] or m[2], 10 if m[3] else 16), len(m[0])) for m in _ESCAPED.finditer(run))
+    return _paired([(chr(code) if code < 0x110000 else "�", width) for code, width in codes])
+
+
+def _paired(units: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """The characters with surrogate pairs joined to one; single surrogates are replaced."""
     out: list[tuple[str, int]] = []
-    for m in _ESCAPED.finditer(run):
-        code, width = int(m[1], 16), len(m[0])
-        if 0xDC00 <= code < 0xE000 and out and 0xD800 <= ord(out[-1][0]) < 0xDC00:
+    for char, width in units:
+        if "\udc00" <= char < "\ue000" and out and "\ud800" <= out[-1][0] < "\udc00":
             high, before = out.pop()
-            out.append((chr(0x10000 + ((ord(high) - 0xD800) << 10) + code - 0xDC00), before + width))
+            out.append((chr(0x10000 + ((ord(high) - 0xD800) << 10) + ord(char) - 0xDC00), before + width))
         else:
-            out.append((chr(code), width))
-    return [("�" if 0xD800 <= ord(c) < 0xE000 else c, w) for c, w in out]
+            out.append((char, width))
+    return [("�" if "\ud800" <= c < "\ue000" else c, w) for c, w in out]
 
 
 def _packed(head: bytes) -> bool:
@@ -219,12 +237,51 @@ def _base64_runs(text: str) -> Iterator[tuple[bytes, int, int]]:
             first = to
 
 
+def _later(run: str) -> tuple[list[list[int]], list[int]]:
+    """Places in a run, after a joint, where base64 may begin: those of each alignment (all of them decode to ends of
+    what the first decodes to), and those where something compressed begins."""
+    body = run.rstrip("=")
+    by_place: dict[int, list[int]] = {}
+    packed = []
+    for m in _JOINT.finditer(body):
+        if len(body) - m.end() >= 16:
+            by_place.setdefault(m.end() % 4, []).append(m.end())
+            if _packed(_decoded(body[m.end() : m.end() + 4]) or b""):
+                packed.append(m.end())
+    return list(by_place.values()), packed
+
+
+def _tail(run: str, at: int) -> bytes:
+    body = run.rstrip("=")[at:]
+    return _decoded(body[: len(body) - (len(body) % 4 == 1)]) or b""
+
+
+def _joined_kinds(run: str, whole: bool) -> set[tuple[str, int]]:
+    """(kind, place) of secrets in base64 that begins after a joint of the run: a path, a name. The last place that
+    shows the secret counts. ``whole``: the run from its start has been decoded."""
+    places, packed = _later(run)
+    found: set[tuple[str, int]] = set()
+    for at in packed:
+        found.update((kind, at) for kind in _kinds(_tail(run, at)))
+    for starts in places:
+        if whole and starts[0] % 4 == 0:
+            continue
+        for kind in _kinds(_tail(run, starts[0])):
+            past = bisect.bisect_left(starts, True, lo=1, key=lambda at: kind not in _kinds(_tail(run, at)))  # noqa: B023
+            found.add((kind, starts[past - 1]))
+    return found
+
+
 def _children(text: str) -> Iterator[str]:
     for pattern, decode in ((_PERCENT, _percent), (_ESCAPE, _escaped)):
         if pattern.search(text):
             yield pattern.sub(lambda m: "".join(c for c, _ in decode(m[0])), text)  # noqa: B023
     for raw, _, _ in _base64_runs(text):
         yield from _texts(raw)
+    for m in _JOINED.finditer(text):
+        places, packed = _later(m[0])
+        for at in [*packed, *(starts[0] for starts in places)]:
+            yield from _texts(_tail(m[0], at))
 
 
 def _kinds(raw: bytes) -> set[str]:
@@ -248,14 +305,15 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
     """Base spans, and all spans: the base ones and those of decoded layers, mapped to the document.
 
     A worklist starts with the text itself. From each layer come its percent-decoded text, its text with Unicode
-    escapes resolved, until nothing new comes; layers seen before, by text and place, are not taken up again. The content
-    of each base64 run (unpacked if compressed, all of it) is taken through the same steps by ``_kinds``. A match in a layer counts if a decoded character is in
-    it; it is mapped to the document's span that its characters come from.
+    escapes and character references resolved, until nothing new comes; layers seen before, by text and map, are not
+    taken up again. The content of each base64 run (unpacked if compressed, all of it) is taken through the same steps by
+    ``_kinds``, and so is what begins after a joint of a run. A match in a layer counts if a decoded character is in it;
+    it is mapped to the document's span that its characters come from.
     """
     base = find(text)
     spans = set(base)
     work = deque([Layer(text, range(len(text)), range(1, len(text) + 1), None)])
-    seen: set[tuple[str, int, int]] = set()
+    seen: set[bytes] = set()
     known: dict[bytes, set[str]] = {}
     while work:
         layer = work.popleft()
@@ -266,7 +324,7 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
         children: list[Layer] = []
         if "%" in layer.text and (child := _spliced(layer, _PERCENT, _percent)):
             children.append(child)
-        if "\\" in layer.text and (child := _spliced(layer, _ESCAPE, _escaped)):
+        if ("\\" in layer.text or "&#" in layer.text) and (child := _spliced(layer, _ESCAPE, _escaped)):
             children.append(child)
         alone: dict[int, set[str]] = {}
         for raw, lo, hi in _base64_runs(layer.text):
@@ -278,9 +336,16 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
             elif layer.text.count("\n", lo, hi) == 1 and layer.text.find("\n", lo) - lo < 60:
                 new = new - alone.get(lo, set())  # a short line that is whole without the next
             spans.update((kind, layer.start[lo], layer.end[hi - 1]) for kind in new)
+        for m in _JOINED.finditer(layer.text):
+            if _JOINT.search(m[0]):
+                found = _joined_kinds(m[0], m.start() in alone)
+                spans.update((kind, layer.start[m.start() + at], layer.end[m.end() - 1]) for kind, at in found)
         for child in children:
-            key = (child.text, child.start[0], child.end[-1]) if child.text else None
-            if key and key not in seen:
+            key = hashlib.blake2b(child.text.encode("utf-8", "surrogatepass"), digest_size=16)
+            key.update(child.start.tobytes())
+            key.update(child.end.tobytes())
+            key = key.digest()
+            if child.text and key not in seen:
                 seen.add(key)
                 work.append(child)
     rank = {k: i for i, k in enumerate(KINDS)}
