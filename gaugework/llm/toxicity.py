@@ -16,7 +16,8 @@ from gaugework.llm.textblocks import blocks, mixed, utf8_rows
 
 #: Lengths in code points of the n-grams, classes of their hash, and features that the classifier keeps at most.
 SIZES, BUCKETS, FEATURES = (3, 4, 5), 1 << 19, 4096
-#: Standard errors that a feature's log-count ratio is at least away from 0.
+#: Standard errors that a feature is at least away from one that tells nothing of the label: the root of twice the log
+#: likelihood ratio, which also holds where one label has no such text.
 SURE = 4.0
 #: Labelled rows that the classifier is fitted on at most: those with the smallest hash of their id.
 TRAINING_ROWS = 12_000
@@ -169,8 +170,8 @@ def fit_logistic(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndar
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAINING_ROWS) -> Model:
     """Fit on at most ``most`` labelled rows, none of them held out.
 
-    Spark counts in how many texts of either label each bucket occurs. Of buckets in 3 texts or more whose log-count
-    ratio is SURE standard errors away from 0, the FEATURES surest are kept, scaled by that ratio. The driver sees those,
+    Spark counts in how many texts of either label each bucket occurs. Of buckets in 3 texts or more that are SURE
+    standard errors away from telling nothing, the FEATURES surest are kept, scaled by their log-count ratio. The driver sees those,
     and for each training row its kept features: both bounded by the parameters. Without rows of both labels, the score
     is the share of label 1 (0.5 without any). Labels other than 0 and 1 and null ids are not learned from; of several
     labels of one id the larger counts; repeated rows of ``docs`` are learned from each.
@@ -196,7 +197,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TR
         return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
     counts = rows.select("text", "label").mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     ratio = F.log((F.col("n1") + 1) / (n1 + 2)) - F.log((F.col("n0") + 1) / (n0 + 2))
-    sure = F.abs("ratio") / F.sqrt(1 / (F.col("n0") + 1) + 1 / (F.col("n1") + 1))
+    held = F.col("n0") + F.col("n1")
+    cells = [(F.col("n0"), held * n0), (F.col("n1"), held * n1), (n0 - F.col("n0"), (n0 + n1 - held) * n0), (n1 - F.col("n1"), (n0 + n1 - held) * n1)]
+    likelihood = sum((F.when(n > 0, n * F.log(n * (n0 + n1) / even)).otherwise(0.0) for n, even in cells), F.lit(0.0))
+    sure = F.round(F.sqrt(F.greatest(2 * likelihood, F.lit(0.0))), 9)
     kept = counts.where("n0 + n1 >= 3").withColumn("ratio", ratio).where(sure >= SURE).orderBy(sure.desc(), "bucket").limit(FEATURES).toPandas()
     scale = np.zeros(BUCKETS)
     scale[kept["bucket"].to_numpy(np.int64)] = kept["ratio"].to_numpy()

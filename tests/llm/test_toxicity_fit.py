@@ -98,7 +98,9 @@ def test_model_by_hand(spark, monkeypatch):
     for b in counts[0] | counts[1]:
         n0, n1 = counts[0][b], counts[1][b]
         ratio = math.log((n1 + 1) / (n[1] + 2)) - math.log((n0 + 1) / (n[0] + 2))
-        if n0 + n1 >= 3 and abs(ratio) / math.sqrt(1 / (n0 + 1) + 1 / (n1 + 1)) >= toxicity.SURE:
+        cells = [(n0, n[0], n0 + n1), (n1, n[1], n0 + n1), (n[0] - n0, n[0], sum(n) - n0 - n1), (n[1] - n1, n[1], sum(n) - n0 - n1)]
+        g = 2 * sum(c * math.log(c * sum(n) / (of * held)) for c, of, held in cells if c)
+        if n0 + n1 >= 3 and math.sqrt(max(g, 0)) >= toxicity.SURE:
             kept[b] = ratio
     assert set(np.flatnonzero(model.weight).tolist()) == set(kept) and seen["n"] == len(used)
     assert sorted(set(np.round(seen["value"], 9))) == sorted(set(np.round(list(kept.values()), 9)))
@@ -114,3 +116,13 @@ def test_texts_longer_than_a_block(spark):
     weight[sorted(grams("moronic") - grams("clean words"))] = 1.0
     out = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.Model(weight, -5.0)).collect()}
     assert out[1] > 0.9 and out[2] == out[3] < 0.1
+
+
+def test_small_tables_are_learned_from(spark):
+    """A word of all toxic texts and no other is seen as sure with a few dozen labels."""
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40)) + (" moronic" if i % 3 == 0 else "") for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect():
+        assert (r["score"] >= 0.5) == (r["doc_id"] % 3 == 0)
