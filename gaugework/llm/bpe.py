@@ -8,7 +8,7 @@ import itertools
 import json
 import re
 import unicodedata
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -17,11 +17,41 @@ from pyspark.sql import DataFrame
 
 #: White space as the tokenizer's patterns see it.
 _BLANK = "\t-\r \x85\xa0  -     　"
-_CHUNK = re.compile(f"[^{_BLANK}]+")
+_CHUNK, _GAP = re.compile(f"[^{_BLANK}]+"), re.compile(f"[{_BLANK}]")
 #: Python's split() also cuts at these, the tokenizer doesn't.
 _ODD = re.compile("[\x1c-\x1f]")
 _ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+|[\x1c-\x1f]+", re.ASCII)
-_PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_BLANK}\p{{L}}\p{{N}}]+")
+# The tokenizer library's Unicode tables are older than Python's for classes and marks, newer for capitals.
+#: Letters and numbers of newer tables, which the library takes for symbols.
+_NEWER_LETTERS = (
+    r"\u0558\u058B-\u058C\u088F\u0C5C\u0CDC\u208F\u209D-\u209F\uA7CE-\uA7CF\uA7D2\uA7D4\uA7DD\uA7E2\uA7F1\uAB6C-\uAB6D"
+    r"\U000107BB-\U000107BF\U00010940-\U00010959\U00010EC5-\U00010EC7\U00010ED9-\U00010EEE\U00011B0A\U00011DB0-\U00011DDB\U00011DF1"
+    r"\U00016EA0-\U00016EB8\U00016EBB-\U00016ED3\U00016FF2-\U00016FF3\U000187F8-\U000187FF\U00018CD6-\U00018CDA\U00018D09-\U00018D20"
+    r"\U00018D80-\U00018DF2\U00018E00-\U00019191\U000191A0-\U000191D2\U0001B123-\U0001B128\U0001B168\U0001D6A6\U0001DF1F-\U0001DF24"
+    r"\U0001DF2B-\U0001DF81\U0001DF90-\U0001DF96\U0001DFCD-\U0001DFFF\U0001E6C0-\U0001E6DE\U0001E6E0-\U0001E6E2\U0001E6E4-\U0001E6E5"
+    r"\U0001E6E7-\U0001E6ED\U0001E6F0-\U0001E6F4\U0001E6FE-\U0001E6FF\U0002B73A-\U0002B73F\U0002B81E\U0002CEA2-\U0002CEAD"
+    r"\U000323B0-\U00033479\U0003D000-\U0003FC3F"
+)
+_NEWER_NUMBERS = r"\U00011DE0-\U00011DE9\U0001246F\U00012475-\U0001247F\U00012550-\U00012686\U00016FF4-\U00016FF6"
+#: Marks of newer tables, which neither move nor compose when the library normalises.
+_NEWER_MARKS = re.compile(
+    "([\u07FD\u0898-\u089F\u08CA-\u08D3\u09FE\u0C3C\u0D3B-\u0D3C\u0EBA\u1715\u1ABF-\u1ACE\u1DF6-\u1DFA\uA82C\U00010D24-\U00010D27"
+    "\U00010EAB-\U00010EAC\U00010EFD-\U00010EFF\U00010F46-\U00010F50\U00010F82-\U00010F85\U00011070\U0001133B\U0001145E"
+    "\U00011839-\U0001183A\U00011930\U0001193D-\U0001193E\U00011943\U000119E0\U00011A34\U00011A47\U00011A99\U00011D42\U00011D44-\U00011D45"
+    "\U00011D97\U00011F41-\U00011F42\U00016FF0-\U00016FF1\U0001E08F\U0001E130-\U0001E136\U0001E2AE\U0001E2EC-\U0001E2EF\U0001E4EC-\U0001E4EF])"
+)
+#: Capitals that the library lower-cases and Python doesn't yet.
+_NEWER_CAPITALS = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
+    **{c: c + 0x20 for c in range(0x10D50, 0x10D66)},
+    **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
+}
+_CAPITAL = re.compile("[" + "".join(map(chr, _NEWER_CAPITALS)) + "]")
+_LETTER, _NUMBER = rf"[\p{{L}}--[{_NEWER_LETTERS}]]", rf"[\p{{N}}--[{_NEWER_NUMBERS}]]"
+_OTHER = rf"[[^{_BLANK}\p{{L}}\p{{N}}]||[{_NEWER_LETTERS}{_NEWER_NUMBERS}]]"
+_PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{_LETTER}+|{_NUMBER}|{_OTHER}+", regex.V1)
+#: Characters of a text that are cut up at a time, and from which on a run without white space is not remembered.
+BLOCK, LONG = 1 << 16, 1 << 12
 #: Pieces, and chunks between white space, that a worker remembers.
 PIECES, CHUNKS = 600_000, 250_000
 
@@ -131,7 +161,8 @@ class MergeTable:
         and may stand after the last token of the prefix before it. A position is expanded once the ``lookahead``
         symbols after it, and one more, are known. Any later token starts behind the positions still open, so where
         all of them go back through one boundary, what lies before it is final: it is emitted, and its states are
-        dropped. What is held at a time does not grow with the piece.
+        dropped. What is held at a time does not grow with the piece as long as open readings meet again; the ids are
+        right either way.
         """
         inner, final, pairs, most = self.inner, self.final, self._pair, self.lookahead
         held, token, origin = "", [-1], [0]
@@ -214,40 +245,69 @@ class Encoder:
 
     def __init__(self, spec: str):
         self.table = MergeTable(spec)
-        self._special = re.compile("(" + "|".join(re.escape(s) for s in self.table.special) + ")") if self.table.special else None
+        self._special = re.compile("|".join(re.escape(s) for s in self.table.special)) if self.table.special else None
         self._chunks = Recent(CHUNKS)
 
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
+    @staticmethod
+    def _pieces(chunk: str) -> Iterator[str]:
+        """The pieces of a run without white space, in normal form and lower case."""
         if chunk.isascii():
-            pieces = _ASCII_PIECE.findall(chunk.lower()) if not _ODD.search(chunk) else _PIECE.findall(chunk.lower())
-        else:
-            plain = unicodedata.normalize("NFC", chunk)
-            pieces = _PIECE.findall("".join(map(str.lower, plain)) if "Σ" in plain else plain.lower())
+            found = _ASCII_PIECE if not _ODD.search(chunk) else _PIECE
+            return (m.group() for m in found.finditer(chunk.lower()))
+        plain = "".join(unicodedata.normalize("NFC", part) for part in _NEWER_MARKS.split(chunk))
+        if _CAPITAL.search(plain):
+            plain = plain.translate(_NEWER_CAPITALS)
+        lower = "".join(map(str.lower, plain)) if "Σ" in plain else plain.lower()
+        return (m.group() for m in _PIECE.finditer(lower))
+
+    def _chunk(self, chunk: str) -> tuple[int, ...]:
         piece = self.table.piece
-        out = piece(pieces[0]) if len(pieces) == 1 else tuple(t for p in pieces for t in piece(p))
-        return self._chunks.put(chunk, out)
-
-    def _plain(self, text: str, ids: list[int]) -> None:
-        known = self._chunks.young.get
-        chunks = text.split() if text.isascii() and not _ODD.search(text) else _CHUNK.findall(text)
-        for chunk in chunks:
-            got = known(chunk)
-            if got is None:
-                got = self._chunks.get(chunk) or self._chunk(chunk)
-                known = self._chunks.young.get
-            ids += got
+        return self._chunks.put(chunk, tuple(t for p in self._pieces(chunk) for t in piece(p)))
+
+    def _long(self, chunk: str) -> Iterator[int]:
+        """Ids of a run that is too long to be remembered, one by one."""
+        symbol = self.table.symbol
+        for p in self._pieces(chunk):
+            if len(p) < LONG:
+                yield from self.table.piece(p)
+            else:
+                yield from self.table.tokens("".join([symbol[b] for b in p[i : i + 256].encode()]) for i in range(0, len(p), 256))
+
+    def _plain(self, text: str, lo: int, hi: int) -> Iterator[Sequence[int]]:
+        while lo < hi:
+            gap = _GAP.search(text, lo + BLOCK, hi)
+            end = gap.start() if gap else hi
+            block, lo = text[lo:end], end
+            ids: list[int] = []
+            known = self._chunks.young.get
+            for chunk in block.split() if block.isascii() and not _ODD.search(block) else _CHUNK.findall(block):
+                got = known(chunk)
+                if got is None:
+                    if len(chunk) >= LONG:
+                        yield ids
+                        ids = []
+                        yield from itertools.batched(self._long(chunk), LONG)
+                        continue
+                    got = self._chunks.get(chunk) or self._chunk(chunk)
+                    known = self._chunks.young.get
+                ids += got
+            yield ids
+
+    def stream(self, text: str) -> Iterator[Sequence[int]]:
+        """The ids of a text in runs of bounded length, each given out before the next block of text is cut up.
+
+        Beside the text itself, what is held is a block, or the normal form of a run without white space if that is
+        longer, and what ``MergeTable.tokens`` holds."""
+        at = 0
+        if self._special and "<" in text:
+            for m in self._special.finditer(text):
+                yield from self._plain(text, at, m.start())
+                yield (self.table.special[m.group()],)
+                at = m.end()
+        yield from self._plain(text, at, len(text))
 
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        if self._special and "<" in text:
-            for i, part in enumerate(self._special.split(text)):
-                if i % 2:
-                    ids.append(self.table.special[part])
-                else:
-                    self._plain(part, ids)
-        else:
-            self._plain(text, ids)
-        return ids
+        return list(itertools.chain.from_iterable(self.stream(text)))
 
 
 class TokenText:
@@ -257,7 +317,7 @@ class TokenText:
     def __init__(self, table: MergeTable):
         self._token, self._begun = table.token, False
 
-    def feed(self, ids: list[int]) -> str:
+    def feed(self, ids: Sequence[int]) -> str:
         out = " ".join(map(self._token.__getitem__, ids))
         if ids and self._begun:
             out = " " + out
@@ -285,7 +345,7 @@ class ByteText:
         ends = bool(table.suffix) and text.endswith(table.suffix)
         return bytes(byte[c] for c in (text.removesuffix(table.suffix) if ends else text)), ends
 
-    def feed(self, ids: list[int]) -> str:
+    def feed(self, ids: Sequence[int]) -> str:
         out = []
         for i in ids:
             raw, ends = self._bytes(i)
@@ -351,14 +411,19 @@ def bpe_decode(rows: DataFrame, path: str, readable: bool = False) -> DataFrame:
 
 def bpe_digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """``docs`` with, in place of ``text``: ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` (and ``ids``, if asked
-    for); see ``bpe_encode``."""
+    for); see ``bpe_encode``. Texts run through encoder, decoder and digests block by block; only ``ids`` are kept whole."""
 
     def each(enc: Encoder, text) -> tuple:
-        ids = enc.encode(text or "")
-        machine, decoded = TokenText(enc.table), hashlib.sha256()
-        for lo in range(0, len(ids), 4096):
-            decoded.update(machine.feed(ids[lo : lo + 4096]).encode())
-        found = len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), decoded.hexdigest()
+        n, ids, machine = 0, [], TokenText(enc.table)
+        spelled, decoded = hashlib.sha256(), hashlib.sha256()
+        for run in filter(None, enc.stream(text or "")):
+            spelled.update((" " * (n > 0) + " ".join(map(str, run))).encode())
+            decoded.update(machine.feed(run).encode())
+            n += len(run)
+            if with_ids:
+                ids += run
+        decoded.update(machine.close().encode())
+        found = n, spelled.hexdigest(), decoded.hexdigest()
         return (*found, ids) if with_ids else found
 
     made = [("n_tokens", "bigint", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())]
