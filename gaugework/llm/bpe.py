@@ -34,11 +34,11 @@ _NEWER_LETTERS = (
 )
 _NEWER_NUMBERS = r"\U00011DE0-\U00011DE9\U0001246F\U00012475-\U0001247F\U00012550-\U00012686\U00016FF4-\U00016FF6"
 #: Marks of newer tables, which neither move nor compose when the library normalises.
-_NEWER_MARKS = re.compile(
-    "([\u07FD\u0898-\u089F\u08CA-\u08D3\u09FE\u0C3C\u0D3B-\u0D3C\u0EBA\u1715\u1ABF-\u1ACE\u1DF6-\u1DFA\uA82C\U00010D24-\U00010D27"
-    "\U00010EAB-\U00010EAC\U00010EFD-\U00010EFF\U00010F46-\U00010F50\U00010F82-\U00010F85\U00011070\U0001133B\U0001145E"
-    "\U00011839-\U0001183A\U00011930\U0001193D-\U0001193E\U00011943\U000119E0\U00011A34\U00011A47\U00011A99\U00011D42\U00011D44-\U00011D45"
-    "\U00011D97\U00011F41-\U00011F42\U00016FF0-\U00016FF1\U0001E08F\U0001E130-\U0001E136\U0001E2AE\U0001E2EC-\U0001E2EF\U0001E4EC-\U0001E4EF])"
+_NEWER_MARKS = (
+    r"\u07FD\u0898-\u089F\u08CA-\u08D3\u09FE\u0C3C\u0D3B-\u0D3C\u0EBA\u1715\u1ABF-\u1ACE\u1DF6-\u1DFA\uA82C\U00010D24-\U00010D27"
+    r"\U00010EAB-\U00010EAC\U00010EFD-\U00010EFF\U00010F46-\U00010F50\U00010F82-\U00010F85\U00011070\U0001133B\U0001145E"
+    r"\U00011839-\U0001183A\U00011930\U0001193D-\U0001193E\U00011943\U000119E0\U00011A34\U00011A47\U00011A99\U00011D42\U00011D44-\U00011D45"
+    r"\U00011D97\U00011F41-\U00011F42\U00016FF0-\U00016FF1\U0001E08F\U0001E130-\U0001E136\U0001E2AE\U0001E2EC-\U0001E2EF\U0001E4EC-\U0001E4EF"
 )
 #: Capitals that the library lower-cases and Python doesn't yet.
 _NEWER_CAPITALS = {
@@ -46,10 +46,13 @@ _NEWER_CAPITALS = {
     **{c: c + 0x20 for c in range(0x10D50, 0x10D66)},
     **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
 }
-_CAPITAL = re.compile("[" + "".join(map(chr, _NEWER_CAPITALS)) + "]")
+_MARK = re.compile(f"([{_NEWER_MARKS}])")
+_NEWER = re.compile(f"[{_NEWER_LETTERS}{_NEWER_NUMBERS}{_NEWER_MARKS}{''.join(map(chr, _NEWER_CAPITALS))}]")
 _LETTER, _NUMBER = rf"[\p{{L}}--[{_NEWER_LETTERS}]]", rf"[\p{{N}}--[{_NEWER_NUMBERS}]]"
 _OTHER = rf"[[^{_BLANK}\p{{L}}\p{{N}}]||[{_NEWER_LETTERS}{_NEWER_NUMBERS}]]"
-_PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{_LETTER}+|{_NUMBER}|{_OTHER}+", regex.V1)
+_PIECE_OF_ALL = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{_LETTER}+|{_NUMBER}|{_OTHER}+", regex.V1)
+#: The same for a run that holds none of the code points above.
+_PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_BLANK}\p{{L}}\p{{N}}]+")
 #: Characters of a text that are cut up at a time, and from which on a run without white space is not remembered.
 BLOCK, LONG = 1 << 16, 1 << 12
 #: Pieces, and chunks between white space, that a worker remembers.
@@ -249,25 +252,28 @@ class Encoder:
         self._chunks = Recent(CHUNKS)
 
     @staticmethod
-    def _pieces(chunk: str) -> Iterator[str]:
-        """The pieces of a run without white space, in normal form and lower case."""
+    def _prepared(chunk: str) -> tuple[re.Pattern | regex.Pattern, str]:
+        """The pattern of a run's pieces, and the run (without white space) in normal form and lower case."""
         if chunk.isascii():
-            found = _ASCII_PIECE if not _ODD.search(chunk) else _PIECE
-            return (m.group() for m in found.finditer(chunk.lower()))
-        plain = "".join(unicodedata.normalize("NFC", part) for part in _NEWER_MARKS.split(chunk))
-        if _CAPITAL.search(plain):
+            return (_PIECE if _ODD.search(chunk) else _ASCII_PIECE), chunk.lower()
+        newer = _NEWER.search(chunk)
+        plain = "".join(unicodedata.normalize("NFC", part) for part in _MARK.split(chunk)) if newer else unicodedata.normalize("NFC", chunk)
+        if newer:
             plain = plain.translate(_NEWER_CAPITALS)
-        lower = "".join(map(str.lower, plain)) if "Σ" in plain else plain.lower()
-        return (m.group() for m in _PIECE.finditer(lower))
+        return (_PIECE_OF_ALL if newer else _PIECE), "".join(map(str.lower, plain)) if "Σ" in plain else plain.lower()
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
-        piece = self.table.piece
-        return self._chunks.put(chunk, tuple(t for p in self._pieces(chunk) for t in piece(p)))
+        pattern, lower = self._prepared(chunk)
+        pieces, piece = pattern.findall(lower), self.table.piece
+        out = piece(pieces[0]) if len(pieces) == 1 else tuple([t for p in pieces for t in piece(p)])
+        return self._chunks.put(chunk, out)
 
     def _long(self, chunk: str) -> Iterator[int]:
         """Ids of a run that is too long to be remembered, one by one."""
         symbol = self.table.symbol
-        for p in self._pieces(chunk):
+        pattern, lower = self._prepared(chunk)
+        for m in pattern.finditer(lower):
+            p = m.group()
             if len(p) < LONG:
                 yield from self.table.piece(p)
             else:
