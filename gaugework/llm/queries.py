@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugework.llm.oracles import SQL  # noqa: F401
-from gaugework.llm import bpe, imatch, jaccard_join, mixing, quality_classifier, quality_rules, secret_scan, substring_dedup, suffix_dedup, toxicity
+from gaugework.llm import oracles, variant_sql
+from gaugework.llm import bpe, imatch, jaccard_join, mixing, periodic_runs, quality_classifier, quality_rules, secret_scan, spelling_variants, substring_dedup, suffix_dedup, toxicity
 
 #: The vocabulary file of op10; a parameter of the operator.
 TOKENIZER = "word_bpe_49k.json"
@@ -82,6 +82,24 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(_documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path())
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(periodic_runs.repeat_tails(_documents(spark, sf_dir).select("doc_id", "text")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("length"), r["start"].alias("start"), r["period"].alias("period"))))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))
+    shown = F.array_join(F.transform("runs", line), "")
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("m"), F.sha2(F.encode(shown, "utf-8"), 256).alias("runs_sha256"), F.sha2(F.encode("collapsed", "utf-8"), 256).alias("collapsed_sha256"))
+    length = -F.col("m.length")
+    return out.select("doc_id", "n_runs", F.col("m.start").alias("start"), length.alias("length"), F.col("m.period").alias("period"), F.floor(1000 * length / F.col("m.period")).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling_variants.count_words(_documents(spark, sf_dir), 7, 2, spelling_variants.drop_some)
+    return spelling_variants.group_variants(words)
+
+
+#: SQL of the queries that SQL can express on whole tables.
+SQL = oracles.SQL | {"op12_periodic_runs": variant_sql.OP12, "op13_spelling_variants": variant_sql.OP13}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -93,4 +111,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_imatch": op8_imatch,
     "op9_mixing": op9_mixing,
     "op10_bpe": op10_bpe,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_spelling_variants": op13_spelling_variants,
 }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -89,11 +89,24 @@ class Words:
         self.start = np.flatnonzero(~space & (before | first))
         self.end = np.flatnonzero(~space[:n] & (space[1:] | first[1:])) + 1
         self.row = np.searchsorted(offsets, self.start, side="right") - 1
-        self.hash = range_hash(prefix_hash(self.data), self.start, self.end)
         rows = len(offsets) - 1
         #: Words of row i are bounds[i] up to bounds[i + 1].
         self.bounds = np.searchsorted(self.row, np.arange(rows + 1))
 
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return range_hash(prefix_hash(self.data), self.start, self.end)
+
+    def ids(self) -> np.ndarray:
+        """A number from 0 for each word, the same for equal words of this block only."""
+        inside = np.zeros(len(self.data) + 1, dtype=np.int8)
+        inside[self.start] += 1
+        np.subtract.at(inside, self.end, 1)
+        text = self.data[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
+        ends = np.concatenate([[0], np.cumsum(self.end - self.start)])
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(text))])
+        return words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int32)
+
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Index of the first word, and hash, of each run of k words inside one row."""
         n = len(self.hash) - k + 1
