@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugework.llm import oracles, variant_sql
-from gaugework.llm import bpe, imatch, jaccard_join, mixing, periodic_runs, quality_classifier, quality_rules, secret_scan, spelling_variants, substring_dedup, suffix_dedup, toxicity
+from gaugework.llm import bpe, imatch, jaccard_join, mixing, periodic_runs, personal_data, quality_classifier, quality_rules, secret_scan, spelling_variants, substring_dedup, suffix_dedup, toxicity
 
 #: The vocabulary file of op10; a parameter of the operator.
 TOKENIZER = "word_bpe_49k.json"
@@ -24,6 +24,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _spans(column: str) -> Column:
+    return F.concat_ws(",", F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.dedup_substrings(_documents(spark, sf_dir).select("doc_id", "text"), 200, keep_first=False)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -32,8 +36,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secret_scan.scan_secrets(_documents(spark, sf_dir).select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    joined = lambda c: F.concat_ws(",", F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
-    return scanned.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(F.encode(joined("base"), "utf-8"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return scanned.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(F.encode(_spans("base"), "utf-8"), 256).alias("base_sha256"), _spans("spans").alias("spans"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +85,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(_documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path())
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    found = personal_data.find_personal_data(docs, personal_data.fit(docs))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind in personal_data.KINDS]
+    return found.select("doc_id", *counts, F.sha2(F.encode(_spans("base"), "utf-8"), 256).alias("base_sha256"), _spans("spans").alias("spans"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic_runs.find_runs(periodic_runs.repeat_tails(_documents(spark, sf_dir).select("doc_id", "text")))
     longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("length"), r["start"].alias("start"), r["period"].alias("period"))))
@@ -111,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_imatch": op8_imatch,
     "op9_mixing": op9_mixing,
     "op10_bpe": op10_bpe,
+    "op11_personal_data": op11_personal_data,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_spelling_variants": op13_spelling_variants,
 }
