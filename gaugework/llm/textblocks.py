@@ -11,8 +11,11 @@ import pyarrow as pa
 #: Bytes of text that one vectorised step works on. A longer text is a step of its own.
 BLOCK_BYTES = 1 << 20
 
-_BASE = np.uint64(0x9E3779B97F4A7C55)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
+#: Running sums are taken modulo this prime: modulo a power of two, some long words of two letters would collide for any base.
+_PRIME = np.uint64((1 << 61) - 1)
+_BASE = 0x1B873593CC9E2D51 % ((1 << 61) - 1)
+#: Values that one step works on: few, so that they stay in the processor's cache; sums of 2 ** 22 would still fit.
+_CARRY = 1 << 15
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -28,30 +31,68 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit value modulo the prime."""
+    x = (x & _PRIME) + (x >> np.uint64(61))
+    x -= _PRIME * (x >= _PRIME)
+    return x
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Product modulo the prime of values below it."""
+    low, s31, s30 = np.uint64((1 << 31) - 1), np.uint64(31), np.uint64(30)
+    ah, al, bh, bl = a >> s31, a & low, b >> s31, b & low
+    middle = ah * bl + al * bh
+    # 2 ** 61 is 1: ah * bh counts twice, and the middle is turned by 31 bits.
+    return _reduced(ah * bh * np.uint64(2) + (middle >> s30) + ((middle & np.uint64((1 << 30) - 1)) << s31) + al * bl)
+
+
 @lru_cache(maxsize=1)
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
+    """Powers of the base, and of its inverse, up to the exponent 2 ** bits - 1."""
     out = []
-    for factor in (_BASE, _INVERSE):
-        p = np.full(n, factor, dtype=np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
+    for base in (_BASE, pow(_BASE, -1, int(_PRIME))):
+        p = np.ones(1 << bits, dtype=np.uint64)
+        for k in range(bits):
+            m = 1 << k
+            p[m : 2 * m] = _product(p[:m], np.uint64(pow(base, m, int(_PRIME))))
+        out.append(p)
     return out[0], out[1]
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Running polynomial sums, to be passed to ``range_hash``."""
+    """Running polynomial sums of bytes or 64-bit values, to be passed to ``range_hash``."""
     power, _ = _powers(max(21, int(len(data)).bit_length()))
     out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=out[1:])
+    low, s31, carry = np.uint64((1 << 31) - 1), np.uint64(31), np.zeros(2, np.uint64)
+    for lo in range(0, len(data), _CARRY):
+        part = data[lo : lo + _CARRY].astype(np.uint64)
+        by = power[lo : lo + len(part)]
+        if data.dtype == np.uint8:
+            part += np.uint64(1)
+            halves = [part * (by & low), part * (by >> s31)]
+        else:
+            part = _product(_reduced(part), by)
+            halves = [part & low, part >> s31]
+        for k, half in enumerate(halves):
+            np.cumsum(half, out=half)
+            half += carry[k]
+        low_sum, high_sum = halves[0], _reduced(halves[1])
+        turned = ((high_sum << s31) & _PRIME) | (high_sum >> np.uint64(30))
+        out[lo + 1 : lo + 1 + len(part)] = _reduced(_reduced(low_sum) + turned)
+        carry = np.array([_reduced(low_sum[-1:])[0], high_sum[-1]], dtype=np.uint64)
     return out
 
 
 def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the content of each [start, end)."""
     _, inverse = _powers(max(21, int(len(prefix) - 1).bit_length()))
-    h = (prefix[end] - prefix[start]) * inverse[start]
-    return mixed(h + (end - start).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+    out = np.empty(len(start), dtype=np.uint64)
+    for lo in range(0, len(start), _CARRY):
+        a, b = start[lo : lo + _CARRY], end[lo : lo + _CARRY]
+        h = _product(_reduced(prefix[b] + _PRIME - prefix[a]), inverse[a])
+        out[lo : lo + _CARRY] = mixed(h * np.uint64(0x9E3779B97F4A7C55) + (b - a).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+    return out
 
 
 def utf8_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
