@@ -11,6 +11,7 @@ from gaugework.functions.columns import flags, with_rates
 from gaugework.operators.metrics import confusion_aggs, probability_aggs
 from gaugework.operators.prep import order_split
 from gaugework.plans.patterns import ranked, running_sums, to_long, with_totals
+from gaugework.plans.selection import quantiles
 
 
 def population_drift(sided: DataFrame, features: Sequence[str], n_bins: int = 10) -> DataFrame:
@@ -20,11 +21,11 @@ def population_drift(sided: DataFrame, features: Sequence[str], n_bins: int = 10
     long = to_long(sided, features, ("side",))
     ref, cur = F.col("side") == "reference", F.col("side") == "current"
     of = lambda f, c: f(F.when(c, F.col("value")))
-    inner = F.array(*[F.lit(i / n_bins) for i in range(1, n_bins)])
     base = long.groupBy(*key).agg(
         F.count_if(ref).alias("n_ref"), F.count_if(cur).alias("n_cur"), of(F.avg, ref).alias("m0"), of(F.avg, cur).alias("m1"), of(F.stddev_pop, ref).alias("s0"), of(F.stddev_pop, cur).alias("s1"), of(F.min, ref).alias("lo"), of(F.max, ref).alias("hi"),
-        F.array_sort(F.array_distinct(F.percentile(F.when(ref, F.col("value")), inner))).alias("edges"),
     )
+    edges = quantiles(long.where(ref), "value", [i / n_bins for i in range(1, n_bins)], key, "edges")
+    base = base.join(F.broadcast(edges.withColumn("edges", F.array_sort(F.array_distinct("edges")))), key).persist()  # a row for each feature
     counts = long.groupBy(*key, "value").agg(F.count_if(ref).alias("r"), F.count_if(cur).alias("c"))
     steps = running_sums(counts, "value", ["r", "c"], key).join(F.broadcast(base), key)
     gaps = steps.groupBy(*key).agg(
@@ -35,7 +36,7 @@ def population_drift(sided: DataFrame, features: Sequence[str], n_bins: int = 10
     hist = steps.groupBy(*key, bin_.alias("bin")).agg((F.sum("r") / F.max("n_ref")).alias("r"), (F.sum("c") / F.max("n_cur")).alias("c"))
     a, b = F.greatest("r", F.lit(1e-6)), F.greatest("c", F.lit(1e-6))
     psi = hist.groupBy(*key).agg(F.sum((b - a) * F.log(b / a)).alias("psi"))
-    out = base.join(gaps, key).join(psi, key)
+    out = base.join(F.broadcast(gaps), key).join(F.broadcast(psi), key)
     scale = lambda s: F.when(F.col(s) < 1e-6, 1.0).otherwise(F.col(s))
     out = out.withColumn("mean_shift", F.abs(F.col("m1") - F.col("m0")) / scale("s0")).withColumn("outside_rate", F.col("outside") / F.col("n_cur")).withColumn("std_ratio", F.col("s1") / scale("s0"))
     out = out.withColumn("risk", F.col("psi") + F.col("ks") + F.least(F.col("mean_shift"), F.lit(5.0)) / 5 + F.col("outside_rate"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from gaugework.functions.columns import flags, hash_normal, hash_uniform, ratio, with_rates
 from gaugework.operators.metrics import confusion_aggs
 from gaugework.plans.patterns import ranked, to_long, with_totals
+from gaugework.plans.selection import quantiles, wide_quantiles
 
 Scorer = Callable[..., Column]
 
@@ -43,8 +44,9 @@ def ablation(examples: DataFrame, features: Sequence[str], scorer: Scorer, thres
     """Each feature set to its median, and dealt out anew: loss of F1, flipped decisions, moved scores, reliance and flags."""
     rows = scored_by(examples, features, scorer)
     base = with_rates(rows.agg(*confusion_aggs(threshold))).select(F.col("f1").alias("base_f1"))
-    medians = rows.agg(*[F.percentile(f, F.lit(0.5)).alias(f"_m_{f}") for f in features], *[F.stddev_pop(f).alias(f"_s_{f}") for f in features], *[F.corr(f, F.col("label").cast("double")).alias(f"_c_{f}") for f in features])
-    placed = with_totals(ranked(rows, F.col("row_id").cast("double"), "row_id", (), "_place"), medians)
+    middle = wide_quantiles(examples, features, [0.5]).select(*[F.get(f"_q_{f}", F.lit(0)).alias(f"_m_{f}") for f in features])
+    moments = rows.agg(*[F.stddev_pop(f).alias(f"_s_{f}") for f in features], *[F.corr(f, F.col("label").cast("double")).alias(f"_c_{f}") for f in features])
+    placed = with_totals(with_totals(ranked(rows, F.col("row_id").cast("double"), "row_id", (), "_place"), moments), middle)
     dealt = ranked(examples.select("row_id", *[F.col(f).alias(f"_n_{f}") for f in features]), hash_uniform(F.col("row_id"), seed, "ablate"), "row_id", (), "_place").drop("row_id")
     both = placed.join(dealt, "_place")
     made = []
@@ -69,8 +71,8 @@ def value_grid(examples: DataFrame, features: Sequence[str], size: int, low: flo
     """``size`` even steps between two quantiles of each feature (range, if they are equal; one value, if constant): rows
     (feature_index, feature, step, value)."""
     long = to_long(examples, features, ())
-    q = long.groupBy("feature_index", "feature").agg(F.percentile("value", F.array(F.lit(low), F.lit(high))).alias("q"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    a, b = F.get("q", F.lit(0)), F.get("q", F.lit(1))
+    q = quantiles(long, "value", [0.0, low, high, 1.0], ["feature_index", "feature"]).select("*", F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(3)).alias("hi"))
+    a, b = F.get("q", F.lit(1)), F.get("q", F.lit(2))
     q = q.withColumn("a", F.when(a < b, a).otherwise(F.col("lo"))).withColumn("b", F.when(a < b, b).otherwise(F.col("hi")))
     steps = F.sequence(F.lit(0), F.when(F.col("a") < F.col("b"), F.lit(size - 1)).otherwise(F.lit(0)))
     return q.withColumn("step", F.explode(steps)).select("feature_index", "feature", "step", (F.col("a") + F.col("step") * (F.col("b") - F.col("a")) / (size - 1)).alias("value"))
@@ -78,10 +80,12 @@ def value_grid(examples: DataFrame, features: Sequence[str], size: int, low: flo
 
 def partial_dependence(examples: DataFrame, features: Sequence[str], scorer: Scorer, size: int = 9) -> DataFrame:
     """Distribution of scores with one feature held at each step of its grid: mean, deviation, 10 % and 90 %."""
-    held = examples.select(*features).crossJoin(F.broadcast(value_grid(examples, features, size)))  # features times size rows
+    grid = value_grid(examples, features, size).persist()  # features times size rows
+    held = examples.select(*features).crossJoin(F.broadcast(grid))
     swapped = [F.when(F.col("feature_index") == i, F.col("value")).otherwise(F.col(f)) for i, f in enumerate(features)]
     rows = held.withColumn("p", scorer(*swapped))
-    out = rows.groupBy("feature_index", "feature", "step", "value").agg(F.avg("p").alias("mean"), F.stddev_pop("p").alias("std"), F.percentile("p", F.array(F.lit(0.1), F.lit(0.9))).alias("q"))
+    key = ["feature_index", "feature", "step", "value"]
+    out = rows.groupBy(*key).agg(F.avg("p").alias("mean"), F.stddev_pop("p").alias("std")).join(F.broadcast(quantiles(rows, "p", [0.1, 0.9], key)), key)
     return out.select("feature_index", "feature", "step", "value", "mean", "std", F.get("q", F.lit(0)).alias("p10"), F.get("q", F.lit(1)).alias("p90"))
 
 
@@ -99,7 +103,7 @@ def response_summary(dependence: DataFrame) -> DataFrame:
 
 def interactions(examples: DataFrame, features: Sequence[str], scorer: Scorer, size: int = 5) -> DataFrame:
     """For each pair of features, how far the mean score over a grid of both is from the sum of its two margins."""
-    g = value_grid(examples, features, size)
+    g = value_grid(examples, features, size).persist()  # features times size rows
     cells = None
     for i, j in combinations(range(len(features)), 2):
         a = g.where(F.col("feature_index") == i).select(F.col("step").alias("row"), F.col("value").alias("_a"))
@@ -187,8 +191,7 @@ def canary_summary(checked: DataFrame) -> DataFrame:
 
 def policy_guard(examples: DataFrame, policies: Sequence[tuple[str, int, str]], features: Sequence[str], scorer: Scorer, tolerance: float = 1e-4, step: float = 0.2) -> DataFrame:
     """Monotonic policies (name, feature index, increasing or decreasing) on pairs of rows that differ in one feature."""
-    q = examples.agg(*[F.percentile(f, F.array(F.lit(0.05), F.lit(0.95))).alias(f"_q_{f}") for f in features])
-    rows = with_totals(examples.select(*features), q)
+    rows = with_totals(examples.select(*features), wide_quantiles(examples, features, [0.05, 0.95]))
     items = []
     for name, i, direction in policies:
         f = features[i]

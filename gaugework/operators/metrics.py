@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugework.functions.columns import clip, ratio, with_rates
 from gaugework.plans.patterns import score_steps, with_totals
+from gaugework.plans.selection import quantiles
 
 
 def confusion_aggs(threshold: float | Column = 0.5, weight: Column | None = None) -> list[Column]:
@@ -62,7 +63,7 @@ def calibration_error(scored: DataFrame, n_bins: int = 10, by: Sequence[str] = (
 
 def class_quantiles(scored: DataFrame, at: Sequence[float] = (0.0, 0.25, 0.5, 0.75, 1.0), by: Sequence[str] = ()) -> DataFrame:
     """Interpolated quantiles of p for each label."""
-    q = scored.groupBy(*by, "label").agg(F.percentile("p", F.array(*[F.lit(float(a)) for a in at])).alias("q"))
+    q = quantiles(scored, "p", at, [*by, "label"], few=not by)
     return q.select(*by, "label", *[F.get("q", F.lit(i)).alias(f"q{round(100 * a)}") for i, a in enumerate(at)])
 
 

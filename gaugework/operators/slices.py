@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from gaugework.functions.columns import clip, flags, hash_normal, ratio, rates, with_rates
 from gaugework.operators.metrics import confusion_aggs
 from gaugework.plans.patterns import to_long, with_totals
+from gaugework.plans.selection import median, quantiles, wide_quantiles
 
 
 def quantile_bins(long: DataFrame, bins: int, key: Sequence[str] = ("feature_index", "feature")) -> DataFrame:
     """Edges of each feature's distinct quantile bins: rows (key, bin, left, right, last), as many as features times bins."""
-    at = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    edges = long.groupBy(*key).agg(F.array_sort(F.array_distinct(F.percentile("value", at))).alias("e"))
+    edges = quantiles(long, "value", [i / bins for i in range(bins + 1)], key, "e").withColumn("e", F.array_sort(F.array_distinct("e")))
     spans = F.transform(F.sequence(F.lit(1), F.size("e") - 1), lambda i: F.struct((i - 1).alias("bin"), F.get("e", i - 1).alias("left"), F.get("e", i).alias("right"), (i == F.size("e") - 1).alias("last")))
-    return edges.where(F.size("e") > 1).select(*key, F.inline(spans))
+    return edges.where(F.size("e") > 1).select(*key, F.inline(spans)).persist()
 
 
 def in_bin() -> Column:
@@ -50,7 +50,7 @@ def subgroups(scored: DataFrame, features: Sequence[str], threshold: float = 0.5
     name = lambda *parts: F.concat_ws("", *parts)
     values = long.join(F.broadcast(exact), "feature_index").groupBy("feature_index", "feature", name(F.lit("value="), F.round("value", 6).cast("string")).alias("grp")).agg(*sums)
     edges = quantile_bins(long.join(F.broadcast(wide), "feature_index"), max_bins)
-    edges = edges.join(edges.groupBy("feature_index").agg(F.count("*").alias("_b")).where("_b >= 2").select("feature_index"), "feature_index")
+    edges = edges.join(F.broadcast(edges.groupBy("feature_index").agg(F.count("*").alias("_b")).where("_b >= 2").select("feature_index")), "feature_index")
     ranges = long.join(F.broadcast(edges), ["feature_index", "feature"]).where(in_bin()).groupBy("feature_index", "feature", name(F.lit("bin="), F.col("bin").cast("string")).alias("grp")).agg(*sums)
     counts = ("n", "sp", "tp", "fp", "tn", "fn")
     total = scored.agg(*sums).withColumnsRenamed({c: f"all_{c}" for c in counts})
@@ -81,7 +81,7 @@ def fairness(scored: DataFrame, features: Sequence[str], threshold: float = 0.5,
     and the equalized-odds gap; the most unequal first."""
     long = to_long(scored, features, ("label", "p"))
     kinds = long.groupBy("feature_index", "value").agg(F.count("*").alias("_")).groupBy("feature_index").agg(F.count("*").alias("distinct"))
-    kinds = kinds.join(long.groupBy("feature_index").agg(F.percentile("value", F.lit(0.5)).alias("median")), "feature_index")
+    kinds = kinds.join(F.broadcast(median(long, "value", ["feature_index"])), "feature_index")  # a row for each feature
     group = F.when(F.col("distinct").between(2, 4), F.col("value")).otherwise(F.when(F.col("value") <= F.col("median"), 0.0).otherwise(1.0))
     per = long.join(F.broadcast(kinds), "feature_index").withColumn("g", group).groupBy("feature_index", "feature", "g").agg(F.count("*").alias("n"), *confusion_aggs(threshold)).where(F.col("n") >= min_size)
     tp, fp, tn, fn, n = (F.col(c) for c in ("tp", "fp", "tn", "fn", "n"))
@@ -155,7 +155,8 @@ def cartography(scored: DataFrame, features: Sequence[str], scorer, perturbation
     rows = rows.withColumns(moved).withColumn("q", scorer(*[F.col(f) for f in features]))
     per = rows.groupBy("row_id", "label").agg(F.max(F.when(F.col("k") == 0, F.col("q"))).alias("q0"), F.round(F.stddev_pop("q"), 9).alias("variability"))
     per = per.withColumn("confidence", F.round(F.when(F.col("label") == 1, F.col("q0")).otherwise(1 - F.col("q0")), 9)).withColumn("wrong", (F.col("q0") >= 0.5) != (F.col("label") == 1))
-    cuts = per.agg(F.percentile("confidence", F.lit(0.5)).alias("_c"), F.percentile("variability", F.lit(0.5)).alias("_v"))
+    per = per.persist()  # the perturbations are made once
+    cuts = wide_quantiles(per, ["confidence", "variability"], [0.5]).select(F.get("_q_confidence", F.lit(0)).alias("_c"), F.get("_q_variability", F.lit(0)).alias("_v"))
     sure, loose = F.col("confidence") >= F.col("_c"), F.col("variability") >= F.col("_v")
     region = F.when(F.col("wrong") & sure, "overconfident_wrong").when(sure, "easy").when(loose, "ambiguous").otherwise("hard")
     return with_totals(per, cuts).select("row_id", "label", "confidence", "variability", region.alias("region"))

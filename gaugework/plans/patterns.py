@@ -21,9 +21,11 @@ def buckets_of(df: DataFrame) -> int:
     return min(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), BUCKETS), MOST_BUCKETS)
 
 
-def join_groups(df: DataFrame, small: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on the columns ``by``, where null equals null."""
+def join_groups(df: DataFrame, small: DataFrame, by: Sequence[str], how: str = "inner", strategy: str | None = None) -> DataFrame:
+    """Join on the columns ``by``, where null equals null. ``strategy`` is a join hint for ``small``: broadcast where the groups are
+    of a bounded number (features, labels, replicates), merge where they are not and Spark can split the crowded ones."""
     renamed = small.withColumnsRenamed({c: f"_g_{c}" for c in by})
+    renamed = renamed.hint(strategy) if strategy else renamed
     on = F.lit(True)
     for c in by:
         on = on & F.col(f"`{c}`").eqNullSafe(F.col(f"`_g_{c}`"))
