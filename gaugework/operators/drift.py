@@ -11,6 +11,7 @@ from gaugework.functions.columns import flags, with_rates
 from gaugework.operators.metrics import confusion_aggs, probability_aggs
 from gaugework.operators.prep import order_split
 from gaugework.plans.patterns import ranked, running_sums, to_long, with_totals
+from gaugework.plans.scratch import materialize
 from gaugework.plans.selection import quantiles
 
 
@@ -25,7 +26,7 @@ def population_drift(sided: DataFrame, features: Sequence[str], n_bins: int = 10
         F.count_if(ref).alias("n_ref"), F.count_if(cur).alias("n_cur"), of(F.avg, ref).alias("m0"), of(F.avg, cur).alias("m1"), of(F.stddev_pop, ref).alias("s0"), of(F.stddev_pop, cur).alias("s1"), of(F.min, ref).alias("lo"), of(F.max, ref).alias("hi"),
     )
     edges = quantiles(long.where(ref), "value", [i / n_bins for i in range(1, n_bins)], key, "edges")
-    base = base.join(F.broadcast(edges.withColumn("edges", F.array_sort(F.array_distinct("edges")))), key).persist()  # a row for each feature
+    base = materialize(base.join(F.broadcast(edges.withColumn("edges", F.array_sort(F.array_distinct("edges")))), key), "base")  # a row for each feature
     counts = long.groupBy(*key, "value").agg(F.count_if(ref).alias("r"), F.count_if(cur).alias("c"))
     steps = running_sums(counts, "value", ["r", "c"], key).join(F.broadcast(base), key)
     gaps = steps.groupBy(*key).agg(

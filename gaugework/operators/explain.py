@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from gaugework.functions.columns import flags, hash_normal, hash_uniform, ratio, with_rates
 from gaugework.operators.metrics import confusion_aggs
 from gaugework.plans.patterns import ranked, to_long, with_totals
+from gaugework.plans.scratch import materialize
 from gaugework.plans.selection import quantiles, wide_quantiles
 
 Scorer = Callable[..., Column]
@@ -80,7 +81,7 @@ def value_grid(examples: DataFrame, features: Sequence[str], size: int, low: flo
 
 def partial_dependence(examples: DataFrame, features: Sequence[str], scorer: Scorer, size: int = 9) -> DataFrame:
     """Distribution of scores with one feature held at each step of its grid: mean, deviation, 10 % and 90 %."""
-    grid = value_grid(examples, features, size).persist()  # features times size rows
+    grid = materialize(value_grid(examples, features, size), "grid")  # features times size rows
     held = examples.select(*features).crossJoin(F.broadcast(grid))
     swapped = [F.when(F.col("feature_index") == i, F.col("value")).otherwise(F.col(f)) for i, f in enumerate(features)]
     rows = held.withColumn("p", scorer(*swapped))
@@ -103,7 +104,7 @@ def response_summary(dependence: DataFrame) -> DataFrame:
 
 def interactions(examples: DataFrame, features: Sequence[str], scorer: Scorer, size: int = 5) -> DataFrame:
     """For each pair of features, how far the mean score over a grid of both is from the sum of its two margins."""
-    g = value_grid(examples, features, size).persist()  # features times size rows
+    g = materialize(value_grid(examples, features, size), "g")  # features times size rows
     cells = None
     for i, j in combinations(range(len(features)), 2):
         a = g.where(F.col("feature_index") == i).select(F.col("step").alias("row"), F.col("value").alias("_a"))

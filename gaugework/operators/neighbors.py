@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gaugework.functions.columns import clip, entropy2, flags
 from gaugework.plans.patterns import to_long, with_totals
+from gaugework.plans.scratch import materialize
 from gaugework.plans.selection import median
 
 #: Rows of a block: each pair of blocks is one task's matrix product.
@@ -100,7 +101,7 @@ def prototypes(rows: DataFrame, neighbours: DataFrame, same: DataFrame, opposite
     opp = neighbours.join(labels.select(F.col("row_id").alias("other_id"), F.col("label").alias("other")), "other_id").join(labels, "row_id").groupBy("row_id", "label").agg(F.avg((F.col("other") != F.col("label")).cast("double")).alias("opp"))
     s = same.groupBy("row_id").agg(F.min("distance").alias("ns"), F.avg("distance").alias("same_mean"))
     o = opposite.groupBy("row_id").agg(F.min("distance").alias("no"))
-    t = opp.join(s.hint("merge"), "row_id").join(o.hint("merge"), "row_id").persist()  # the searches below it are made once
+    t = materialize(opp.join(s.hint("merge"), "row_id").join(o.hint("merge"), "row_id"), "t")  # the searches below it are made once
     med = median(t, "same_mean", ["label"], "med").withColumn("med", F.greatest("med", F.lit(eps)))
     t = t.join(F.broadcast(med), "label")
     whole = F.col("ns") + F.col("no") + eps
@@ -116,7 +117,7 @@ def prototypes(rows: DataFrame, neighbours: DataFrame, same: DataFrame, opposite
 def robust_scale(rows: DataFrame, features: Sequence[str]) -> DataFrame:
     """``rows`` with ``z_<feature>``: distance from the median in 1.4826 median absolute deviations (1 where that is 0)."""
     long = to_long(rows, features, ())
-    med = median(long, "value", ["feature"], "med").persist()  # a row for each feature
+    med = materialize(median(long, "value", ["feature"], "med"), "med")  # a row for each feature
     away = long.join(F.broadcast(med), "feature").select("feature", F.abs(F.col("value") - F.col("med")).alias("away"))
     mad = median(away, "away", ["feature"], "mad").withColumn("mad", 1.4826 * F.col("mad")).join(F.broadcast(med), "feature")
     mad = mad.withColumn("mad", F.when(F.col("mad") > 0, F.col("mad")).otherwise(1.0))
@@ -128,8 +129,8 @@ def outliers(rows: DataFrame, features: Sequence[str], threshold: float = 0.5, s
     """How far out each row is: robust z, isolation from its nearest row, and (with ``score``) the model's surprise."""
     z = robust_scale(rows, features).withColumn("_v", F.array(*[f"z_{f}" for f in features]))
     near = nearest(z.select("row_id", "_v"), "_v", 1).select("row_id", F.col("distance").alias("nn"))
-    t = z.join(near.hint("merge"), "row_id", "left").na.fill(0.0, ["nn"]).persist()  # the search below it is made once
-    med = median(t, "nn", (), "_mn").persist()
+    t = materialize(z.join(near.hint("merge"), "row_id", "left").na.fill(0.0, ["nn"]), "t")  # the search below it is made once
+    med = materialize(median(t, "nn", (), "_mn"), "med")
     away = with_totals(t.select("nn"), med).select(F.abs(F.col("nn") - F.col("_mn")).alias("away"))
     t = with_totals(with_totals(t, med), median(away, "away", (), "_dn").withColumn("_dn", 1.4826 * F.col("_dn")))
     t = t.withColumn("max_z", F.greatest(*[F.abs(f"z_{f}") for f in features], F.lit(0.0))).withColumn("mean_z", sum((F.abs(f"z_{f}") for f in features), F.lit(0.0)) / len(features))

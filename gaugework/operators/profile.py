@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gaugework.functions.columns import flags, ratio
 from gaugework.plans.patterns import join_groups, running_sums, to_long, with_totals
+from gaugework.plans.scratch import materialize
 from gaugework.plans.selection import median, quantiles
 
 QUANTILES = {"q01": 0.01, "q05": 0.05, "q25": 0.25, "median": 0.5, "q75": 0.75, "q95": 0.95, "q99": 0.99}
@@ -87,18 +88,18 @@ def feature_contract(examples: DataFrame, features: Sequence[str], by: Sequence[
     met = lambda df, small, how="inner": join_groups(df, small, key, how, "broadcast" if few else "merge")
     base = long.groupBy(*key).agg(F.count("*").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
     base = met(base, quantiles(long, "value", list(QUANTILES.values()), key, "_q", few))
-    base = base.select(*key, "n", "min", "max", "mean", "std", *[F.get("_q", F.lit(i)).alias(k) for i, k in enumerate(QUANTILES)]).persist()  # a row for each feature
+    base = materialize(base.select(*key, "n", "min", "max", "mean", "std", *[F.get("_q", F.lit(i)).alias(k) for i, k in enumerate(QUANTILES)]), "base")  # a row for each feature
     # Distinct values with their counts: deviations, outliers and observed values come from these.
     values = long.groupBy(*key, "value").agg(F.count("*").alias("m"))
     away = met(long, base.select(*key, "median")).select(*key, F.abs(F.col("value") - F.col("median")).alias("away"))
     base = met(base, median(away, "away", key, "mad", few)).withColumn("iqr", F.col("q75") - F.col("q25"))
     scale = F.when(F.col("mad") > 1e-12, 1.4826 * F.col("mad")).when(F.col("iqr") > 1e-12, F.col("iqr") / 1.349).otherwise(F.col("std"))
     base = base.withColumn("scale", F.greatest(scale, F.lit(1e-12))).withColumn("robust_lower", F.col("median") - 6 * F.col("scale")).withColumn("robust_upper", F.col("median") + 6 * F.col("scale"))
-    base = base.withColumn("soft_lower", F.col("q01")).withColumn("soft_upper", F.col("q99")).persist()
+    base = materialize(base.withColumn("soft_lower", F.col("q01")).withColumn("soft_upper", F.col("q99")), "base")
     counted = met(values, base.select(*key, "robust_lower", "robust_upper", "soft_lower", "soft_upper"))
     outside = lambda a: F.coalesce(F.sum(F.when((F.col("value") < F.col(f"{a}_lower")) | (F.col("value") > F.col(f"{a}_upper")), F.col("m"))), F.lit(0)).cast("long")
     seen = counted.groupBy(*key).agg(F.count("*").alias("unique_count"), outside("robust").alias("outlier_count"), outside("soft").alias("soft_outlier_count"))
-    seen = seen.persist()
+    seen = materialize(seen, "seen")
     coded = met(values, seen.where("unique_count <= 20").select(*key)).groupBy(*key).agg(F.array_sort(F.collect_list("value")).alias("observed_values"))
     out = met(met(base, seen), coded, "left").withColumn("unique_ratio", F.col("unique_count") / F.col("n"))
     n, u, r = F.col("n"), F.col("unique_count"), F.col("unique_ratio")

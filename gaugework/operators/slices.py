@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gaugework.functions.columns import clip, flags, hash_normal, ratio, rates, with_rates
 from gaugework.operators.metrics import confusion_aggs
 from gaugework.plans.patterns import to_long, with_totals
+from gaugework.plans.scratch import materialize
 from gaugework.plans.selection import median, quantiles, wide_quantiles
 
 
@@ -17,7 +18,7 @@ def quantile_bins(long: DataFrame, bins: int, key: Sequence[str] = ("feature_ind
     """Edges of each feature's distinct quantile bins: rows (key, bin, left, right, last), as many as features times bins."""
     edges = quantiles(long, "value", [i / bins for i in range(bins + 1)], key, "e").withColumn("e", F.array_sort(F.array_distinct("e")))
     spans = F.transform(F.sequence(F.lit(1), F.size("e") - 1), lambda i: F.struct((i - 1).alias("bin"), F.get("e", i - 1).alias("left"), F.get("e", i).alias("right"), (i == F.size("e") - 1).alias("last")))
-    return edges.where(F.size("e") > 1).select(*key, F.inline(spans)).persist()
+    return materialize(edges.where(F.size("e") > 1).select(*key, F.inline(spans)), "edges")
 
 
 def in_bin() -> Column:
@@ -155,7 +156,7 @@ def cartography(scored: DataFrame, features: Sequence[str], scorer, perturbation
     rows = rows.withColumns(moved).withColumn("q", scorer(*[F.col(f) for f in features]))
     per = rows.groupBy("row_id", "label").agg(F.max(F.when(F.col("k") == 0, F.col("q"))).alias("q0"), F.round(F.stddev_pop("q"), 9).alias("variability"))
     per = per.withColumn("confidence", F.round(F.when(F.col("label") == 1, F.col("q0")).otherwise(1 - F.col("q0")), 9)).withColumn("wrong", (F.col("q0") >= 0.5) != (F.col("label") == 1))
-    per = per.persist()  # the perturbations are made once
+    per = materialize(per, "per")  # the perturbations are made once
     cuts = wide_quantiles(per, ["confidence", "variability"], [0.5]).select(F.get("_q_confidence", F.lit(0)).alias("_c"), F.get("_q_variability", F.lit(0)).alias("_v"))
     sure, loose = F.col("confidence") >= F.col("_c"), F.col("variability") >= F.col("_v")
     region = F.when(F.col("wrong") & sure, "overconfident_wrong").when(sure, "easy").when(loose, "ambiguous").otherwise("hard")

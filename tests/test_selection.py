@@ -54,7 +54,7 @@ def test_no_rows_and_ranks_outside(table):
     assert quantiles(table.limit(0), "v", AT, ["g"]).count() == 0
     assert quantiles(table.where("g = 'none'"), "v", AT, ["g"]).count() == 0
     two = order_statistics(table.where("g is null"), "v", F.array(F.lit(0), F.lit(1), F.lit(2), F.lit(-1)))
-    assert sorted((r["n"], r["rank"], r["value"]) for r in two.collect()) == [(2, 0, 1.0), (2, 1, 2.0)]
+    assert sorted((r["_n"], r["_rank"], r["_x"]) for r in two.collect()) == [(2, 0, 1.0), (2, 1, 2.0)]
 
 
 def test_partitions_do_not_matter(table):
