@@ -14,62 +14,243 @@ from gaugework.plans.patterns import to_long, with_totals
 from gaugework.plans.scratch import materialize
 from gaugework.plans.selection import median
 
-#: Rows of a block: each pair of blocks is one task's matrix product.
-BLOCK = 2048
-
-
-def nearest(rows: DataFrame, vector: str, k: int = 5, kind: str | None = None, max_rows: int = 2_000_000) -> DataFrame:
-    """The k exact nearest other rows of each row: (row_id, other_id, distance, rank), ties by id.
-
-    Rows are dealt into blocks by hash; every pair of blocks meets in one task, which keeps k candidates for each row, so
-    what is shuffled is rows times blocks times k, and no task holds more than two blocks. The work is quadratic all the
-    same and is refused beyond ``max_rows``: ``nearest_approximately`` is for those. ``kind`` (same, opposite) limits
-    partners by the column ``label``.
-    """
-    n = rows.count()
-    if n > max_rows:
-        raise ValueError(f"{n} rows are too many for an exact search; use nearest_approximately")
-    b = max(1, -(-n // BLOCK))
-    data = rows.select("row_id", F.col("label").cast("int").alias("label") if kind else F.lit(0).alias("label"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64("row_id"), F.lit(b)).cast("int").alias("_b"))
-    pairs = data.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
-    left = pairs.select("row_id", "label", "v", F.col("_b").alias("i"), F.col("_o").alias("j"), F.lit(0).alias("side"))
-    right = pairs.select("row_id", "label", "v", F.col("_o").alias("i"), F.col("_b").alias("j"), F.lit(1).alias("side"))
-
-    def search(batches: Iterator[pa.Table]) -> pa.Table:
-        t = batches
-        side = t.column("side").to_numpy()
-        ids, label = t.column("row_id").to_numpy(), t.column("label").to_numpy()
-        v = np.array(t.column("v").to_pylist(), dtype=float)
-        a, o = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        out: list[tuple] = []
-        for lo in range(0, len(a), 256):
-            q = a[lo : lo + 256]
-            d = np.sqrt(((v[q][:, None, :] - v[o][None, :, :]) ** 2).sum(axis=2)) if v.shape[1] <= 8 else _distances(v[q], v[o])
-            d = np.round(d, 9)
-            d[ids[q][:, None] == ids[o][None, :]] = np.inf
-            if kind:
-                same = label[q][:, None] == label[o][None, :]
-                d[same if kind == "opposite" else ~same] = np.inf
-            order = np.lexsort((np.broadcast_to(ids[o], d.shape), d), axis=1)[:, :k]
-            for r in range(len(q)):
-                out += [(int(ids[q[r]]), int(ids[o[c]]), float(d[r, c])) for c in order[r] if np.isfinite(d[r, c])]
-        return pa.table({"row_id": pa.array([x[0] for x in out], pa.int64()), "other_id": pa.array([x[1] for x in out], pa.int64()), "distance": pa.array([x[2] for x in out], pa.float64())})
-
-    found = left.unionByName(right).groupBy("i", "j").applyInArrow(search, "row_id long, other_id long, distance double")
-    order = Window.partitionBy("row_id").orderBy("distance", "other_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+#: Queries of a task, about, and cells of the index at most.
+BLOCK, MOST_CELLS = 2048, 1024
+#: Distances are rounded to this many places, so that ties do not depend on the order of sums.
+PLACES = 9
+#: What rounding and sums can move a distance by, at most: bounds are wider by it.
+SLACK = 1e-7
+
+
+def _points(rows: DataFrame, vector: str, k: int, kind: str | None) -> tuple[DataFrame, DataFrame]:
+    """The distinct vectors (with ``kind``: and labels) of the rows, each with the k + 1 smallest ids that have it, and each
+    row's point. Of equal rows, only those ids can be among a row's k nearest, so a crowd of them is one point."""
+    label = F.col("label").cast("int") if kind else F.lit(0)
+    data = rows.select("row_id", label.alias("label"), F.col(vector).cast("array<double>").alias("v")).where("v is not null and label is not null")
+    first = Window.partitionBy("v", "label").orderBy("row_id")
+    few = data.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k + 1)
+    points = few.groupBy("v", "label").agg(F.array_sort(F.collect_list("row_id")).alias("ids"))
+    points = materialize(points.withColumn("point", F.monotonically_increasing_id()), "points")
+    members = data.join(points.select("v", "label", "point").hint("merge"), ["v", "label"]).select("row_id", "point")
+    return points, members
+
+
+def _cells(pivots: np.ndarray):
+    """Points with the cell of the pivot nearest to them and their distance to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(lo, BLOCK)
+                v = _vectors(part.column("v"), pivots.shape[1])
+                d = _squares(v, pivots)
+                cell = d.argmin(axis=1)
+                far = np.sqrt(((v - pivots[cell]) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("point", "label", "v", "ids")], pa.array(cell, pa.int32()), pa.array(far, pa.float64())], ["point", "label", "v", "ids", "cell", "far"])
+
+    return run
+
+
+def _vectors(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.empty((len(a), len(b)))
-    for lo in range(0, len(b), 512):
-        out[:, lo : lo + 512] = np.sqrt(((a[:, None, :] - b[None, lo : lo + 512, :]) ** 2).sum(axis=2))
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances by a product, exact but for the last digits."""
+    d = a @ b.T
+    d *= -2
+    d += (a * a).sum(axis=1)[:, None]
+    d += (b * b).sum(axis=1)[None, :]
+    return np.maximum(d, 0, out=d)
+
+
+def _limits(pivots: np.ndarray, stats: list, wanted: dict, k: int, kind: str | None) -> dict[int, np.ndarray]:
+    """For each label m, [j, i]: how far from pivot j a point of that label and cell has to be, to be in reach of cell i's queries.
+
+    A query of cell i is at most U_i from its pivot, so at most U_i + |p_i p_j| + |p_j s| from any point s: the (k + 1)-th
+    smallest such sum bounds its k-th neighbour's distance (the query itself may be one of the points). A point of cell j
+    within that bound is at least |p_i p_j| - U_i - bound from its own pivot, by the triangle inequality."""
+    m, between = len(pivots), np.sqrt(_squares(pivots, pivots))
+    labels = sorted({s["label"] for s in stats})
+    near = {(s["cell"], s["label"]): np.array(s["near"]) for s in stats}
+    out = {b: np.full((m, m), np.inf) for b in labels}
+    for (i, a), reach in wanted.items():
+        fit = [b for b in labels if kind is None or (b == a) == (kind == "same")]
+        sums = [near[j, b] + between[i, j] for j in range(m) for b in fit if (j, b) in near]
+        joined = np.sort(np.concatenate(sums)) if sums else np.zeros(0)
+        bound = reach + joined[k] if len(joined) > k else np.inf
+        for b in fit:
+            out[b][:, i] = np.minimum(out[b][:, i], between[i] - reach - bound - SLACK * (1 + between[i]))
     return out
 
 
+def _sent(limits: dict[int, np.ndarray], chunks: np.ndarray):
+    """Each point once as a query of its own cell's chunk (side 0), if it is one, and once for each chunk it is in reach of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, label, far = (batch.column(c).to_numpy() for c in ("cell", "label", "far"))
+            asked, spread = batch.column("asked").to_numpy(zero_copy_only=False), batch.column("spread").to_numpy()
+            for lo in range(0, batch.num_rows, 256):
+                own = slice(lo, lo + 256)
+                limit = np.stack([limits[b][j] for b, j in zip(label[own], cell[own], strict=True)])
+                row, to = np.nonzero(far[own, None] >= limit)
+                times = chunks[to]
+                row, to = np.repeat(row, times), np.repeat(to, times)
+                chunk = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                self_ = np.flatnonzero(asked[own])
+                take = np.concatenate([self_, row]) + lo
+                at = [np.concatenate([cell[own][self_], to]), np.concatenate([spread[own][self_] % np.maximum(chunks[cell[own][self_]], 1), chunk]), np.concatenate([np.zeros(len(self_), int), np.ones(len(row), int)])]
+                part = batch.take(pa.array(take))
+                yield pa.RecordBatch.from_arrays([*[pa.array(x.astype(np.int32)) for x in at], *[part.column(c) for c in ("point", "label", "v", "ids")]], ["to", "chunk", "side", "point", "label", "v", "ids"])
+
+    return run
+
+
+class _Best:
+    """The smallest (distance, id) pairs of each of some queries, ``size`` at most."""
+
+    def __init__(self, n: int, size: int):
+        self.distance, self.id = np.full((n, size), np.inf), np.full((n, size), np.iinfo(np.int64).max)
+
+    def add(self, row: np.ndarray, distance: np.ndarray, ids: np.ndarray) -> None:
+        """Takes in pairs (row, distance, id)."""
+        if not len(row):
+            return
+        size = self.distance.shape[1]
+        rows = np.unique(row)
+        r = np.concatenate([row, np.repeat(rows, size)])
+        d, i = np.concatenate([distance, self.distance[rows].ravel()]), np.concatenate([ids, self.id[rows].ravel()])
+        order = np.lexsort((i, d, r))
+        r, d, i = r[order], d[order], i[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        keep = place < size
+        self.distance[r[keep], place[keep]], self.id[r[keep], place[keep]] = d[keep], i[keep]
+
+
+def _search(k: int, kind: str | None, width: int):
+    """Sorted rows (to, chunk, side, ...) to the k + 1 best of each query of a chunk: the queries come first, then the points in
+    reach, slice by slice. A task holds one chunk's queries and one slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, queries, best = None, None, None
+        held: list[tuple] = []
+
+        def begin() -> None:
+            nonlocal queries, best
+            if queries is None:
+                queries = [np.concatenate(c) for c in zip(*held, strict=True)] if held else None
+                best = _Best(len(queries[0]), k + 1) if held else None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            begin()
+            if best is None:
+                return
+            row, col = np.nonzero(np.isfinite(best.distance))
+            yield pa.RecordBatch.from_arrays([pa.array(queries[0][row]), pa.array(best.id[row, col]), pa.array(best.distance[row, col])], ["point", "other_id", "distance"])
+
+        for batch in batches:
+            to, chunk, side = (batch.column(c).to_numpy() for c in ("to", "chunk", "side"))
+            point, label, v = batch.column("point").to_numpy(), batch.column("label").to_numpy(), _vectors(batch.column("v"), width)
+            ids = batch.column("ids")
+            cut = np.flatnonzero((np.diff(to) != 0) | (np.diff(chunk) != 0) | (np.diff(side) != 0)) + 1
+            for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(to)], strict=True):
+                if (to[lo], chunk[lo]) != place:
+                    if place is not None:
+                        yield from done()
+                    place, queries, best, held = (to[lo], chunk[lo]), None, None, []
+                if side[lo] == 0:
+                    held.append((point[lo:hi], label[lo:hi], v[lo:hi]))
+                    continue
+                begin()
+                if best is None:
+                    continue
+                for a in range(lo, hi, 1024):
+                    own = slice(a, min(hi, a + 1024))
+                    square = _squares(queries[2], v[own])
+                    last = best.distance[:, -1]
+                    near = square <= np.square(last + SLACK * (1 + np.where(np.isfinite(last), last, 0)))[:, None]
+                    if kind:
+                        near &= (queries[1][:, None] == label[None, own]) == (kind == "same")
+                    q, c = np.nonzero(near)
+                    for x in range(0, len(q), 1 << 18):  # the distances that matter, by sums of squares
+                        r, s = q[x : x + (1 << 18)], c[x : x + (1 << 18)]
+                        exact = np.round(np.sqrt(((queries[2][r] - v[own][s]) ** 2).sum(axis=1)), PLACES)
+                        part = ids.slice(a, len(v[own]))
+                        start = np.concatenate([[0], np.cumsum(part.value_lengths().to_numpy())])
+                        flat, many = part.flatten().to_numpy(), np.diff(start)[s]
+                        at = np.repeat(start[s], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                        best.add(np.repeat(r, many), np.repeat(exact, many), flat[at])
+        if place is not None:
+            yield from done()
+
+    return run
+
+
+def _index(rows: DataFrame, vector: str, k: int, kind: str | None, queries: DataFrame | None, block: int) -> dict | None:
+    """What a search needs: cells of points around pivots, how far each reaches, and what has to be sent where."""
+    points, members = _points(rows, vector, k, kind)
+    n = points.count()
+    if not n:
+        return None
+    if queries is not None:
+        members = members.join(queries.select("row_id").distinct().hint("merge"), "row_id", "left_semi")
+    members = materialize(members, "members")
+    cells = min(MOST_CELLS, -(-n // block))
+    # Pivots: as many points as cells, with the smallest hashes. They are of a bounded number, and so is the table of their distances.
+    pivots = np.array([r["v"] for r in points.select("v", "point").orderBy(F.xxhash64("point"), "point").limit(cells).collect()], dtype=float)
+    asked = members.select("point").distinct().withColumn("asked", F.lit(True))
+    placed = points.mapInArrow(_cells(pivots), "point long, label int, v array<double>, ids array<bigint>, cell int, far double")
+    placed = placed.join(asked.hint("merge"), "point", "left").withColumn("asked", F.coalesce("asked", F.lit(False))).withColumn("spread", F.pmod(F.xxhash64("point"), F.lit(1 << 30)).cast("int"))
+    placed = materialize(placed, "placed")
+    closest = Window.partitionBy("cell", "label").orderBy("far")
+    near = placed.withColumn("_r", F.row_number().over(closest)).where(F.col("_r") <= k + 1).groupBy("cell", "label").agg(F.collect_list("far").alias("near"))
+    stats = near.collect()
+    reach = placed.where("asked").groupBy("cell", "label").agg(F.max("far").alias("reach"), F.count("*").alias("n")).collect()
+    limits = _limits(pivots, stats, {(r["cell"], r["label"]): r["reach"] for r in reach}, k, kind)
+    size = np.zeros(len(pivots), dtype=np.int64)
+    for r in reach:
+        size[r["cell"]] += r["n"]
+    sent = placed.mapInArrow(_sent(limits, -(-size // block)), "to int, chunk int, side int, point long, label int, v array<double>, ids array<bigint>")
+    return {"points": n, "queries": int(size.sum()), "members": members, "sent": sent, "width": pivots.shape[1], "cells": len(pivots)}
+
+
+def nearest(rows: DataFrame, vector: str, k: int = 5, kind: str | None = None, queries: DataFrame | None = None, block: int | None = None) -> DataFrame:
+    """The k exact nearest other rows of each row (or of those whose ``row_id`` is in ``queries``): (row_id, other_id, distance, rank),
+    distances rounded to 9 places, ties by id.
+
+    Points (distinct vectors) are dealt into cells around pivots, and the triangle inequality says which points can be among
+    the neighbours of a cell's queries: only these are sent there. A cell with many queries is searched in chunks, a crowd
+    of equal rows is one point, so that no task holds more than a chunk's queries and a slice of points, whatever the table. In
+    few dimensions most pairs are never looked at (``pruning`` says how many); in many, the work becomes that of all pairs,
+    spread over the chunks. ``kind`` (same, opposite) limits partners by the column ``label``; rows without a vector, or with
+    ``kind`` without a label, have no partners and are none. An empty table gives an empty result."""
+    found = _index(rows, vector, k, kind, queries, block or BLOCK)
+    if found is None:
+        return rows.sparkSession.createDataFrame([], "row_id long, other_id long, distance double, rank int")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    best = found["sent"].repartition(parts, "to", "chunk").sortWithinPartitions("to", "chunk", "side").mapInArrow(_search(k, kind, found["width"]), "point long, other_id long, distance double")
+    listed = best.groupBy("point").agg(F.array_sort(F.collect_list(F.struct("distance", "other_id"))).alias("_b"))
+    met = found["members"].join(listed.hint("merge"), "point")
+    own = F.slice(F.filter("_b", lambda b: b["other_id"] != F.col("row_id")), 1, k)
+    return met.select("row_id", F.posexplode(own).alias("_i", "_n")).select("row_id", "_n.other_id", "_n.distance", (F.col("_i") + 1).cast("int").alias("rank"))
+
+
+def pruning(rows: DataFrame, vector: str, k: int = 5, kind: str | None = None, queries: DataFrame | None = None, block: int | None = None) -> DataFrame:
+    """One row on the search that ``nearest`` makes with these arguments: points, queries (points that are one), cells, pairs of a query
+    and a point that are compared, and the share of all pairs that is not."""
+    found = _index(rows, vector, k, kind, queries, block or BLOCK)
+    if found is None:
+        return rows.sparkSession.createDataFrame([(0, 0, 0, 0, 0.0)], "points long, queries long, cells long, pairs long, pruned double")
+    per = found["sent"].groupBy("to", "chunk").agg(F.sum(1 - F.col("side")).alias("q"), F.sum("side").alias("s"))
+    every = float(found["points"]) * found["queries"]
+    made = per.agg(F.coalesce(F.sum(F.col("q") * F.col("s")), F.lit(0)).cast("long").alias("pairs"))
+    return made.select(F.lit(found["points"]).cast("long").alias("points"), F.lit(found["queries"]).cast("long").alias("queries"), F.lit(found["cells"]).cast("long").alias("cells"), "pairs", (1 - F.col("pairs") / F.lit(max(every, 1.0))).alias("pruned"))
+
+
 def nearest_approximately(rows: DataFrame, vector: str, k: int = 5, bucket_length: float = 1.0, tables: int = 6, radius: float = 4.0, seed: int = 42) -> DataFrame:
     """Like ``nearest``, by random projections of Spark ML: partners that share no bucket are missed, and the column
-    ``approximate`` says so."""
+    ``approximate`` says so; ``recall`` measures how many."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
@@ -80,10 +261,19 @@ def nearest_approximately(rows: DataFrame, vector: str, k: int = 5, bucket_lengt
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("approximate", F.lit(True))
 
 
+def recall(rows: DataFrame, vector: str, found: DataFrame, k: int = 5, every: int = 20) -> DataFrame:
+    """One row: of the exact k nearest of the rows whose id is divisible by ``every``, searched among all rows, the share that ``found``
+    (row_id, other_id) has."""
+    queries = rows.where(F.col("row_id") % every == 0)
+    exact = nearest(rows, vector, k, queries=queries).select("row_id", "other_id")
+    hit = exact.join(found.select("row_id", "other_id").distinct().withColumn("hit", F.lit(1)).hint("merge"), ["row_id", "other_id"], "left")
+    return hit.agg(F.countDistinct("row_id").alias("queries"), F.count("*").alias("neighbours"), F.avg(F.coalesce("hit", F.lit(0)).cast("double")).alias("recall"))
+
+
 def hardness(rows: DataFrame, neighbours: DataFrame) -> DataFrame:
     """What the k neighbours of each row vote, how mixed they are, and a hardness score with flags."""
     labels = rows.select("row_id", "label")
-    met = neighbours.join(labels.select(F.col("row_id").alias("other_id"), F.col("label").alias("other")), "other_id").join(labels, "row_id")
+    met = neighbours.join(labels.select(F.col("row_id").alias("other_id"), F.col("label").alias("other")).hint("merge"), "other_id").join(labels.hint("merge"), "row_id")
     s = met.groupBy("row_id", "label").agg(F.avg(F.col("other").cast("double")).alias("vote"), F.avg((F.col("other") != F.col("label")).cast("double")).alias("opposite_share"), F.avg("distance").alias("mean_distance"))
     s = s.withColumn("predicted", (F.col("vote") >= 0.5).cast("int")).withColumn("entropy", entropy2(F.col("vote"))).withColumn("wrong", F.col("predicted") != F.col("label"))
     score = 0.5 * F.col("opposite_share") + 0.25 * F.col("entropy") + 0.15 * (1 - F.abs(2 * F.col("vote") - 1)) + 0.1 * F.col("wrong").cast("int")
@@ -98,7 +288,8 @@ def prototypes(rows: DataFrame, neighbours: DataFrame, same: DataFrame, opposite
     class (``same``) and its nearest of the other (``opposite``)."""
     eps = 1e-12
     labels = rows.select("row_id", "label")
-    opp = neighbours.join(labels.select(F.col("row_id").alias("other_id"), F.col("label").alias("other")), "other_id").join(labels, "row_id").groupBy("row_id", "label").agg(F.avg((F.col("other") != F.col("label")).cast("double")).alias("opp"))
+    met = neighbours.join(labels.select(F.col("row_id").alias("other_id"), F.col("label").alias("other")).hint("merge"), "other_id").join(labels.hint("merge"), "row_id")
+    opp = met.groupBy("row_id", "label").agg(F.avg((F.col("other") != F.col("label")).cast("double")).alias("opp"))
     s = same.groupBy("row_id").agg(F.min("distance").alias("ns"), F.avg("distance").alias("same_mean"))
     o = opposite.groupBy("row_id").agg(F.min("distance").alias("no"))
     t = materialize(opp.join(s.hint("merge"), "row_id").join(o.hint("merge"), "row_id"), "t")  # the searches below it are made once

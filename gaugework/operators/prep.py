@@ -139,9 +139,9 @@ def oversample_minority(examples: DataFrame, features: Sequence[str], neighbours
     rounds = F.floor((F.col("_wanted") - F.col("_rank")) / F.col("n_min"))
     made = base.where("_rank <= _wanted").withColumn("_round", F.explode(F.sequence(F.lit(0).cast("long"), rounds.cast("long")))).withColumn("_i", F.col("_round") * F.col("n_min") + F.col("_rank"))
     degree = neighbours.groupBy("row_id").agg(F.count("*").alias("_k"))
-    made = made.join(degree, "row_id").withColumn("rank", (F.floor(hash_uniform(F.col("_i"), seed, "neighbour") * F.col("_k")) + 1).cast("int"))
+    made = made.join(degree.hint("merge"), "row_id").withColumn("rank", (F.floor(hash_uniform(F.col("_i"), seed, "neighbour") * F.col("_k")) + 1).cast("int"))
     other = examples.select(F.col("row_id").alias("other_id"), *[F.col(f).alias(f"_o_{f}") for f in features])
-    made = made.join(neighbours.select("row_id", "other_id", "rank"), ["row_id", "rank"]).join(other, "other_id")
+    made = made.join(neighbours.select("row_id", "other_id", "rank").hint("merge"), ["row_id", "rank"]).join(other.hint("merge"), "other_id")
     step = hash_uniform(F.col("_i"), seed, "lambda")
     new = made.select((-F.col("_i")).alias("row_id"), "label", *[(F.col(f) + step * (F.col(f"_o_{f}") - F.col(f))).alias(f) for f in features])
     return examples.select("row_id", "label", *features).unionByName(new)
