@@ -23,12 +23,6 @@ def hash_normal(key: Column, seed: int, salt: str | Column) -> Column:
     return F.sqrt(-2.0 * F.log(1.0 - u)) * F.cos(2 * math.pi * v)
 
 
-def poisson_draw(mean: Column, z: Column) -> Column:
-    """A Poisson number from a standard normal one: the quantile by its mean, spread and skew (Cornish-Fisher), rounded. It is
-    within a count of the true quantile, for any mean; 0 for the mean 0."""
-    return F.when(mean <= 0, 0.0).otherwise(F.greatest(F.rint(mean + F.sqrt(mean) * z + (z * z - 1) / 6), F.lit(0.0))).cast("long")
-
-
 def ratio(a: Column, b: Column) -> Column:
     """a / b as double, 0 where b is 0."""
     return F.when(b == 0, F.lit(0.0)).otherwise(a.cast("double") / b)

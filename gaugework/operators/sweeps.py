@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugework.functions.columns import clip, hash_normal, poisson_draw, ratio, rates, with_rates
+from gaugework.functions.columns import clip, hash_normal, hash_uniform, ratio, rates, with_rates
+from gaugework.plans import laws
 from gaugework.plans.patterns import grid, ranked, running_sums, score_steps, with_totals
+from gaugework.plans.scratch import materialize
 
 CAPACITIES = (0.01, 0.02, 0.05, 0.10, 0.15, 0.20, 0.30, 0.40, 0.50, 0.75, 1.0)
 
@@ -160,15 +162,35 @@ def selective_area(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def threshold_stability(scored: DataFrame, current: float = 0.5, replicates: int = 80, size: int = 101, seed: int = 42) -> DataFrame:
-    """Poisson bootstrap of the best grid threshold: one row of quantiles, spread and verdict.
+    """Stratified bootstrap of the best grid threshold: one row of quantiles, spread and verdict.
 
-    A row's weight in a replicate is a Poisson(1) number. Rows of one grid cell and label are counted once, and a
-    replicate's sum of their weights is one Poisson number of that mean."""
+    A replicate draws as many rows of each label as there are, with replacement; only their counts in the grid's cells matter,
+    which follow a multinomial law. Independent Poisson numbers with a total mean of 12 standard deviations less than the
+    label's n rows have that law once their total is known, and what is missing from n is drawn row by row: about 12 sqrt(n)
+    draws instead of n, and the rows are counted once."""
     spark = scored.sparkSession
     cells = scored.groupBy(F.floor(F.col("p") * (size - 1) + 1e-9).cast("int").alias("cell")).agg(F.sum("label").cast("long").alias("pos"), F.sum(1 - F.col("label")).cast("long").alias("neg"))
     frame = spark.range(replicates).select(F.col("id").cast("int").alias("rep")).crossJoin(F.broadcast(spark.range(size).select(F.col("id").cast("int").alias("cell"))))
-    cells = frame.join(F.broadcast(cells), "cell", "left").na.fill(0, ["pos", "neg"])  # a row for each cell of the grid
-    cells = cells.select("rep", "cell", *[poisson_draw(F.col(c), hash_normal(F.col("rep"), seed, F.concat(F.lit(f"boot{c}"), F.col("cell")))).alias(c) for c in ("pos", "neg")])
+    kinds = ("pos", "neg")
+    long = cells.select("cell", F.inline(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("rows")) for c in kinds]))).where("rows > 0")
+    within = Window.partitionBy("kind")  # as many rows as the grid has cells
+    long = long.withColumn("n", F.sum("rows").over(within)).withColumn("upto", F.sum("rows").over(within.orderBy("cell")))
+    drawn_first = F.greatest(F.lit(0.0), F.col("n") - laws.TAIL * F.sqrt("n"))
+    long = materialize(long.withColumn("mean", drawn_first * F.col("rows") / F.col("n")), "cells")
+    tables = materialize(laws.poisson_tables(long, "mean", ["kind", "cell"]), "tables")
+    salt = F.concat(F.lit("boot"), F.col("kind"), F.lit(":"), F.col("cell"))
+    reps = spark.range(replicates).select(F.col("id").cast("int").alias("rep"))
+    first = reps.crossJoin(F.broadcast(tables)).select("rep", "kind", "cell", laws.poisson_draw(hash_uniform(F.col("rep"), seed, salt), hash_normal(F.col("rep"), seed, salt)).alias("m"))
+    first = materialize(first, "first")
+    sizes = long.groupBy("kind").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("upto", "cell"))).alias("_u"))
+    left = first.groupBy("rep", "kind").agg(F.sum("m").alias("m")).join(F.broadcast(sizes), "kind")
+    each = left.where("n > m").select("rep", "kind", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") - F.col("m"))).alias("i"))
+    place = F.floor(hash_uniform(F.concat_ws(":", F.col("rep").cast("string"), F.col("i").cast("string")), seed, F.concat(F.lit("rest"), F.col("kind"))) * F.col("n"))
+    # Counted by place first, so that a place is looked up once.
+    places = each.groupBy("rep", "kind", place.alias("place")).agg(F.count("*").alias("m")).join(F.broadcast(sizes.select("kind", "_u")), "kind")
+    more = places.select("rep", "kind", F.get(F.filter("_u", lambda u: u["upto"] > F.col("place")), F.lit(0))["cell"].alias("cell"), "m").groupBy("rep", "kind", "cell").agg(F.sum("m").alias("m"))
+    drawn = first.unionByName(more).groupBy("rep", "cell").agg(*[F.sum(F.when(F.col("kind") == c, F.col("m")).otherwise(0)).alias(c) for c in kinds])
+    cells = frame.join(F.broadcast(drawn), ["rep", "cell"], "left").na.fill(0, ["pos", "neg"])  # a row for each replicate and cell of the grid
     down = Window.partitionBy("rep").orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("rep")
     cells = cells.select("rep", (F.col("cell") / (size - 1)).alias("t"), F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(whole).alias("P"), F.sum("neg").over(whole).alias("N"))

@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.functions.columns import clip, hash_normal, poisson_draw, ratio, with_rates
+from gaugework.functions.columns import clip, hash_normal, hash_uniform, ratio, with_rates
 from gaugework.operators.metrics import confusion
+from gaugework.plans import laws
 from gaugework.plans.patterns import ranked, running_sums, with_totals
+from gaugework.plans.scratch import materialize
 
 
 def order_statistics(values: DataFrame, value: str, alphas: DataFrame) -> DataFrame:
@@ -78,9 +80,15 @@ def bootstrap_intervals(scored: DataFrame, replicates: int = 1000, alpha: float
     """Intervals of F1, accuracy and balanced accuracy by the Poisson bootstrap.
 
     A replicate weighs each row by a Poisson(1) number. At a fixed threshold only the weighted cells of the confusion table
-    count, and a sum of n such weights is Poisson(n): each replicate draws four numbers, and the rows are counted once."""
-    cells = with_totals(scored.sparkSession.range(replicates).select(F.col("id").alias("rep")), confusion(scored, threshold).select("tp", "fp", "tn", "fn"))
-    reps = with_rates(cells.select("rep", *[poisson_draw(F.col(c), hash_normal(F.col("rep"), seed, f"ci{c}")).alias(c) for c in ("tp", "fp", "tn", "fn")]))
+    count, and a sum of n such weights is Poisson(n): each replicate draws four numbers by exact inversion, and the rows are
+    counted once."""
+    names = ("tp", "fp", "tn", "fn")
+    counts = confusion(scored, threshold).select(F.inline(F.array(*[F.struct(F.lit(c).alias("cell"), F.col(c).alias("mean")) for c in names])))
+    tables = materialize(laws.poisson_tables(counts, "mean", ["cell"]), "tables")  # four rows
+    drawn = scored.sparkSession.range(replicates).select(F.col("id").alias("rep")).crossJoin(F.broadcast(tables))
+    salt = F.concat(F.lit("ci"), F.col("cell"))
+    drawn = drawn.select("rep", "cell", laws.poisson_draw(hash_uniform(F.col("rep"), seed, salt), hash_normal(F.col("rep"), seed, salt)).alias("n"))
+    reps = with_rates(drawn.groupBy("rep").agg(*[F.max(F.when(F.col("cell") == c, F.col("n"))).alias(c) for c in names]))
     names = ("f1", "accuracy", "balanced_accuracy")
     q = reps.agg(*[F.percentile(m, F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias(m) for m in names], *[F.avg(m).alias(f"{m}_mean") for m in names])
     return q.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.get(m, F.lit(0)).alias("low"), F.get(m, F.lit(1)).alias("high"), F.col(f"{m}_mean").alias("mean")) for m in names])))
@@ -90,20 +98,23 @@ def permutation_null(scored: DataFrame, threshold: float = 0.5, permutations: in
     """F1 against its distribution under shuffled labels.
 
     A shuffle changes only the true positives, which follow a hypergeometric law of N, K and P; a permutation draws them
-    by the normal number of its hash with the law's mean and variance, rounded and kept in its range, so the work does not
-    grow with the rows beyond one count."""
+    by exact inversion, so the work does not grow with the rows beyond one count. ``p_value`` counts permutations, as a run of
+    shuffles would; ``exact_p`` is the law's own probability of an F1 this large (null where its table would be too long)."""
     one = scored.agg(F.count("*").cast("double").alias("N"), F.sum("label").cast("double").alias("P"), F.sum((F.col("p") >= threshold).cast("int")).cast("double").alias("K"), F.sum(((F.col("p") >= threshold) & (F.col("label") == 1)).cast("int")).cast("double").alias("tp"))
     N, P, K = F.col("N"), F.col("P"), F.col("K")
     f1 = lambda tp: ratio(2 * tp, K + P)
-    reps = with_totals(scored.sparkSession.range(permutations).withColumnRenamed("id", "rep"), one)
-    variance = F.when(N > 1, K * P * (N - K) * (N - P) / (N * N * (N - 1))).otherwise(0.0)
-    draw = F.rint(K * P / N + F.sqrt(variance) * hash_normal(F.col("rep"), seed, "null"))
-    reps = reps.withColumn("null_f1", f1(F.least(F.greatest(draw, F.lit(0.0), K + P - N), K, P))).withColumn("observed", f1(F.col("tp")))
+    one = materialize(laws.hypergeometric_table(one), "law")  # one row
+    # F1 grows with the true positives, so the counts from the observed one on are at least as good.
+    below = F.col("tp").cast("long") - F.col("_lo") - 1
+    exact = F.when(below < 0, 1.0).otherwise(1 - F.get("_cdf", F.least(below, F.size("_cdf") - 1).cast("int")))
+    reps = with_totals(scored.sparkSession.range(permutations).withColumnRenamed("id", "rep"), one.withColumn("exact_p", exact))
+    draw = laws.hypergeometric_draw(hash_uniform(F.col("rep"), seed, "null"), hash_normal(F.col("rep"), seed, "null"))
+    reps = reps.withColumn("null_f1", f1(draw)).withColumn("observed", f1(F.col("tp")))
     q = reps.agg(
         F.max("observed").alias("observed_f1"), F.avg("null_f1").alias("null_mean"), F.stddev_pop("null_f1").alias("null_std"), F.percentile("null_f1", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"),
-        F.count_if(F.round(F.col("null_f1") - F.col("observed"), 12) >= 0).alias("reached"), F.count("*").alias("permutations"),
+        F.count_if(F.round(F.col("null_f1") - F.col("observed"), 12) >= 0).alias("reached"), F.count("*").alias("permutations"), F.max("exact_p").alias("exact_p"),
     )
-    out = q.select("observed_f1", "null_mean", "null_std", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("null_q05", "null_q50", "null_q95"))], ((F.col("reached") + 1) / (F.col("permutations") + 1)).alias("p_value"))
+    out = q.select("observed_f1", "null_mean", "null_std", "exact_p", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("null_q05", "null_q50", "null_q95"))], ((F.col("reached") + 1) / (F.col("permutations") + 1)).alias("p_value"))
     out = out.withColumn("z", F.when(F.col("null_std") < 1e-9, 0.0).otherwise((F.col("observed_f1") - F.col("null_mean")) / F.col("null_std")))
     verdict = F.when(F.col("observed_f1") <= F.col("null_mean"), "no_observed_lift").when(F.col("p_value") <= 0.01, "strong_signal").when(F.col("p_value") <= 0.05, "signal").when(F.col("p_value") <= 0.10, "weak_signal").otherwise("not_significant")
     return out.withColumn("verdict", verdict)

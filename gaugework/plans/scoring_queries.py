@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from gaugework.operators import metrics as M
 from gaugework.operators import sweeps as S
 from gaugework.plans.registry import Registry
-from gaugework.plans.tables import confusion_sql, event_examples, normal_sql, poisson_sql, rates_sql, ratio_sql
+from gaugework.plans.laws import poisson_tables_sql
+from gaugework.plans.tables import confusion_sql, event_examples, rates_sql, ratio_sql, uniform_sql
 
 R = Registry()
 E = event_examples
@@ -117,11 +118,15 @@ R.add(
     f"WITH {CURVE_SQL}, o AS (SELECT coverage, max(error) AS error FROM curve WHERE selected > 0 GROUP BY coverage), q AS (SELECT coverage, error, lag(coverage) OVER (ORDER BY coverage) AS c0, lag(error) OVER (ORDER BY coverage) AS e0 FROM o) SELECT coalesce(sum((coverage - c0) * (error + e0) / 2), 0.0) AS aurc, min(error) AS min_error FROM q",
     "aurc min_error",
 )
-_T7 = ", ".join(f"""{poisson_sql(c, normal_sql("rep", 42, f"'boot{c}' || cell"))} AS {c}""" for c in ("pos", "neg"))
+_T7_REST = uniform_sql("(rep || ':' || i)", 42, "'rest' || kind")
 R.add(
     "t7_threshold_stability", lambda s, d: S.threshold_stability(E(s, d)),
-    f"""WITH c AS (SELECT CAST(floor(p * 100 + 1e-9) AS INT) AS cell, sum(label) AS pos, sum(1 - label) AS neg FROM e GROUP BY 1),
- g AS (SELECT r.rep, k.cell, coalesce(pos, 0) AS pos, coalesce(neg, 0) AS neg FROM range(80) r(rep) CROSS JOIN range(101) k(cell) LEFT JOIN c ON c.cell = k.cell), f AS (SELECT rep, cell, {_T7} FROM g),
+    f"""WITH c AS (SELECT CAST(floor(p * 100 + 1e-9) AS INT) AS cell, CASE WHEN label = 1 THEN 'pos' ELSE 'neg' END AS kind, count(*) AS n_rows FROM e GROUP BY 1, 2),
+ h AS (SELECT *, kind || ':' || cell AS key, sum(n_rows) OVER (PARTITION BY kind) AS n, sum(n_rows) OVER (PARTITION BY kind ORDER BY cell) AS upto FROM c), {poisson_tables_sql('pt', 'SELECT key, greatest(0.0, n - 12 * sqrt(n)) * n_rows / n AS mean FROM h', 'key')},
+ u AS (SELECT rep, kind, cell, key, {uniform_sql('rep', 42, "'boot' || key")} AS u FROM h, range(80) r(rep)), f1_ AS (SELECT rep, kind, cell, least(any_value(lo) + count(*) FILTER (cdf < u), any_value(hi)) AS m FROM u JOIN pt USING (key) GROUP BY 1, 2, 3),
+ lf AS (SELECT rep, kind, any_value(n) AS n, sum(m) AS m FROM f1_ JOIN (SELECT DISTINCT kind, n FROM h) USING (kind) GROUP BY 1, 2), ea AS (SELECT rep, kind, floor({_T7_REST} * n) AS place FROM (SELECT rep, kind, n, unnest(range(1, (n - m + 1)::BIGINT)) AS i FROM lf WHERE n > m)),
+ mo AS (SELECT rep, ea.kind, cell, count(*) AS m FROM ea JOIN h ON h.kind = ea.kind AND place < upto AND place >= upto - n_rows GROUP BY 1, 2, 3), dr AS (SELECT rep, cell, sum(m) FILTER (kind = 'pos') AS pos, sum(m) FILTER (kind = 'neg') AS neg FROM (SELECT * FROM f1_ UNION ALL SELECT * FROM mo) GROUP BY 1, 2),
+ f AS (SELECT r.rep, k.cell, coalesce(pos, 0) AS pos, coalesce(neg, 0) AS neg FROM range(80) r(rep) CROSS JOIN range(101) k(cell) LEFT JOIN dr ON dr.cell = k.cell AND dr.rep = r.rep),
  s AS (SELECT rep, cell / 100.0::DOUBLE AS t, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER v AS n_pos, sum(neg) OVER v AS n_neg FROM f WINDOW w AS (PARTITION BY rep ORDER BY cell DESC), v AS (PARTITION BY rep)),
  m AS (SELECT rep, t, {rates_sql()} FROM (SELECT rep, t, tp, fp, n_neg - fp AS tn, n_pos - tp AS fn FROM s)),
  o AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY round(f1, 9) DESC, round(balanced_accuracy, 9) DESC, round(accuracy, 9) DESC, round(abs(t - 0.5), 9), t) AS rn, max(f1) OVER (PARTITION BY rep) AS best, max(CASE WHEN abs(t - 0.5) < 1e-9 THEN f1 END) OVER (PARTITION BY rep) AS now FROM m),

@@ -8,7 +8,8 @@ from gaugework.operators import prep as P
 from gaugework.operators import uncertainty as U
 from gaugework.plans.registry import Registry
 from gaugework.plans.tables import FEATURES as X
-from gaugework.plans.tables import confusion_sql, normal_sql, poisson_sql, rates_sql, read, uniform_sql
+from gaugework.plans.laws import poisson_tables_sql
+from gaugework.plans.tables import confusion_sql, rates_sql, read, uniform_sql
 from gaugework.plans.tables import event_examples as E
 from gaugework.sources import tables as S
 
@@ -119,20 +120,25 @@ R.add(
     "u3_aps_sweep", lambda s, d: U.aps_sweep(*_sides(s, d)),
     f"WITH {CONF_SQL.format(score='CASE WHEN label = (p > 0.5)::INT THEN greatest(p, 1 - p) ELSE 1.0::DOUBLE END')}, z AS (SELECT *, greatest(p, 1 - p) < quantile OR p <= 0.5 AS in0, greatest(p, 1 - p) < quantile OR p > 0.5 AS in1 FROM ev, qs), sw AS ({_SETS}) SELECT * FROM sw", _SWD,
 )
-_B1 = ", ".join(f"""{poisson_sql(c, normal_sql("rep", 42, f"'ci{c}'"))} AS {c}""" for c in ("tp", "fp", "tn", "fn"))
+_B1_MEANS = " UNION ALL ".join(f"SELECT '{c}' AS cell, {c}::DOUBLE AS mean FROM o" for c in ("tp", "fp", "tn", "fn"))
+_B1 = ", ".join(f"max(n) FILTER (cell = '{c}') AS {c}" for c in ("tp", "fp", "tn", "fn"))
 R.add(
     "b1_bootstrap_intervals", lambda s, d: U.bootstrap_intervals(E(s, d)),
-    f"""WITH o AS (SELECT {confusion_sql()} FROM e), c AS (SELECT rep, {_B1} FROM o, range(1000) r(rep)), m AS (SELECT {rates_sql()} FROM c)
+    f"""WITH o AS (SELECT {confusion_sql()} FROM e), {poisson_tables_sql('pt', _B1_MEANS, 'cell')}, u AS (SELECT rep, cell, {uniform_sql('rep', 42, "'ci' || cell")} AS u FROM range(1000) r(rep), (SELECT DISTINCT cell FROM pt)),
+ dr AS (SELECT rep, u.cell, least(any_value(lo) + count(*) FILTER (cdf < u), any_value(hi)) AS n FROM u JOIN pt ON pt.cell = u.cell GROUP BY 1, 2), c AS (SELECT rep, {_B1} FROM dr GROUP BY rep), m AS (SELECT {rates_sql()} FROM c)
  SELECT 'f1' AS metric, quantile_cont(f1, 0.025) AS low, quantile_cont(f1, 0.975) AS high, avg(f1) AS mean FROM m UNION ALL SELECT 'accuracy', quantile_cont(accuracy, 0.025), quantile_cont(accuracy, 0.975), avg(accuracy) FROM m UNION ALL SELECT 'balanced_accuracy', quantile_cont(balanced_accuracy, 0.025), quantile_cont(balanced_accuracy, 0.975), avg(balanced_accuracy) FROM m""",
     "low high mean",
 )
 R.add(
     "b2_permutation_null", lambda s, d: U.permutation_null(E(s, d)),
     f"""WITH o AS (SELECT count(*)::DOUBLE AS n, sum(label)::DOUBLE AS np, sum((p >= 0.5)::INT)::DOUBLE AS k, sum((p >= 0.5 AND label = 1)::INT)::DOUBLE AS tp FROM e),
- d AS (SELECT *, 2 * tp / (k + np) AS observed, 2 * least(greatest(round_even(k * np / n + sqrt(k * np * (n - k) * (n - np) / (n * n * (n - 1))) * {normal_sql('rep', 42, "'null'")}, 0), 0.0, k + np - n), k, np) / (k + np) AS nf FROM range(200) r(rep), o),
+ b AS (SELECT *, greatest(0, k + np - n, floor(k * np / n - r))::BIGINT AS lo, least(k, np, ceil(k * np / n + r))::BIGINT AS hi FROM (SELECT *, 12 * sqrt(k * np * (n - k) * (n - np) / (n * n * (n - 1))) + 12 AS r FROM o)),
+ w AS (SELECT x, lo, hi, tp, exp(s - max(s) OVER ()) AS w FROM (SELECT *, sum(CASE WHEN x > lo THEN ln((np - x + 1) * (k - x + 1) / (x * (n - np - k + x))) ELSE 0.0 END) OVER (ORDER BY x) AS s FROM (SELECT *, unnest(range(lo, hi + 1)) AS x FROM b))),
+ t AS (SELECT *, sum(w) OVER (ORDER BY x) / sum(w) OVER () AS cdf FROM w), ex AS (SELECT 1 - coalesce(max(cdf) FILTER (x < tp), 0.0) AS exact_p FROM t),
+ d AS (SELECT rep, 2 * any_value(o.tp) / any_value(k + np) AS observed, 2 * least(any_value(lo) + count(*) FILTER (cdf < u), any_value(hi)) / any_value(k + np) AS nf FROM (SELECT rep, {uniform_sql('rep', 42, "'null'")} AS u FROM range(200) r(rep)), t, o GROUP BY rep),
  q AS (SELECT max(observed) AS observed_f1, avg(nf) AS null_mean, stddev_pop(nf) AS null_std, quantile_cont(nf, 0.05) AS null_q05, quantile_cont(nf, 0.5) AS null_q50, quantile_cont(nf, 0.95) AS null_q95, (count(*) FILTER (round(nf - observed, 12) >= 0) + 1) / (count(*) + 1) AS p_value FROM d)
- SELECT *, CASE WHEN null_std < 1e-9 THEN 0.0 ELSE (observed_f1 - null_mean) / null_std END AS z, CASE WHEN observed_f1 <= null_mean THEN 'no_observed_lift' WHEN p_value <= 0.01 THEN 'strong_signal' WHEN p_value <= 0.05 THEN 'signal' WHEN p_value <= 0.1 THEN 'weak_signal' ELSE 'not_significant' END AS verdict FROM q""",
-    "observed_f1 null_mean null_std null_q05 null_q50 null_q95 p_value z",
+ SELECT *, (SELECT exact_p FROM ex) AS exact_p, CASE WHEN null_std < 1e-9 THEN 0.0 ELSE (observed_f1 - null_mean) / null_std END AS z, CASE WHEN observed_f1 <= null_mean THEN 'no_observed_lift' WHEN p_value <= 0.01 THEN 'strong_signal' WHEN p_value <= 0.05 THEN 'signal' WHEN p_value <= 0.1 THEN 'weak_signal' ELSE 'not_significant' END AS verdict FROM q""",
+    "observed_f1 null_mean null_std null_q05 null_q50 null_q95 p_value exact_p z",
 )
 DRIFT_SQL = f"{STD_SQL}, zz AS (SELECT row_id, {_Z} FROM e), dr AS (SELECT row_id, sqrt((x1 * x1 + x2 * x2 + x3 * x3) / 3) AS drift, greatest(abs(x1), abs(x2), abs(x3)) AS max_z, (greatest(abs(x1), abs(x2), abs(x3)) >= 3)::INT AS ood FROM zz)"
 R.add("n5_row_drift", lambda s, d: U.row_drift(E(s, d), P.fit_standardizer(E(s, d), X), X).select("row_id", "drift", "max_z", "ood"), f"WITH {DRIFT_SQL} SELECT * FROM dr", "drift max_z", "l")

@@ -44,11 +44,6 @@ def normal_sql(key: str, seed: int, salt: str) -> str:
     return f"(sqrt(-2.0 * ln(1.0 - {a})) * cos(2 * pi() * {b}))"
 
 
-def poisson_sql(mean: str, z: str) -> str:
-    """SQL of ``poisson_draw``."""
-    return f"CAST(CASE WHEN {mean} <= 0 THEN 0.0 ELSE greatest(round_even({mean} + sqrt({mean}) * {z} + ({z} * {z} - 1) / 6, 0), 0.0) END AS BIGINT)"
-
-
 def ratio_sql(a: str, b: str) -> str:
     return f"(CASE WHEN ({b}) = 0 THEN 0.0 ELSE ({a})::DOUBLE / ({b}) END)"
 

@@ -6,7 +6,10 @@ import math
 
 from pyspark.sql import functions as F
 
-from gaugework.functions.columns import hash_normal, poisson_draw
+from gaugework.functions.columns import hash_normal, hash_uniform
+from gaugework.operators.sweeps import threshold_stability
+from gaugework.operators.uncertainty import permutation_null
+from gaugework.plans import laws
 from gaugework.operators.metrics import ranking_metrics
 from gaugework.operators.modeling import model_queue
 from gaugework.plans.patterns import ranked, running_sums, with_bucket
@@ -38,10 +41,51 @@ def test_crowded_values_spread(spark):
     assert got.exceptAll(want.selectExpr("row_id", "cast(rank as bigint) as rank")).count() == 0
 
 
+def _poisson(spark, mean: float, n: int) -> dict[int, int]:
+    table = laws.poisson_tables(spark.createDataFrame([(1, mean)], "k int, mean double"), "mean", ["k"])
+    draw = laws.poisson_draw(hash_uniform(F.col("id"), 1, "u"), hash_normal(F.col("id"), 1, "z"))
+    return {r["d"]: r["count"] for r in spark.range(n).crossJoin(F.broadcast(table)).select(draw.alias("d")).groupBy("d").count().collect()}
+
+
+def test_poisson_tables_are_the_law(spark):
+    for mean in (0.0, 0.3, 3.0, 40.0, 10_000.0):
+        one = laws.poisson_tables(spark.createDataFrame([(1, mean)], "k int, mean double"), "mean", ["k"]).first()
+        p = [b - a for a, b in zip([0.0, *one["_cdf"]], one["_cdf"])]
+        k = [one["_lo"] + i for i in range(len(p))]
+        assert abs(sum(x * y for x, y in zip(p, k)) - mean) < 1e-6 and abs(sum(x * (y - mean) ** 2 for x, y in zip(p, k)) - mean) < 1e-6 * max(mean, 1)
+        for x, y in list(zip(p, k))[:: max(1, len(p) // 50)]:
+            assert abs(x - math.exp(y * math.log(mean) - mean - math.lgamma(y + 1) if mean else -1e9 * y)) < 1e-9
+
+
 def test_poisson_draws_have_their_mean_and_spread(spark):
-    for mean in (0, 3, 40, 10_000):
-        r = spark.range(4000).select(poisson_draw(F.lit(mean), hash_normal(F.col("id"), 1, "x")).alias("d")).agg(F.avg("d").alias("m"), F.var_pop("d").alias("v")).first()
-        assert abs(r["m"] - mean) <= 4 * math.sqrt(mean / 4000) + 0.1 * (mean > 0) and abs(r["v"] - mean) <= 0.15 * mean
+    for mean in (0.0, 3.0, 10_000.0, 5e7):
+        drawn = _poisson(spark, mean, 4000)
+        m = sum(k * c for k, c in drawn.items()) / 4000
+        v = sum((k - m) ** 2 * c for k, c in drawn.items()) / 4000
+        assert abs(m - mean) <= 4 * math.sqrt(mean / 4000) and abs(v - mean) <= 0.15 * mean
+
+
+def test_hypergeometric_table_is_the_law(spark):
+    for n, p, k in ((8, 4, 4), (30, 12, 25), (5, 0, 3), (1, 1, 1)):
+        one = laws.hypergeometric_table(spark.createDataFrame([(float(n), float(p), float(k))], "N double, P double, K double")).first()
+        whole = 0.0
+        for x in range(max(0, k + p - n), min(k, p) + 1):
+            whole += math.comb(p, x) * math.comb(n - p, k - x) / math.comb(n, k)
+            assert abs(one["_cdf"][x - one["_lo"]] - whole) < 1e-9
+
+
+def test_permutation_null_equals_the_exact_law_on_eight_rows(spark):
+    rows = spark.createDataFrame([(i, int(i >= 4), p) for i, p in enumerate((0.05, 0.15, 0.25, 0.35, 0.65, 0.75, 0.85, 0.95))], "row_id long, label int, p double")
+    one = permutation_null(rows).first()
+    assert abs(one["exact_p"] - 1 / 70) < 1e-12 and one["observed_f1"] == 1.0
+    many = permutation_null(rows, permutations=20_000).first()
+    assert abs(many["p_value"] - 1 / 70) < 4 * math.sqrt(1 / 70 / 20_000)
+
+
+def test_stratified_bootstrap_keeps_label_counts(spark):
+    rows = spark.range(3000).select(F.col("id").alias("row_id"), (F.col("id") % 3 == 0).cast("int").alias("label"), (F.pmod(F.col("id") * 7919, F.lit(3000)) / 3000).alias("p"))
+    one = threshold_stability(rows, replicates=10).first()
+    assert one["q05"] <= one["q50"] <= one["q95"] and one["verdict"].endswith("threshold") or one["verdict"] == "threshold_review"
 
 
 def test_model_queue_ranks_families(spark):
