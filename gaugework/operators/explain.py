@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.functions.columns import flags, hash_normal, hash_uniform, ratio, with_rates
-from gaugework.operators.metrics import confusion_aggs
+from gaugework.operators.metrics import confusion_aggs, probability_aggs, ranking_metrics
 from gaugework.plans.patterns import ranked, to_long, with_totals
 from gaugework.plans.scratch import materialize
 from gaugework.plans.selection import quantiles, wide_quantiles
@@ -24,36 +24,84 @@ def scored_by(df: DataFrame, features: Sequence[str], scorer: Scorer, name: str
     return df.withColumn(name, scorer(*[F.col(f) for f in features]))
 
 
+def dealt(rows: DataFrame, features: Sequence[str], repeats: int = 5, seed: int = 42, salt: str = "perm") -> DataFrame:
+    """``rows`` with ``_dealt``: for each repeat the features of another row, so that over all rows each is given once a repeat.
+
+    Rows are put in the order of their hash once; in repeat r a row gets the values of the one that stands a hashed number of
+    places (not 0) after it, the first following the last. One rank, and one shuffle of rows times repeats."""
+    placed = with_totals(ranked(rows, hash_uniform(F.col("row_id"), seed, salt), "row_id", (), "_place"), rows.agg(F.count("*").alias("_rows")))
+    shifts = [(F.lit(1) + F.floor(hash_uniform(F.lit(r), seed, f"{salt}shift") * (F.col("_rows") - 1))).cast("long") for r in range(repeats)]
+    own, values = F.struct(*[F.col(f"`{c}`") for c in rows.columns]), F.struct(*features)
+    kept = F.struct(F.col("_place").alias("_to"), F.lit(-1).alias("_r"), own.alias("_own"), F.lit(None).cast(_kind(rows, features)).alias("_v"))
+    none = F.lit(None).cast(rows.select(own.alias("o")).schema[0].dataType)
+    given = [F.struct((F.pmod(F.col("_place") - 1 - shift, F.col("_rows")) + 1).alias("_to"), F.lit(r).alias("_r"), none.alias("_own"), values.alias("_v")) for r, shift in enumerate(shifts)]
+    met = placed.select(F.inline(F.array(kept, *given))).groupBy("_to")
+    met = met.agg(F.first("_own", ignorenulls=True).alias("_own"), F.array_sort(F.collect_list(F.when(F.col("_r") >= 0, F.struct("_r", "_v")))).alias("_dealt"))
+    return met.select("_own.*", F.transform("_dealt", lambda d: d["_v"]).alias("_dealt"))
+
+
+def _kind(rows: DataFrame, features: Sequence[str]):
+    return rows.select(F.struct(*features).alias("v")).schema[0].dataType
+
+
+def _swapped(rows: DataFrame, features: Sequence[str], scorer: Scorer, repeats: int, keep: Sequence[Column | str]) -> DataFrame:
+    """Of rows with ``_dealt``: a row for each feature and repeat, with the score ``p`` after that feature's value is swapped."""
+    made = []
+    for i, f in enumerate(features):
+        for r in range(repeats):
+            new = F.get("_dealt", F.lit(r))[f]
+            made.append(F.struct(F.lit(i).alias("feature_index"), F.lit(f).alias("feature"), F.lit(r).alias("repeat"), scorer(*[new if g == f else F.col(g) for g in features]).alias("p")))
+    return rows.select(*keep, F.inline(F.array(*made)))
+
+
 def permutation_importance(examples: DataFrame, features: Sequence[str], scorer: Scorer, repeats: int = 5, seed: int = 42, threshold: float = 0.5) -> DataFrame:
-    """Loss of accuracy when a feature's values are dealt out anew: the row at place i gets the value of the row whose hash
-    has rank i. One distributed rank and one join for each repeat; the mean over repeats is reported."""
+    """Loss of accuracy when a feature's values are dealt out anew (see ``dealt``), the mean over the repeats."""
     base = with_rates(scored_by(examples, features, scorer).agg(*confusion_aggs(threshold))).select(F.col("accuracy").alias("base_accuracy"))
-    placed = ranked(examples, F.col("row_id").cast("double"), "row_id", (), "_place")
-    out = None
-    for r in range(repeats):
-        dealt = ranked(examples.select("row_id", *[F.col(f).alias(f"_n_{f}") for f in features]), hash_uniform(F.col("row_id"), seed, f"perm{r}"), "row_id", (), "_place").drop("row_id")
-        both = placed.join(dealt, "_place")
-        for i, f in enumerate(features):
-            one = both.withColumn("p", scorer(*[F.col(f"_n_{g}") if g == f else F.col(g) for g in features]))
-            row = one.agg(F.lit(i).alias("feature_index"), F.lit(f).alias("feature"), F.lit(r).alias("repeat"), *confusion_aggs(threshold))
-            out = row if out is None else out.unionByName(row)
-    per = with_totals(with_rates(out), base)
+    both = dealt(examples.select("row_id", "label", *features), features, repeats, seed)
+    long = _swapped(both, features, scorer, repeats, ["label"])
+    per = with_totals(with_rates(long.groupBy("feature_index", "feature", "repeat").agg(*confusion_aggs(threshold))), base)
     return per.groupBy("feature_index", "feature").agg(F.max("base_accuracy").alias("base_accuracy"), F.avg("accuracy").alias("permuted_accuracy"), (F.max("base_accuracy") - F.avg("accuracy")).alias("importance"))
 
 
+def permutation_reliance(examples: DataFrame, features: Sequence[str], scorer: Scorer, repeats: int = 5, seed: int = 42, threshold: float = 0.5) -> DataFrame:
+    """What a fixed model loses by a feature's values dealt out anew: F1, log loss, moved scores, and a risk score of the three
+    by which features are ranked."""
+    rows = scored_by(examples.select("row_id", "label", *features), features, scorer, "p0")
+    base = with_rates(rows.withColumnRenamed("p0", "p").agg(*confusion_aggs(threshold), *probability_aggs())).select(F.col("f1").alias("_f1"), F.col("log_loss").alias("_loss"))
+    long = _swapped(dealt(rows, features, repeats, seed), features, scorer, repeats, ["label", "p0"])
+    per = with_rates(long.groupBy("feature_index", "feature", "repeat").agg(*confusion_aggs(threshold), *probability_aggs(), F.avg(F.abs(F.col("p") - F.col("p0"))).alias("moved")))
+    out = with_totals(per, base).groupBy("feature_index", "feature").agg(
+        F.count("*").alias("repeats"), F.avg(F.col("_f1") - F.col("f1")).alias("f1_drop"), F.avg(F.col("log_loss") - F.col("_loss")).alias("log_loss_increase"), F.avg("moved").alias("mean_shift"),
+    )
+    out = out.withColumn("risk", F.greatest(F.lit(0.0), "f1_drop") + 0.25 * F.greatest(F.lit(0.0), "log_loss_increase") + 0.25 * F.col("mean_shift"))
+    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("risk", 9)), "feature_index")))  # one row for each feature
+
+
+def permutation_drivers(examples: DataFrame, features: Sequence[str], scorer: Scorer, seed: int = 42) -> DataFrame:
+    """What one dealing out of a feature costs a model: AUC, accuracy at 0.5, moved scores, and the driver score of the three."""
+    rows = scored_by(examples.select("row_id", "label", *features), features, scorer, "p0")
+    plain = rows.select("label", F.col("p0").alias("p"))
+    base = with_totals(ranking_metrics(plain).select(F.col("roc_auc").alias("_auc")), with_rates(plain.agg(*confusion_aggs(0.5))).select(F.col("accuracy").alias("_acc")))
+    long = _swapped(dealt(rows, features, 1, seed), features, scorer, 1, ["label", "p0"])
+    per = with_rates(long.groupBy("feature_index", "feature").agg(*confusion_aggs(0.5), F.avg(F.abs(F.col("p") - F.col("p0"))).alias("mean_shift")))
+    auc = ranking_metrics(long, ["feature_index"]).select("feature_index", "roc_auc")
+    out = with_totals(per.join(F.broadcast(auc), "feature_index"), base)  # one row for each feature
+    out = out.select("feature_index", "feature", (F.col("_auc") - F.col("roc_auc")).alias("auc_drop"), (F.col("_acc") - F.col("accuracy")).alias("accuracy_drop"), "mean_shift")
+    out = out.withColumn("score", F.greatest(F.lit(0.0), "auc_drop") + 0.5 * F.greatest(F.lit(0.0), "accuracy_drop") + 0.25 * F.col("mean_shift"))
+    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "feature_index")))
+
+
 def ablation(examples: DataFrame, features: Sequence[str], scorer: Scorer, threshold: float = 0.5, seed: int = 42) -> DataFrame:
     """Each feature set to its median, and dealt out anew: loss of F1, flipped decisions, moved scores, reliance and flags."""
     rows = scored_by(examples, features, scorer)
     base = with_rates(rows.agg(*confusion_aggs(threshold))).select(F.col("f1").alias("base_f1"))
     middle = wide_quantiles(examples, features, [0.5]).select(*[F.get(f"_q_{f}", F.lit(0)).alias(f"_m_{f}") for f in features])
     moments = rows.agg(*[F.stddev_pop(f).alias(f"_s_{f}") for f in features], *[F.corr(f, F.col("label").cast("double")).alias(f"_c_{f}") for f in features])
-    placed = with_totals(with_totals(ranked(rows, F.col("row_id").cast("double"), "row_id", (), "_place"), moments), middle)
-    dealt = ranked(examples.select("row_id", *[F.col(f).alias(f"_n_{f}") for f in features]), hash_uniform(F.col("row_id"), seed, "ablate"), "row_id", (), "_place").drop("row_id")
-    both = placed.join(dealt, "_place")
+    both = with_totals(with_totals(dealt(rows.select("row_id", "label", "p", *features), features, 1, seed, "ablate"), moments), middle)
     made = []
     for i, f in enumerate(features):
         swap = lambda new, f=f: scorer(*[new if g == f else F.col(g) for g in features])
-        for kind, new in (("neutral", F.col(f"_m_{f}")), ("permuted", F.col(f"_n_{f}"))):
+        for kind, new in (("neutral", F.col(f"_m_{f}")), ("permuted", F.get("_dealt", F.lit(0))[f])):
             made.append(F.struct(F.lit(i).alias("feature_index"), F.lit(f).alias("feature"), F.lit(kind).alias("kind"), swap(new).alias("q"), F.col(f"_s_{f}").alias("std"), F.col(f"_c_{f}").alias("corr")))
     long = both.select("label", F.col("p").alias("p0"), F.inline(F.array(*made))).withColumnRenamed("q", "p")
     flip, move = F.avg(((F.col("p") >= threshold) != (F.col("p0") >= threshold)).cast("double")), F.avg(F.abs(F.col("p") - F.col("p0")))

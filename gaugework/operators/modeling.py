@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.functions.columns import clip, flags, hash_uniform, sigmoid, with_rates
-from gaugework.operators.explain import permutation_importance
+from gaugework.operators.explain import permutation_drivers, permutation_reliance
 from gaugework.operators.metrics import calibration_error, confusion, confusion_aggs, probability_aggs, ranking_metrics
 from gaugework.operators.prep import calibration_split, class_weights, folds, order_split, quadratic, stratified_split
 from gaugework.operators.sweeps import optimal_threshold
@@ -255,8 +255,15 @@ def chronological_holdout(examples: DataFrame, features: Sequence[str], order: C
     return one.withColumns({f"{c}_delta": v for c, v in d.items()}).withColumn("baseline_gain", gain).withColumn("verdict", verdict)
 
 
+def holdout_reliance(examples: DataFrame, features: Sequence[str], order: Column, fraction: float = 0.6, repeats: int = 5, seed: int = 42) -> DataFrame:
+    """On which features a model of the earlier rows relies on the later ones."""
+    sided = order_split(examples, order, fraction)
+    model = linear_score(*fit_logistic(sided.where("side = 'reference'"), features))
+    return permutation_reliance(sided.where("side = 'current'"), features, model, repeats, seed)
+
+
 def shift_drivers(sided: DataFrame, features: Sequence[str], seed: int = 42) -> DataFrame:
-    """Features by what dealing them out anew costs a model that tells the sides apart."""
+    """Features by what dealing them out anew costs a model that tells the sides apart: AUC, accuracy, moved scores."""
     data = sided.select("row_id", (F.col("side") == "current").cast("int").alias("label"), *features)
-    return permutation_importance(data, features, linear_score(*fit_logistic(data, features, 1e-3)), 5, seed)
+    return permutation_drivers(data, features, linear_score(*fit_logistic(data, features, 1e-3)), seed)
 

@@ -25,18 +25,20 @@ def _swap(f: str, new: str) -> str:
     return S(*[new if g == f else g for g in X])
 
 
-_PL = "pl AS (SELECT *, row_number() OVER (ORDER BY row_id) AS place FROM e)"
 _F1 = lambda src: f"(SELECT f1 FROM (SELECT {rates_sql()} FROM (SELECT {confusion_sql()} FROM {src})))"
 
 
-def _dealt(name: str, salt: str) -> str:
-    return f"{name} AS (SELECT row_number() OVER (ORDER BY {uniform_sql('row_id', 42, repr(salt))}, row_id) AS place, x1 AS n_x1, x2 AS n_x2, x3 AS n_x3 FROM e)"
+def _dealt(salt: str, repeats: int) -> str:
+    """SQL of ``dealt``: pl has the rows in order of their hash, d<r> for each place the values that stand so many places on."""
+    shift = lambda r: f"(1 + floor({uniform_sql(repr(str(r)), 42, repr(salt + 'shift'))} * ((SELECT count(*) FROM e) - 1)))::BIGINT"
+    ring = [f"d{r} AS (SELECT (place - 1 - {shift(r)} + (SELECT count(*) FROM e)) % (SELECT count(*) FROM e) + 1 AS place, x1 AS n_x1, x2 AS n_x2, x3 AS n_x3 FROM pl)" for r in range(repeats)]
+    return ", ".join([f"pl AS (SELECT *, row_number() OVER (ORDER BY {uniform_sql('row_id', 42, repr(salt))}, row_id) AS place FROM e)", *ring])
 
 
-_PARTS = " UNION ALL ".join(f"SELECT {i} AS feature_index, '{f}' AS feature, {r} AS rep, label, {_swap(f, 'n_' + f)} AS p FROM pl JOIN d{r} USING (place)" for r in range(2) for i, f in enumerate(X))
+_PARTS = " UNION ALL ".join(f"SELECT {i} AS feature_index, '{f}' AS feature, {r} AS rep, label, {_swap(f, 'n_' + f)} AS p FROM pl JOIN d{r} USING (place)" for r in range(5) for i, f in enumerate(X))
 R.add(
-    "x1_permutation_importance", lambda s, d: X_.permutation_importance(E(s, d), X, scorer, 2),
-    f"WITH {_PL}, {_dealt('d0', 'perm0')}, {_dealt('d1', 'perm1')}, al AS ({_PARTS}), m AS (SELECT feature_index, feature, rep, {rates_sql()} FROM (SELECT feature_index, feature, rep, {confusion_sql()} FROM al GROUP BY 1, 2, 3)), b AS (SELECT avg(({S(*X)} >= 0.5)::INT = label) AS base FROM e) SELECT feature_index, feature, any_value(base) AS base_accuracy, avg(accuracy) AS permuted_accuracy, any_value(base) - avg(accuracy) AS importance FROM m, b GROUP BY 1, 2".replace("avg((", "avg(((").replace(")::INT = label)", ")::INT = label)::INT)"),
+    "x1_permutation_importance", lambda s, d: X_.permutation_importance(E(s, d), X, scorer),
+    f"WITH {_dealt('perm', 5)}, al AS ({_PARTS}), m AS (SELECT feature_index, feature, rep, {rates_sql()} FROM (SELECT feature_index, feature, rep, {confusion_sql()} FROM al GROUP BY 1, 2, 3)), b AS (SELECT avg(({S(*X)} >= 0.5)::INT = label) AS base FROM e) SELECT feature_index, feature, any_value(base) AS base_accuracy, avg(accuracy) AS permuted_accuracy, any_value(base) - avg(accuracy) AS importance FROM m, b GROUP BY 1, 2".replace("avg((", "avg(((").replace(")::INT = label)", ")::INT = label)::INT)"),
     "base_accuracy permuted_accuracy importance",
 )
 _AB = " UNION ALL ".join(
@@ -45,7 +47,7 @@ _AB = " UNION ALL ".join(
 _CORRS = " UNION ALL ".join(f"SELECT {i} AS feature_index, corr({f}, label) AS c, stddev_pop({f}) AS sd FROM e" for i, f in enumerate(X))
 R.add(
     "x2_ablation", lambda s, d: X_.ablation(E(s, d), X, scorer),
-    f"""WITH {_PL}, {_dealt('dl', 'ablate')}, md AS (SELECT median(x1) AS m_x1, median(x2) AS m_x2, median(x3) AS m_x3 FROM e), j AS (SELECT *, {S(*X)} AS p0 FROM (SELECT * EXCLUDE (p) FROM pl) JOIN dl USING (place), md), al AS ({_AB}), cc AS ({_CORRS}),
+    f"""WITH {_dealt('ablate', 1)}, md AS (SELECT median(x1) AS m_x1, median(x2) AS m_x2, median(x3) AS m_x3 FROM e), j AS (SELECT *, {S(*X)} AS p0 FROM (SELECT * EXCLUDE (p) FROM pl) JOIN d0 USING (place), md), al AS ({_AB}), cc AS ({_CORRS}),
  g AS (SELECT feature_index, feature, kind, {confusion_sql()}, avg(((p >= 0.5) <> (p0 >= 0.5))::INT) AS flip, avg(abs(p - p0)) AS move FROM al GROUP BY 1, 2, 3), m AS (SELECT *, {rates_sql()} FROM g), b AS (SELECT f1 AS bf FROM (SELECT {rates_sql()} FROM (SELECT {confusion_sql()} FROM (SELECT label, p0 AS p FROM j)))),
  o AS (SELECT m.feature_index, feature, any_value(bf) - max(f1) FILTER (kind = 'neutral') AS drop_neutral, any_value(bf) - max(f1) FILTER (kind = 'permuted') AS drop_permuted, max(flip) AS max_flip, max(move) AS max_shift, coalesce(any_value(c), 0.0) AS label_correlation, any_value(sd) AS sd FROM m JOIN cc USING (feature_index), b GROUP BY 1, 2)
  SELECT * EXCLUDE (sd), greatest(0.0, drop_neutral, drop_permuted) + 0.25 * max_flip + 0.1 * max_shift AS reliance, array_to_string(list_sort(list_filter([CASE WHEN greatest(drop_neutral, drop_permuted) >= 0.15 THEN 'f1_reliance' END, CASE WHEN max_flip >= 0.2 THEN 'decision_flips' END, CASE WHEN abs(label_correlation) >= 0.85 THEN 'label_proxy' END, CASE WHEN sd < 1e-8 THEN 'constant' END], lambda x: x IS NOT NULL)), ',') AS flags FROM o""",

@@ -44,6 +44,7 @@ R.queries["m11_distilled_scores"] = lambda s, d: E(s, d).select("row_id", M.line
 R.queries["c1_c2_calibration_repair"] = lambda s, d: M.calibration_repair(E(s, d))
 R.queries["d2_adversarial_validation"] = lambda s, d: M.adversarial_validation(order_split(E(s, d), _TIME()), X)
 R.queries["d2_shift_drivers"] = lambda s, d: M.shift_drivers(order_split(E(s, d), _TIME()).withColumn("x2", F.when(F.col("side") == "current", F.col("x2") + 30).otherwise(F.col("x2"))), X)
+R.queries["d3_holdout_reliance"] = lambda s, d: M.holdout_reliance(E(s, d), X, _TIME())
 R.queries["d3_chronological_holdout"] = lambda s, d: M.chronological_holdout(E(s, d), X, _TIME())
 
 
