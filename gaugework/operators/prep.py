@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gaugework.functions.columns import hash_uniform
 from gaugework.operators.profile import mutual_information
-from gaugework.plans.patterns import ranked, to_long, with_totals
+from gaugework.plans.patterns import MOST_BUCKETS, at_ranks, ranked, to_long, with_totals
 
 
 def fit_standardizer(train: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -109,13 +109,10 @@ def order_split(rows: DataFrame, order: Column, fraction: float = 0.5, least: in
 def even_sample(rows: DataFrame, order: Column, m: int) -> DataFrame:
     """m rows evenly spaced in order (all, if there are no more): places floor(i (n - 1) / (m - 1))."""
     n = rows.agg(F.count("*").alias("_n"))
-    out = with_totals(ranked(rows, order, "row_id", (), "_rank"), n).withColumn("_i", F.col("_rank") - 1)
-    if m < 2:
-        return out.where("_i = 0").drop("_rank", "_n", "_i")
-    # The place i belongs to the sample if some k in [0, m) has floor(k (n - 1) / (m - 1)) = i.
-    k = F.ceil(F.col("_i") * (m - 1) / F.greatest(F.col("_n") - 1, F.lit(1)) - 1e-9)
-    chosen = (F.col("_n") <= m) | ((k < m) & (F.floor(k * (F.col("_n") - 1) / (m - 1)) == F.col("_i")))
-    return out.where(chosen).drop("_rank", "_n", "_i")
+    place = F.floor(F.col("id") * (F.col("_n") - 1) / F.lit(max(m - 1, 1)))
+    wanted = with_totals(rows.sparkSession.range(max(m, 1)), n).select((place + 1).cast("long").alias("k")).distinct()
+    # Many more buckets than places, so that few of the rows are in one that is put in order.
+    return at_ranks(rows, order, wanted, buckets=min(16 * max(m, 4), MOST_BUCKETS)).drop("rank")
 
 
 def class_weights(examples: DataFrame) -> DataFrame:

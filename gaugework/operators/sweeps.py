@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugework.functions.columns import clip, hash_normal, hash_uniform, ratio, rates, with_rates
 from gaugework.plans import laws
-from gaugework.plans.patterns import grid, ranked, running_sums, score_steps, with_totals
+from gaugework.plans.patterns import at_ranks, grid, join_groups, running_sums, score_steps, with_totals
 from gaugework.plans.scratch import materialize
 
 CAPACITIES = (0.01, 0.02, 0.05, 0.10, 0.15, 0.20, 0.30, 0.40, 0.50, 0.75, 1.0)
@@ -79,24 +79,22 @@ def decision_curve(scored: DataFrame, current: float = 0.5, size: int = 101, eps
 def capacity_plan(scored: DataFrame, capacities: Sequence[float] = CAPACITIES, benefit: float = 5.0, cost_fp: float = 1.0, cost_action: float = 0.25, by: Sequence[str] = ()) -> DataFrame:
     """For each budget of top-scored rows: precision, recall captured, lift, utility, threshold floor, gain over random."""
     by = list(by)
-    order = ranked(scored, -F.col("p"), "row_id", by)
     totals = scored.groupBy(*by).agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("n_pos"))
     size = F.ceil(F.greatest(F.col("fraction"), 1 / F.col("n")) * F.col("n")).cast("long")
     small = scored.sparkSession.createDataFrame([(float(c),) for c in capacities], "fraction double")
     budgets = with_totals(_each_group(small, scored, by), totals, by).withColumn("k", size).groupBy(*by, "k").agg(F.first("n").alias("n"), F.first("n_pos").alias("n_pos"))
-    bounds = budgets.groupBy(*by).agg(F.array_sort(F.collect_set("k")).alias("ks"))
-    # Each row counts from the first budget that holds it on; running sums over the few budgets give the rest.
-    placed = with_totals(order, bounds, by).withColumn("k", F.get(F.filter("ks", lambda k: k >= F.col("rank")), F.lit(0)))
-    per = placed.where("k is not null").groupBy(*by, "k").agg(F.sum("label").cast("long").alias("_tp"), F.min("p").alias("_floor"))
-    upto = Window.partitionBy(*by).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    out = budgets.join(per, [*by, "k"], "left").withColumn("tp", F.sum(F.coalesce("_tp", F.lit(0))).over(upto).cast("long")).withColumn("threshold_floor", F.min("_floor").over(upto))
+    budgets = materialize(budgets, "budgets")  # a few rows for each group
+    # Only the buckets that hold the last row of a budget are put in order.
+    last = at_ranks(scored.select(*by, "row_id", "p", "label"), -F.col("p"), budgets.select(*by, "k"), "row_id", by, ["label"])
+    last = last.select(*by, F.col("rank").alias("k"), F.col("cum_label").cast("long").alias("tp"), F.col("p").alias("threshold_floor"))
+    out = join_groups(budgets, last, [*by, "k"])
     out = out.withColumn("fp", F.col("k") - F.col("tp")).withColumn("precision", F.col("tp") / F.col("k")).withColumn("recall", ratio(F.col("tp"), F.col("n_pos")))
     prevalence = F.col("n_pos") / F.col("n")
     out = out.withColumn("lift", ratio(F.col("precision"), prevalence)).withColumn("f1", ratio(2 * F.col("tp"), F.col("k") + F.col("n_pos")))
     out = out.withColumn("utility", benefit * F.col("tp") - cost_fp * F.col("fp") - cost_action * F.col("k"))
     chance = F.col("k") * prevalence
     out = out.withColumn("gain_over_random", F.col("utility") - (benefit * chance - cost_fp * (F.col("k") - chance) - cost_action * F.col("k")))
-    return out.withColumn("fraction", F.col("k") / F.col("n")).drop("_tp", "_floor", "n")
+    return out.withColumn("fraction", F.col("k") / F.col("n")).drop("n")
 
 
 def capacity_verdict(plan: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -80,6 +80,28 @@ def ranked(df: DataFrame, order: Column, tie: str = "row_id", by: Sequence[str]
     return out.drop("_bucket", "_before", "_order")
 
 
+def at_ranks(df: DataFrame, order: Column, wanted: DataFrame, tie: str = "row_id", by: Sequence[str] = (), sums: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+    """The rows of ``df`` whose ``rank`` in their group (1-based, by ``order``, then ``tie``) is in ``wanted`` (by..., k), with, for each
+    column c of ``sums``, ``cum_c``: its sum over the group's rows up to this one.
+
+    ``wanted`` is a table of few rows. Rows are counted and summed by bucket; only buckets that hold a wanted rank are put in
+    order, so no more is sorted than wanted ranks times a bucket."""
+    by = list(by)
+    df = with_bucket(df.withColumn("_order", order.cast("double")), F.col("_order"), by, buckets, tie)
+    per = df.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_s_{c}") for c in sums])
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    per = per.select(*by, "_bucket", "_n", upto("_n").alias("_before"), *[upto(f"_s_{c}").alias(f"_b_{c}") for c in sums])
+    ks = wanted.groupBy(*by).agg(F.collect_set(F.col("k").cast("long")).alias("_ks"))
+    held = F.filter("_ks", lambda k: (k > F.col("_before")) & (k <= F.col("_before") + F.col("_n")))
+    open_ = with_totals(per, ks, by).withColumn("_ks", held).where(F.size("_ks") > 0).drop("_n")
+    met = join_groups(df, open_, [*by, "_bucket"], strategy="broadcast")  # no more rows than wanted ranks
+    inside = Window.partitionBy(*by, "_bucket").orderBy("_order", tie)
+    running = inside.rowsBetween(Window.unboundedPreceding, 0)
+    met = met.withColumn("rank", (F.row_number().over(inside) + F.col("_before")).cast("long")).withColumns({f"cum_{c}": F.sum(c).over(running) + F.col(f"_b_{c}") for c in sums})
+    return met.where(F.array_contains("_ks", F.col("rank"))).drop("_bucket", "_before", "_order", "_ks", *[f"_b_{c}" for c in sums])
+
+
 def score_steps(scored: DataFrame, by: Sequence[str] = (), label: str = "label", p: str = "p", extra: DataFrame | None = None) -> DataFrame:
     """One row for each group and distinct score, highest first: ``t``, ``pos``, ``neg`` there, ``tp`` and ``fp`` (rows
     with a score of at least t), ``n_pos`` and ``n_neg`` of the group. ``extra`` adds thresholds (by..., t) without rows."""

@@ -12,7 +12,7 @@ from gaugework.operators.uncertainty import permutation_null
 from gaugework.plans import laws
 from gaugework.operators.metrics import ranking_metrics
 from gaugework.operators.modeling import model_queue
-from gaugework.plans.patterns import ranked, running_sums, with_bucket
+from gaugework.plans.patterns import at_ranks, ranked, running_sums, with_bucket
 
 
 def test_null_groups_stay(spark):
@@ -93,3 +93,13 @@ def test_model_queue_ranks_families(spark):
     out = {r["family"]: r for r in model_queue(df, ["a", "b"]).collect()}
     assert sorted(r["rank"] for r in out.values()) == [1, 2, 3] and sum(r["best"] for r in out.values()) == 1
     assert not out["logistic"]["best"] and out["forest"]["f1"] > out["logistic"]["f1"]
+
+
+def test_rows_at_ranks(spark):
+    df = spark.range(30_000).select(F.col("id").alias("row_id"), (F.col("id") % 3).alias("g"), F.when(F.col("id") % 5 < 2, 7.0).otherwise(F.pmod(F.col("id") * 7919, F.lit(1000)).cast("double")).alias("v"), (F.col("id") % 7).alias("w"))
+    wanted = spark.createDataFrame([(g, k) for g in range(3) for k in (1, 2, 777, 4001, 10_000, 10_001)], "g long, k long")
+    got = {tuple(r) for r in at_ranks(df, F.col("v"), wanted, "row_id", ["g"], ["w"]).select("g", "rank", "row_id", "cum_w").collect()}
+    whole = df.selectExpr("g", "row_number() over (partition by g order by v, row_id) as rank", "row_id", "sum(w) over (partition by g order by v, row_id rows unbounded preceding) as cum_w")
+    assert got == {tuple(r) for r in whole.where("rank in (1, 2, 777, 4001, 10000, 10001)").collect()} and len(got) == 15
+    one = at_ranks(df, -F.col("v"), spark.createDataFrame([(5,)], "k long")).select("row_id", "rank").collect()
+    assert [tuple(r) for r in one] == [tuple(r) for r in df.orderBy(F.desc("v"), "row_id").limit(5).selectExpr("row_id", "cast(5 as bigint)").collect()[4:]]
