@@ -177,6 +177,16 @@ def _nn(name: str, cond: str = "true", k: int = 5) -> str:
 
 
 R.add("n1_nearest", lambda s, d: N.nearest(vectors(s, d), "v", 5), f"WITH {VEC}, {_nn('nn')} SELECT * FROM nn", "distance", "")
+
+
+def event_vectors(s, d):
+    return E(s, d).select("row_id", "label", F.array(*X).alias("v"))
+
+
+_EVENT_VEC = "vv AS (SELECT row_id, label, [x1, x2, x3] AS v FROM e)"
+R.add("n1_nearest_events", lambda s, d: N.nearest(event_vectors(s, d), "v", 5, queries=event_vectors(s, d).where("row_id % 20 = 0")), f"WITH {_EVENT_VEC}, {_nn('nn', 'a.row_id % 20 = 0')} SELECT * FROM nn", "distance")
+R.queries["n1_pruning"] = lambda s, d: N.pruning(event_vectors(s, d), "v", 5, block=256)
+R.queries["n1_recall"] = lambda s, d: N.recall(vectors(s, d), "v", N.nearest_approximately(vectors(s, d), "v", 5), 5)
 HARD_SQL = """st AS (SELECT a.row_id, a.label, avg(b.label::DOUBLE) AS vote, avg((b.label <> a.label)::INT) AS opposite_share, avg(distance) AS mean_distance FROM nn JOIN vv a ON a.row_id = nn.row_id JOIN vv b ON b.row_id = other_id GROUP BY 1, 2),
  s2 AS (SELECT *, (vote >= 0.5)::INT AS predicted, CASE WHEN vote <= 0 OR vote >= 1 THEN 0.0 ELSE -vote * log2(vote) - (1 - vote) * log2(1 - vote) END AS entropy, (vote >= 0.5)::INT <> label AS wrong FROM st), s3 AS (SELECT *, least(greatest(0.5 * opposite_share + 0.25 * entropy + 0.15 * (1 - abs(2 * vote - 1)) + 0.1 * wrong::INT, 0.0), 1.0) AS hardness FROM s2)"""
 R.add(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ from gaugework.operators.prep import order_split
 from gaugework.operators.slices import error_summary
 from gaugework.plans.registry import Registry
 from gaugework.plans.scoring_queries import PROB_SQL
+from gaugework.plans.scratch import shared_dir
 from gaugework.plans.slice_queries import ERR_SQL
 from gaugework.plans.tables import FEATURES as X
 from gaugework.plans.tables import confusion_sql, rates_sql
@@ -137,13 +138,8 @@ R.queries["s9_evidence_report"] = lambda s, d: evidence_rows({"audit": P.audit(E
 
 
 def _folder(spark) -> str:
-    """A new folder for a stream's output: under the cluster's shared checkpoint folder, a local one only without it."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not shared:
-        return "file://" + tempfile.mkdtemp(prefix="gaugework-stream-")
-    import uuid
-
-    return f"{shared.rstrip('/')}/gaugework-stream-{uuid.uuid4().hex}"
+    """A new folder for a stream's output in the shared one."""
+    return f"{shared_dir(spark)}/gaugework-stream-{uuid.uuid4().hex}"
 
 
 def _event_stream(s, d) -> DataFrame:

@@ -45,12 +45,14 @@ def with_bucket(df: DataFrame, value: Column, by: Sequence[str], buckets: int |
     steps = F.array(*[F.lit(1 << k) for k in reversed(range((parts - 1).bit_length()))])
     joined = joined.withColumn("_at", F.aggregate(steps, F.lit(0), lambda at, k: F.when(F.get("_cuts", at + k - 1) <= F.col("_v"), at + k).otherwise(at)))
     at = F.coalesce(F.col("_at"), F.lit(0)).cast("long") * (parts + 1)
+    null = F.lit(-1).cast("long")
     if splits:
         crowded = (F.get("_cuts", F.col("_at") - 1) == F.get("_cuts", F.col("_at") - 2))
         place = F.least(F.floor((F.col(tie).cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * parts), F.lit(parts - 1))
         inside = F.when(F.col("_v") > F.get("_cuts", F.col("_at") - 1), F.lit(parts)).when(F.col("_hi") > F.col("_lo"), F.coalesce(place, F.lit(0))).otherwise(0)
         at = at + F.when(F.coalesce(crowded, F.lit(False)), inside).otherwise(0)
-    at = F.when(F.col("_v").isNull(), F.lit(-1).cast("long")).otherwise(at)
+        null = F.when(F.col("_hi") > F.col("_lo"), F.coalesce(place, F.lit(0))).otherwise(0).cast("long") - (parts + 1)
+    at = F.when(F.col("_v").isNull(), null).otherwise(at)
     return joined.withColumn("_bucket", at.cast("long")).drop("_cuts", "_lo", "_hi", "_v", "_at")
 
 

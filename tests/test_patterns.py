@@ -103,3 +103,12 @@ def test_rows_at_ranks(spark):
     assert got == {tuple(r) for r in whole.where("rank in (1, 2, 777, 4001, 10000, 10001)").collect()} and len(got) == 15
     one = at_ranks(df, -F.col("v"), spark.createDataFrame([(5,)], "k long")).select("row_id", "rank").collect()
     assert [tuple(r) for r in one] == [tuple(r) for r in df.orderBy(F.desc("v"), "row_id").limit(5).selectExpr("row_id", "cast(5 as bigint)").collect()[4:]]
+
+
+def test_null_orders_spread(spark):
+    df = spark.range(50_000).select(F.col("id").alias("row_id"), F.when(F.col("id") % 10 == 0, F.col("id").cast("double")).alias("v"))
+    sizes = [r["count"] for r in with_bucket(df, F.col("v"), [], tie="row_id").groupBy("_bucket").count().collect()]
+    assert max(sizes) <= 1500 and sum(sizes) == 50_000
+    got = ranked(df, F.col("v")).select("row_id", "rank")
+    want = df.selectExpr("row_id", "cast(row_number() over (order by v, row_id) as bigint) as rank")
+    assert got.exceptAll(want).count() == 0
