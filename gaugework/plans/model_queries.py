@@ -14,6 +14,7 @@ from gaugework.operators import scorecard as K
 from gaugework.operators.drift import replay_verdict, shadow_replay
 from gaugework.operators.metrics import calibration_bins, confusion_aggs, probability_aggs
 from gaugework.operators.prep import order_split
+from gaugework.operators.search import shared_search
 from gaugework.operators.slices import error_summary
 from gaugework.plans.registry import Registry
 from gaugework.plans.scoring_queries import PROB_SQL
@@ -37,6 +38,7 @@ R.queries["m3_train_pipeline"] = lambda s, d: M.train_pipeline(E(s, d), X)[1]
 R.queries["m4_cross_validation"] = lambda s, d: M.cross_validate(E(s, d), X)
 R.queries["m4_cross_validation_summary"] = lambda s, d: M.cross_validation_summary(M.cross_validate(E(s, d), X))
 R.queries["m5_m6_random_search"] = lambda s, d: M.random_search(E(s, d), X)
+R.queries["m5_shared_search"] = lambda s, d: shared_search(E(s, d), X)
 R.queries["m6_model_queue"] = lambda s, d: M.model_queue(E(s, d), X)
 R.queries["m7_learning_curve"] = lambda s, d: M.learning_curve(E(s, d), X)
 R.queries["m8_committee_stability"] = lambda s, d: M.committee_stability(M.committee(E(s, d), X))
