@@ -256,13 +256,30 @@ def _tail(run: str, at: int) -> bytes:
     return _decoded(body[: len(body) - (len(body) % 4 == 1)]) or b""
 
 
+def _unpacked_tail(run: str, at: int) -> bytes:
+    """What base64 from ``at`` holds if a compressed stream begins there, still packed; of a stream with a fault, what
+    unpacks before it. It is read in growing parts up to the fault, so that a place that only looks packed costs no more
+    than that. (The bytes as they are belong to the alignment of the place, which is read once.)"""
+    body, engine, lo, size, out = run.rstrip("="), zlib.decompressobj(47), at, 256, []
+    while lo < len(body) and not engine.eof and sum(map(len, out)) < PIECE:
+        part = body[lo : lo + size]
+        try:
+            out.append(engine.decompress(_decoded(part[: len(part) - (len(part) % 4 == 1)]) or b"", PIECE))
+            while engine.unconsumed_tail and sum(map(len, out)) < PIECE:
+                out.append(engine.decompress(engine.unconsumed_tail, PIECE))
+        except zlib.error:
+            return b"".join(out)
+        lo, size = lo + size, min(2 * size, PIECE)
+    return _tail(run, at)
+
+
 def _joined_kinds(run: str, whole: bool) -> set[tuple[str, int]]:
     """(kind, place) of secrets in base64 that begins after a joint of the run: a path, a name. The last place that
     shows the secret counts. ``whole``: the run from its start has been decoded."""
     places, packed = _later(run)
     found: set[tuple[str, int]] = set()
     for at in packed:
-        found.update((kind, at) for kind in _kinds(_tail(run, at)))
+        found.update((kind, at) for kind in _kinds(_unpacked_tail(run, at)))
     for starts in places:
         if whole and starts[0] % 4 == 0:
             continue
@@ -280,8 +297,10 @@ def _children(text: str) -> Iterator[str]:
         yield from _texts(raw)
     for m in _JOINED.finditer(text):
         places, packed = _later(m[0])
-        for at in [*packed, *(starts[0] for starts in places)]:
-            yield from _texts(_tail(m[0], at))
+        for at in packed:
+            yield from _texts(_unpacked_tail(m[0], at))
+        for starts in places:
+            yield from _texts(_tail(m[0], starts[0]))
 
 
 def _kinds(raw: bytes) -> set[str]:

@@ -107,3 +107,27 @@ def test_random_nestings():
         text = f"see ( {raw.decode()} ) there"
         kind, lo, hi = secret_scan.KINDS[which], 6, 6 + len(raw)
         assert (kind, lo, hi) in secret_scan.scan(text)[1], (case, text[:200])
+
+
+def test_work_grows_with_the_run(monkeypatch):
+    """Random bytes hold a place after a joint that looks compressed every 16,000 characters; none may read the whole rest."""
+    read = []
+    decoded = secret_scan._decoded
+    monkeypatch.setattr(secret_scan, "_decoded", lambda body: read.append(len(body)) or decoded(body))
+    total = []
+    for size in (1 << 17, 1 << 20):
+        read.clear()
+        assert secret_scan.scan(base64.b64encode(random.Random(size).randbytes(size)).decode())[1] == []
+        total.append(sum(read) / size)
+    assert total[1] < 1.2 * total[0]
+
+
+def test_streams_after_a_joint():
+    for pack in (gzip.compress, zlib.compress):
+        for raw in (pack(SECRET), pack(b"clean, " * 5000 + SECRET), pack(b"clean") + pack(SECRET), pack(pack(SECRET))):
+            run = base64.b64encode(raw).decode()
+            assert ("assign", 8, 8 + len(run)) in secret_scan.scan("path/to/" + run)[1]
+        noise = random.Random(6).randbytes(40_000)
+        whole = pack(noise + SECRET + noise)
+        broken = base64.b64encode(whole[:60_000] + b"\xff" * 90).decode()
+        assert ("assign", 8, 8 + len(broken)) in secret_scan.scan("path/to/" + broken)[1]
