@@ -159,8 +159,17 @@ R.add(
  SELECT strftime(ws, '%Y-%m-%d') AS window_start, segment, n, accuracy, f1, brier, log_loss FROM m WHERE ws + INTERVAL 1 DAY <= (SELECT max(ts) FROM e) - INTERVAL 10 MINUTE""",
     "accuracy f1 brier log_loss",
 )
-R.add(
-    "d5s_error_runs", lambda s, d: S.drain(S.error_runs(_event_stream(s, d)), _folder(s)),
-    """WITH o AS (SELECT segment, row_id, (p >= 0.5) <> (label = 1) AS wrong, row_number() OVER w AS place, lead(row_id) OVER w AS nxt FROM e WINDOW w AS (PARTITION BY segment ORDER BY ts, row_id)), i AS (SELECT *, place - row_number() OVER (PARTITION BY segment ORDER BY place) AS island FROM o WHERE wrong)
- SELECT segment, arg_min(row_id, place) AS start_row, count(*) AS length, last(nxt ORDER BY place) AS closed_by FROM i GROUP BY segment, island HAVING last(nxt ORDER BY place) IS NOT NULL""",
-)
+_CLOSED = """WITH o AS (SELECT segment, row_id, (p >= 0.5) <> (label = 1) AS wrong, row_number() OVER w AS place, lead(row_id) OVER w AS nxt FROM e WINDOW w AS (PARTITION BY segment ORDER BY ts, row_id)), i AS (SELECT *, place - row_number() OVER (PARTITION BY segment ORDER BY place) AS island FROM o WHERE wrong)
+ SELECT segment, arg_min(row_id, place) AS start_row, count(*) AS length, last(nxt ORDER BY place) AS closed_by FROM i GROUP BY segment, island HAVING last(nxt ORDER BY place) IS NOT NULL"""
+R.add("d5s_error_runs", lambda s, d: S.drain(S.error_runs(_event_stream(s, d)), _folder(s)), _CLOSED)
+
+
+def _late_runs(s, d) -> DataFrame:
+    """Runs from summaries of hours. A row without segment, a year after the last event, lets the watermark pass all hours."""
+    beat, e = _folder(s), E(s, d)
+    e.agg((F.max("ts") + F.expr("interval 1 year")).alias("ts")).select(F.lit(-1).cast("long").alias("row_id"), "ts", F.lit(None).cast("string").alias("segment"), F.lit(0).alias("label"), F.lit(0.0).alias("p")).write.parquet(beat)
+    rows = _event_stream(s, d).unionByName(S.table_stream(s, beat))
+    return S.joined_runs(S.drain(S.run_summaries(rows), _folder(s)).where("segment is not null"))
+
+
+R.add("d5s_late_error_runs", _late_runs, _CLOSED)
