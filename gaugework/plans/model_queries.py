@@ -11,6 +11,7 @@ from gaugework.functions.columns import with_rates
 from gaugework.operators import modeling as M
 from gaugework.operators import profile as P
 from gaugework.operators import scorecard as K
+from gaugework.operators import training as N
 from gaugework.operators.drift import replay_verdict, shadow_replay
 from gaugework.operators.metrics import calibration_bins, confusion_aggs, probability_aggs
 from gaugework.operators.prep import order_split
@@ -18,7 +19,7 @@ from gaugework.operators.search import shared_search
 from gaugework.operators.slices import error_summary
 from gaugework.plans.registry import Registry
 from gaugework.plans.scoring_queries import PROB_SQL
-from gaugework.plans.scratch import shared_dir
+from gaugework.plans.scratch import materialize, shared_dir
 from gaugework.plans.slice_queries import ERR_SQL
 from gaugework.plans.tables import FEATURES as X
 from gaugework.plans.tables import confusion_sql, rates_sql
@@ -34,6 +35,19 @@ R.add(
     "SELECT row_id, 1 / (1 + exp(-z)) AS p, 1 / (1 + exp(-least(greatest(z * 1.2 + 0.1, -40.0), 40.0))) AS calibrated FROM (SELECT row_id, least(greatest(0.04 * x1 - 0.01 * x2 + 0.02 * x3 - 1.5, -40.0), 40.0) AS z FROM e)", "p calibrated",
 )
 R.queries["m2_logistic_scores"] = lambda s, d: E(s, d).select("row_id", M.linear_score(*M.fit_logistic(E(s, d), X))(*[F.col(x) for x in X]).alias("p"))
+R.queries["m3_training_outputs"] = lambda s, d: N.outputs(N.train(E(s, d), X), X)
+
+
+def _training_checks(s, d, oversample=None) -> DataFrame:
+    """The checks of a pipeline whose stages were written out and read back."""
+    made = N.train(E(s, d), X, oversample=oversample)
+    return N.checks(made, X, reread=materialize(made.stages, "stages"))
+
+
+_CLAIMS = [*(f"optimum logistic {x}" for x in ("intercept", *X)), "optimum platt slope", "optimum platt offset", "threshold has the best F1", *(f"sets cover at {a}" for a in (0.05, 0.1, 0.2, 0.3)), "stages reread score alike"]
+_CLAIMS_SQL = f"SELECT unnest({_CLAIMS}) AS claim, count(*) > 0 AS ok FROM e"
+R.add("m3_training_checks", _training_checks, _CLAIMS_SQL)
+R.add("m3_oversampled_training_checks", lambda s, d: _training_checks(s, d, 0.9), _CLAIMS_SQL)
 R.queries["m3_train_pipeline"] = lambda s, d: M.train_pipeline(E(s, d), X)[1]
 R.queries["m4_cross_validation"] = lambda s, d: M.cross_validate(E(s, d), X)
 R.queries["m4_cross_validation_summary"] = lambda s, d: M.cross_validation_summary(M.cross_validate(E(s, d), X))
