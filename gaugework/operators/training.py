@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.functions.columns import clip
@@ -99,26 +99,52 @@ def outputs(trained: Trained, features: Sequence[str], replicates: int = 1000, r
     return out
 
 
-def slopes(trained: Trained, features: Sequence[str], l2: float = 1e-4) -> DataFrame:
-    """(stage, parameter, slope): the derivative of each fit's loss by each of its parameters, 0 at the optimum.
+def logistic_slopes(rows: DataFrame, features: Sequence[str], w: Sequence[float], b: float, l2: float = 1e-4, weight: Column | None = None) -> DataFrame:
+    """One row: the derivative of the mean log loss of ``label`` (a class, or a share of it) by the intercept and by each weight, 0
+    at the optimum. A weight has the penalty l2 w^2 s^2 / 2, s the feature's sample deviation; both go by row weight."""
+    weight = F.lit(1.0) if weight is None else weight
+    error = linear_score(w, b)(*[F.col(f) for f in features]) - F.col("label")
+    mean = lambda x: F.sum(weight * x) / F.sum(weight)
+    variance = lambda x: (mean(x * x) - mean(x) ** 2) * F.count("*") / (F.count("*") - 1)
+    return rows.agg(mean(error).alias("intercept"), *[(mean(error * F.col(f)) + l2 * v * variance(F.col(f))).alias(f) for f, v in zip(features, w, strict=True)])
+
+
+def platt_slopes(scored: DataFrame, a: float, c: float) -> DataFrame:
+    """One row: the derivative of the mean log loss by slope and offset of a calibration."""
+    q = clip(F.col("p"), 1e-7, 1 - 1e-7)
+    z = F.log(q / (1 - q))
+    miss = 1 / (1 + F.exp(-(z * a + c))) - F.col("label")
+    return scored.agg(F.avg(miss * z).alias("slope"), F.avg(miss).alias("offset"))
+
+
+def tall(stage: str, one: DataFrame) -> DataFrame:
+    """(stage, parameter, slope) of one row of slopes."""
+    return one.select(F.lit(stage).alias("stage"), F.inline(F.array(*[F.struct(F.lit(n).alias("parameter"), F.col(n).alias("slope")) for n in one.columns])))
+
 
-    The weighted mean log loss has the penalty l2 w^2 s^2 / 2 for each weight, s the feature's sample deviation (by weight); the
-    calibration has none worth counting."""
+def at_optimum(slopes: DataFrame, most: float = 1e-4) -> DataFrame:
+    """(claim, ok) of slopes."""
+    return slopes.select(F.concat_ws(" ", F.lit("optimum"), "stage", "parameter").alias("claim"), (F.abs("slope") < most).alias("ok"))
+
+
+def block_means(calibration: DataFrame, mapped: DataFrame) -> DataFrame:
+    """(claim, ok) of an isotonic map of the rows (row_id, label, p) that it was fitted on: a higher score never gets less, and
+    each value is the mean label of the rows that get it."""
+    both = calibration.select("row_id", "label", F.col("p").alias("score")).join(mapped.select("row_id", F.round("p", 9).alias("value")), "row_id")
+    blocks = both.groupBy("value").agg(F.avg("label").alias("mean"), F.min("score").alias("low"), F.max("score").alias("high"))
+    rises = blocks.withColumn("_before", F.lag("high").over(Window.orderBy("value")))  # a row for each block, never more than the distinct scores
+    return rises.agg(F.bool_and(F.abs(F.col("mean") - F.col("value")) < 1e-6).alias("a"), F.bool_and(F.coalesce(F.col("_before") < F.col("low"), F.lit(True))).alias("b")).select(F.inline(F.array(F.struct(F.lit("values are block means").alias("claim"), F.col("a").alias("ok")), F.struct(F.lit("values rise with scores").alias("claim"), F.col("b").alias("ok")))))
+
+
+def slopes(trained: Trained, features: Sequence[str], l2: float = 1e-4) -> DataFrame:
+    """(stage, parameter, slope) of the two fits of a pipeline; the calibration's penalty is too small to count."""
     rows = [tuple(r) for r in trained.stages.select("stage", "feature_index", "feature", "first", "second").collect()]
     w = {r[2]: r[3] for r in rows if r[0] == "weight"}
     b = next(r[3] for r in rows if r[0] == "intercept")
     a, c = next(r[3:5] for r in rows if r[0] == "platt")
-    error = linear_score([w[f] for f in features], b)(*[F.col(f) for f in features]) - F.col("label")
-    mean = lambda x: F.sum(F.col("weight") * x) / F.sum("weight")
-    deviation = lambda x: (mean(x * x) - mean(x) ** 2) * F.count("*") / (F.count("*") - 1)
-    fit = trained.fitted.agg(mean(error).alias("intercept"), *[(mean(error * F.col(f)) + l2 * w[f] * deviation(F.col(f))).alias(f) for f in features])
     raw = _scorer([r for r in rows if r[0] != "platt"])(*[F.col(f) for f in features])
-    q = clip(raw, 1e-7, 1 - 1e-7)
-    z = F.log(q / (1 - q))
-    miss = 1 / (1 + F.exp(-(z * a + c))) - F.col("label")
-    platt = trained.scored.where("split = 'calibration'").agg(F.avg(miss * z).alias("slope"), F.avg(miss).alias("offset"))
-    tall = lambda stage, df: df.select(F.lit(stage).alias("stage"), F.inline(F.array(*[F.struct(F.lit(n).alias("parameter"), F.col(n).alias("slope")) for n in df.columns])))
-    return tall("logistic", fit).unionByName(tall("platt", platt))
+    fit = logistic_slopes(trained.fitted, features, [w[f] for f in features], b, l2, F.col("weight"))
+    return tall("logistic", fit).unionByName(tall("platt", platt_slopes(trained.scored.where("split = 'calibration'").withColumn("p", raw), a, c)))
 
 
 def checks(trained: Trained, features: Sequence[str], l2: float = 1e-4, reread: DataFrame | None = None) -> DataFrame:
@@ -126,7 +152,7 @@ def checks(trained: Trained, features: Sequence[str], l2: float = 1e-4, reread:
     as often as they promise; ``reread`` stages that score as the pipeline did, to 1e-12."""
     scorer, t = load(trained.stages if reread is None else reread)
     cal, val = (trained.scored.where(F.col("split") == s).drop("split") for s in ("calibration", "validation"))
-    out = slopes(trained, features, l2).select(F.concat_ws(" ", F.lit("optimum"), "stage", "parameter").alias("claim"), (F.abs("slope") < 1e-4).alias("ok"))
+    out = at_optimum(slopes(trained, features, l2))
     best = with_totals(confusion(val, t).select("f1"), optimal_threshold(val).select(F.col("f1").alias("_best")))
     parts = [
         best.select(F.lit("threshold has the best F1").alias("claim"), (F.abs(F.col("f1") - F.col("_best")) < 1e-9).alias("ok")),

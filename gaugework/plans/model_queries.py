@@ -48,6 +48,20 @@ _CLAIMS = [*(f"optimum logistic {x}" for x in ("intercept", *X)), "optimum platt
 _CLAIMS_SQL = f"SELECT unnest({_CLAIMS}) AS claim, count(*) > 0 AS ok FROM e"
 R.add("m3_training_checks", _training_checks, _CLAIMS_SQL)
 R.add("m3_oversampled_training_checks", lambda s, d: _training_checks(s, d, 0.9), _CLAIMS_SQL)
+_claimed = lambda *claims: f"SELECT unnest({[*claims]}) AS claim, count(*) > 0 AS ok FROM e"
+_PARAMETERS = ("intercept", *X)
+R.add("m2_logistic_optimum", lambda s, d: N.at_optimum(N.tall("logistic", N.logistic_slopes(E(s, d), X, *M.fit_logistic(E(s, d), X)))), _claimed(*(f"optimum logistic {x}" for x in _PARAMETERS)))
+
+
+def _distilled_optimum(s, d) -> DataFrame:
+    """A student's targets are half label, half teacher."""
+    e = E(s, d)
+    return N.at_optimum(N.tall("student", N.logistic_slopes(e.withColumn("label", 0.5 * F.col("label") + 0.5 * F.col("p")), X, *M.distill(e, X, F.col("p")))))
+
+
+R.add("m11_distilled_optimum", _distilled_optimum, _claimed(*(f"optimum student {x}" for x in _PARAMETERS)))
+R.add("c1_platt_optimum", lambda s, d: N.at_optimum(N.tall("platt", N.platt_slopes(E(s, d), *M.fit_platt(E(s, d))))), _claimed("optimum platt slope", "optimum platt offset"))
+R.add("c2_isotonic_blocks", lambda s, d: N.block_means(E(s, d), M.isotonic(E(s, d), E(s, d))), _claimed("values are block means", "values rise with scores"))
 R.queries["m3_train_pipeline"] = lambda s, d: M.train_pipeline(E(s, d), X)[1]
 R.queries["m4_cross_validation"] = lambda s, d: M.cross_validate(E(s, d), X)
 R.queries["m4_cross_validation_summary"] = lambda s, d: M.cross_validation_summary(M.cross_validate(E(s, d), X))

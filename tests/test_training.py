@@ -73,3 +73,15 @@ def test_oversampled(examples):
     sizes = {r["label"]: r["count"] for r in trained.fitted.groupBy("label").count().collect()}
     assert sizes[0] == sizes[1] and trained.fitted.where("row_id < 0 and label = 0").count() == 0
     assert all(r["ok"] for r in N.checks(trained, X).collect())
+
+
+def test_block_means_and_slopes_can_fail(spark, examples):
+    from gaugework.operators import modeling as M
+
+    scored = examples.withColumn("p", F.round(F.col("x1") / 12, 1))
+    mapped = M.isotonic(scored, scored)
+    assert all(r["ok"] for r in N.block_means(scored, mapped).collect())
+    assert not any(r["ok"] for r in N.block_means(scored, mapped.withColumn("p", 1 - F.col("p"))).collect())
+    w, b = M.fit_logistic(examples, X)
+    assert all(r["ok"] for r in N.at_optimum(N.tall("fit", N.logistic_slopes(examples, X, w, b))).collect())
+    assert not any(r["ok"] for r in N.at_optimum(N.tall("fit", N.logistic_slopes(examples, X, w, b + 0.1))).collect())
