@@ -69,3 +69,57 @@ def test_recall_of_the_approximate_search(spark):
     df = spark.createDataFrame(data, SCHEMA)
     r = N.recall(df, "v", N.nearest_approximately(df, "v", 5, bucket_length=2.0, tables=8), 5).first()
     assert r["queries"] == 40 and r["neighbours"] == 200 and r["recall"] >= 0.9
+
+
+@pytest.mark.parametrize("width", [2, 12])
+def test_one_search_gives_the_lists_of_every_class(spark, width):
+    data = [*made(width, 160, width), (1000, None, [1.0] * width)]
+    df = spark.createDataFrame(data, SCHEMA)
+    known = [r for r in data if r[1] is not None]
+    whole, same, opposite = N.nearest_by_class(df, "v", 3)
+    assert {tuple(r) for r in whole.collect()} == brute(data, 3)
+    assert {tuple(r) for r in same.collect()} == brute(known, 3, "same")
+    assert {tuple(r) for r in opposite.collect()} == brute(known, 3, "opposite")
+
+
+def test_rows_are_sent_as_often_in_larger_tables(spark):
+    """In many dimensions nothing is pruned: each row has to go to a number of tasks that does not grow with the table."""
+    rng = np.random.default_rng(1)
+    sent = []
+    for n in (200, 1600):
+        df = spark.createDataFrame([(i, 0, [float(x) for x in rng.normal(0, 1, 12)]) for i in range(n)], SCHEMA)
+        points, members = N._points(df, "v", 5, None)
+        sent.append(N._crossed(points, points, {}, N.SIDES).count() / n)
+    assert sent[0] == sent[1] == 2 * N.SIDES
+
+
+def test_approximate_neighbours_are_those_that_share_a_bucket(spark):
+    """Against all pairs that share a bucket of a table, with a crowd of equal rows, for some queries and for all rows."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    data = [r for r in made(4, 150, 3) if r[2] is not None]
+    df = spark.createDataFrame(data, SCHEMA)
+    h = df.select("row_id", array_to_vector("v").alias("features"))
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=6.0, numHashTables=2, seed=42).fit(h)
+    hashes = {r["row_id"]: [x[0] for x in r["hashes"]] for r in model.transform(h).collect()}
+    assert len({tuple(x) for x in hashes.values()}) > 3
+    want = set()
+    for a, _, x in data:
+        near = sorted((round(float(np.sqrt(((np.array(x) - np.array(y)) ** 2).sum())), 9), b) for b, _, y in data if a != b and any(i == j for i, j in zip(hashes[a], hashes[b], strict=True)))
+        want |= {(a, b, dist, r + 1, True) for r, (dist, b) in enumerate(near[:4]) if dist < 9}
+    got = N.nearest_approximately(df, "v", 4, bucket_length=6.0, tables=2, radius=9.0)
+    assert {tuple(r) for r in got.collect()} == want
+    some = N.nearest_approximately(df, "v", 4, bucket_length=6.0, tables=2, radius=9.0, queries=df.where("row_id % 20 = 0"))
+    assert {tuple(r) for r in some.collect()} == {r for r in want if r[0] % 20 == 0}
+    assert N.nearest_approximately(df.limit(0), "v", 4).count() == 0
+
+
+def test_pruning_counts_the_pairs_of_the_search(spark):
+    df = spark.createDataFrame(made(2, 300, 2), SCHEMA)
+    points, members = N._points(df, "v", 3, None)
+    n = points.count()
+    one = N.pruning(df, "v", 3, block=10_000).first()
+    assert (one["points"], one["pairs"], one["pruned"]) == (n, n * n, 0.0)
+    many = N.pruning(df, "v", 3, block=8).first()
+    assert 0 < many["pairs"] < n * n and abs(many["pruned"] - (1 - many["pairs"] / n / n)) < 1e-12
