@@ -23,11 +23,13 @@ from gaugework.llm.sequence_tagger import Tagger, new_tagger, train
 KINDS = ("email", "ip", "card", "phone")
 #: Documents whose spans are learned (those with the smallest hash of their id), and windows taken from them at most.
 TRAINING_DOCS, TRAINING_WINDOWS = 20_000, 2_000
-#: Characters of a window, and from one window to the next: a span of half a window is whole in one.
+#: Characters of a window, and from one window to the next: a span of half a window is whole in one, a longer one in a wider window.
 WIDTH, STRIDE = 96, 48
 #: Windows that are tagged in one step, and characters of text that are looked at in one.
 BATCH, BLOCK = 1024, 1 << 20
 SIZE, EPOCHS = 16, 8
+#: Digits of the longest number of any kind (a card's).
+MOST_DIGITS = 19
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -270,11 +272,24 @@ def _windows(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return text, STRIDE * (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count))
 
 
+def _cued(x: np.ndarray) -> np.ndarray:
+    """Places of ``x`` (symbols) with an @, the letters of dot, or those of at after an opening bracket: any address that
+    ``plausible`` passes has one of these."""
+    letter = lambda c: 6 + ord(c) - 97
+    out = (x == 32) | (x == 32 + _MARKS.index("＠"))
+    out[:-2] |= (x[:-2] == letter("d")) & (x[1:-1] == letter("o")) & (x[2:] == letter("t"))
+    opened = np.isin(x, [32 + _MARKS.index(c) for c in "[({<"])
+    opened[1:] |= opened[:-1] & np.isin(x[1:], [_BLANK, _LINE])
+    out[1:-1] |= opened[:-2] & (x[1:-1] == letter("a")) & (x[2:] == letter("t"))
+    return out
+
+
 def tagged(model: Tagger, texts: list[str]) -> list[list[tuple[float, str, int, int]]]:
     """(score, kind, start, end) of the spans of all windows of each text that can hold a span.
 
-    A span that the exact check passes has 4 digits or more, an @, or the word dot; windows without these are left out. Spans at
-    a window's edge inside the text are left to the next window.
+    A span that the exact check passes has 4 digits or more or a cue (``_cued``), so windows with neither hold none whole. Spans at
+    a window's edge inside the text are left to the window beside it; those too long for that are tagged again in windows
+    twice as wide, until they are whole, but for numbers that have more digits than any kind.
     """
     out: list[list] = [[] for _ in texts]
     size = np.array([len(t) for t in texts], dtype=np.int64)
@@ -285,25 +300,35 @@ def tagged(model: Tagger, texts: list[str]) -> list[list[tuple[float, str, int,
     text, start = _windows(size)
     if not len(text):
         return out
-    sign = np.concatenate([[0], np.cumsum(x == _DIGITS)])
-    dot = np.zeros(len(x), dtype=bool)
-    d, o, t = (6 + ord(c) - 97 for c in "dot")
-    dot[:-2] = (x[:-2] == d) & (x[1:-1] == o) & (x[2:] == t)
-    sure = np.concatenate([[0], np.cumsum(dot | (x == 32) | (x == 32 + _MARKS.index("＠")))])
+    sign, sure = (np.concatenate([[0], np.cumsum(c)]) for c in (x == _DIGITS, _cued(x)))
     at = lo[text] + start
     use = np.flatnonzero((sign[at + WIDTH] - sign[at] >= 4) | (sure[at + WIDTH] > sure[at]))
-    for a in range(0, len(use), BATCH):
-        own = use[a : a + BATCH]
-        tags, em = model.decode(x[at[own, None] + np.arange(WIDTH)])
-        for r, first in zip(*np.nonzero(tags % 2 == 1), strict=True):
-            inside = tags[r, first + 1 :] != tags[r, first] + 1
-            end = first + 1 + (int(inside.argmax()) if inside.any() else len(inside))
-            where, n = start[own[r]], size[text[own[r]]]
-            if (first == 0 and where > 0) or (end == WIDTH and where + WIDTH < n) or where + end > n:
-                continue
-            part = em[r, first:end]
-            score = float((part[np.arange(len(part)), tags[r, first:end]] - part[:, 0]).sum())
-            out[text[own[r]]].append((score, KINDS[tags[r, first] // 2], int(where + first), int(where + end)))
+    text, start, width = text[use], start[use], WIDTH
+    while len(text):
+        wider: set[tuple[int, int]] = set()
+        step = max(1, BATCH * WIDTH // width)
+        for a in range(0, len(text), step):
+            own, where = text[a : a + step], start[a : a + step]
+            place = where[:, None] + np.arange(width)
+            inside = place < size[own, None]
+            tags, em = model.decode(np.where(inside, x[np.where(inside, lo[own, None] + place, 0)], np.uint8(_PAD)))
+            for r, first in zip(*np.nonzero(tags % 2 == 1), strict=True):
+                other = tags[r, first + 1 :] != tags[r, first] + 1
+                end = first + 1 + (int(other.argmax()) if other.any() else len(other))
+                t, kind, begin, stop = int(own[r]), KINDS[tags[r, first] // 2], int(where[r] + first), int(where[r] + end)
+                left, right = first == 0 and where[r] > 0, end == width and where[r] + width < size[t]
+                if left or right:
+                    # The window beside this one, half a width on, does not hold it either.
+                    long = (left and end >= width // 2) or (right and first <= width // 2)
+                    if long and (kind == "email" or sign[lo[t] + stop] - sign[lo[t] + begin] <= MOST_DIGITS):
+                        cell = begin // width  # windows of twice the width start at every width; the span starts before ``begin``
+                        wider |= {(t, c * width) for c in range(max(0, cell - 2), cell + 1)}
+                elif stop <= size[t]:
+                    part = em[r, first:end]
+                    score = float((part[np.arange(len(part)), tags[r, first:end]] - part[:, 0]).sum())
+                    out[t].append((score, kind, begin, stop))
+        again, width = sorted(wider), 2 * width
+        text, start = (np.array([w[i] for w in again], dtype=np.int64) for i in range(2))
     return out
 
 

@@ -164,3 +164,36 @@ def test_the_query(spark, table, tmp_path):
         assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in base) for k in pii.KINDS]
         assert r["base_sha256"] == brute.sha(",".join(f"{k}:{a}:{b}" for k, a, b in base))
         assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(r["spans"].split(","))
+
+
+class _Always:
+    """A tagger that marks the runs of symbols that are no blanks, each as one email, to see which windows are looked at."""
+
+    def __init__(self):
+        self.widths = []
+
+    def decode(self, x):
+        self.widths.append(x.shape[1])
+        word = ~np.isin(x, [0, 4, 5])
+        tags = np.where(word, 2, 0).astype(np.int8)
+        tags[:, 0][word[:, 0]] = 1
+        tags[:, 1:][word[:, 1:] & ~word[:, :-1]] = 1
+        return tags, np.zeros((*x.shape, 9), np.float32) + np.arange(9)
+
+
+def test_windows_with_a_bracketed_at_are_looked_at():
+    """Before, windows without an @, 4 digits or the word dot were left out, though the exact check passes these."""
+    for form in ("maria (at) host.org", "maria[at]host.org", "maria {AT} host.org", "maria<at>host.org"):
+        assert pii.plausible("email", form)
+        text = "word " * 60 + form + " word" * 60
+        assert any(lo <= 300 < hi for _, _, lo, hi in pii.tagged(_Always(), [text])[0]), form
+    assert pii.tagged(_Always(), ["word " * 200]) == [[]]
+
+
+@pytest.mark.parametrize("size", [40, 60, 95, 96, 97, 150, 400, 1500])
+@pytest.mark.parametrize("before", [0, 10, 47, 48, 95, 200])
+def test_spans_longer_than_a_window_are_whole(size, before):
+    span = "a" * (size // 2) + "@" + "b" * (size - size // 2 - 1)
+    text = "x " * (before // 2) + span + " y" * 100
+    at = text.index(span)
+    assert (at, at + size) in {(lo, hi) for _, _, lo, hi in pii.tagged(_Always(), [text, "other text @ here"])[0]}
