@@ -123,3 +123,25 @@ def test_pruning_counts_the_pairs_of_the_search(spark):
     assert (one["points"], one["pairs"], one["pruned"]) == (n, n * n, 0.0)
     many = N.pruning(df, "v", 3, block=8).first()
     assert 0 < many["pairs"] < n * n and abs(many["pruned"] - (1 - many["pairs"] / n / n)) < 1e-12
+
+
+def test_work_of_a_query_does_not_grow_with_the_table(spark, monkeypatch):
+    """The number of cells is bounded; what a query is compared with must not grow with what a cell holds."""
+    monkeypatch.setattr(N, "MOST_CELLS", 4)
+    rng = np.random.default_rng(7)
+    per_query = []
+    for n in (1000, 8000):
+        df = spark.createDataFrame([(i, 0, [float(x) for x in rng.uniform(0, 100, 2)]) for i in range(n)], SCHEMA)
+        r = N.pruning(df, "v", 3, block=64).first()
+        assert r["cells"] == 4
+        per_query.append(r["pairs"] / r["queries"])
+    assert per_query[1] < 1.5 * per_query[0]
+
+
+@pytest.mark.parametrize("kind", [None, "same", "opposite"])
+def test_partners_in_other_cells(spark, kind):
+    """Labels that lie apart, so that a cell has no partner of the other one; far from the origin; with a row that is at no distance."""
+    rng = np.random.default_rng(11)
+    data = [(i, i % 2, [1e6 + float(x) for x in np.round(rng.normal(60 * (i % 2), 3, 3), 2)]) for i in range(200)]
+    df = spark.createDataFrame([*data, (900, 0, [1.0, float("nan"), 0.0])], SCHEMA)
+    assert {tuple(r) for r in N.nearest(df, "v", 4, kind, block=16).collect()} == brute(data, 4, kind)
