@@ -45,3 +45,21 @@ def test_history(rows):
     assert key == sorted(key)
     f1 = {k: max(r["f1"] for r in out if r["feature_map"] == k) for k in ("linear", "quadratic")}
     assert f1["quadratic"] > f1["linear"] > 0.5
+
+
+def test_few_passes_reach_the_optimum_over_all_rows(rows, monkeypatch):
+    """Fewer start rows than rows: the gradient over all of them vanishes, after a few passes."""
+    monkeypatch.setattr(search, "START", 600)
+    made, one = [], search._sum_over
+    monkeypatch.setattr(search, "_sum_over", lambda *a: made.append(1) or one(*a))
+    x = rows.select(F.array(*"abc").alias("x"), "label", hash_uniform(F.col("row_id"), 42, "share").alias("u"))
+    trials = [t for t in search.space() if t.l2 in (1e-6, 1e-3) and t.feature_map != "rff"]
+    fitted = search.fit_all(x, trials)
+    assert len(made) <= 16
+    data = x.collect()
+    v, y, u = np.array([r["x"] for r in data]), np.array([r["label"] for r in data], dtype=float), np.array([r["u"] for r in data])
+    for t, w in fitted.items():
+        m, own = search.mapped(v, (t.feature_map, t.components, t.gamma), 42), u < t.share
+        weight = np.where(y == 1, (own.sum() / 2 / (own & (y == 1)).sum()) ** t.balance, (own.sum() / 2 / (own & (y == 0)).sum()) ** t.balance) * own
+        slope = m.T @ (weight * (1 / (1 + np.exp(-m @ w)) - y)) / weight.sum() + t.l2 * np.array([*w[:-1], 0.0])
+        assert np.abs(slope).max() < 1e-5
