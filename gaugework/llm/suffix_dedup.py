@@ -189,7 +189,7 @@ def dedup_substrings(docs: DataFrame, least: int = 200, keep_first: bool = True)
     other columns are left out.
     """
     docs = repeats.keyed(docs)
-    ranges = repeats.repeated_ranges(docs, _extract(least), _resolve(least, keep_first), str.encode, bytes, least, across=False, write_segments=True)
+    ranges = repeats.repeated_ranges(docs, _extract(least), _resolve(least, keep_first), str.encode, bytes, bytes, least, across=False, write_segments=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
