@@ -152,6 +152,18 @@ def test_counterfactual_flips(spark):
     assert got["p0"] < 0.5 <= got["p"]
 
 
+def test_counterfactual_tries_are_hashed_not_sorted(spark):
+    df = spark.createDataFrame([(0, -2.0, 0.0), (0, -2.0, 0.0), (1, 0.1, 0.0), (2, None, 0.0), (3, -90.0, 0.0)], "row_id long, x1 double, x2 double")
+    std = spark.createDataFrame([(0, "x1", 0.0, 1.0), (1, "x2", 0.0, 1.0)], "feature_index int, feature string, mean double, scale double")
+    got = X.counterfactuals(df, std, ["x1", "x2"], lambda a, b: 1 / (1 + F.exp(-(a + b))))
+    tried = [line for line in got._jdf.queryExecution().sparkPlan().toString().splitlines() if "partial_min(" in line]
+    assert "HashAggregate" in tried[-1]  # the one over the tries
+    made = {r["row_id"]: r for r in got.collect()}
+    assert got.count() == 4 and made[2]["p0"] is None and made[2]["move"] is None and made[3]["move"] is None
+    assert (made[0]["p"] >= 0.5) and (made[1]["p"] < 0.5)
+    assert made[1]["radius"] in [0.03 * (4 / 0.03) ** (i / 17) for i in range(18)]
+
+
 def test_canaries(spark):
     probes = spark.createDataFrame([(0, 0.1, 0), (1, 0.9, 1), (2, 0.45, None)], "row_id long, p double, expected_label int")
     status = spark.createDataFrame([(i, "pass") for i in range(3)], "row_id long, status string")
