@@ -145,3 +145,34 @@ def test_partners_in_other_cells(spark, kind):
     data = [(i, i % 2, [1e6 + float(x) for x in np.round(rng.normal(60 * (i % 2), 3, 3), 2)]) for i in range(200)]
     df = spark.createDataFrame([*data, (900, 0, [1.0, float("nan"), 0.0])], SCHEMA)
     assert {tuple(r) for r in N.nearest(df, "v", 4, kind, block=16).collect()} == brute(data, 4, kind)
+
+
+@pytest.mark.parametrize("kind", [None, "same", "opposite"])
+def test_all_pairs_far_from_the_origin(spark, kind):
+    data = [(i, label, v and [x + 1e9 for x in v]) for i, label, v in made(11, 200, 10)]
+    df = spark.createDataFrame(data, SCHEMA).repartition(3)
+    assert {tuple(r) for r in N.nearest(df, "v", 4, kind).collect()} == brute(data, 4, kind)
+
+
+def test_tiles_of_products_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(N, "TILE", 16)
+    data = [(i, label if i % 7 else 2, v) for i, label, v in made(12, 240, 9)] + [(1000, 1, [float("inf")] * 9), (1001, 0, [float("nan")] * 9)]
+    rng = np.random.default_rng(1)
+    huge, tight = [], []
+    for i, label, v in data[:120]:
+        huge.append((i, label, v and [x * 1e17 for x in v]))
+        tight.append((i, label, v and (np.array([50.0] * 9) * (i % 2) + 1e-5 * rng.standard_normal(9)).tolist()))
+    chunk = lambda rows, kind: N._Chunk(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.int32), np.array([r[2] for r in rows]), 4, kind)
+    for rows in (data, huge, tight):
+        rows = [r for r in rows if r[2] is not None]
+        finite = [r for r in rows if np.isfinite(r[2]).all()]
+        for kind in (None, "same", "opposite"):
+            c = chunk(rows, kind)
+            for lo in range(0, len(rows), 50):
+                some = rows[lo : lo + 50]
+                c.meet(np.array([r[1] for r in some], dtype=np.int32), np.array([r[2] for r in some]), N.pa.array([[r[0]] for r in some], N.pa.list_(N.pa.int64())))
+            got = set()
+            for x, (i, _, v) in enumerate(rows):
+                found = sorted((d, o) for d, o in zip(c.best[0].distance[x], c.best[0].id[x], strict=True) if np.isfinite(d) and o != i)[:4]
+                got |= {(i, int(o), float(d), n + 1) for n, (d, o) in enumerate(found)}
+            assert got == brute(finite, 4, kind)
