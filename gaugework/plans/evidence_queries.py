@@ -36,7 +36,9 @@ def evidence(s, d, rules: Sequence[tuple]) -> DataFrame:
     """The evidence of events and vectors that ``rules`` read, written out once."""
     parts = []
     for entity, measures in _measures(rules).items():
-        reports = {m.report: _QUERIES[m.report](s, d) for m in measures}
+        names = {m.report for m in measures}
+        reports = explain_queries.neighbour_reports(s, d) if names >= {"n2_hardness", "n3_prototypes"} else {}
+        reports |= {name: _QUERIES[name](s, d) for name in dict.fromkeys(m.report for m in measures) if name not in reports}
         if "t1_threshold_picks" in {m.unless for m in measures}:
             reports["t1_threshold_picks"] = _QUERIES["t1_threshold_picks"](s, d)
         parts.append(V.catalogue(reports, entity, measures, [r for r in _EXPECTED[entity] if V.MISSING[r] not in {(x.source, x.metric) for x in measures} and r not in reports and r != "t1_threshold_picks"]))

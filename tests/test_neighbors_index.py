@@ -176,3 +176,17 @@ def test_tiles_of_products_equal_brute_force(spark, monkeypatch):
                 found = sorted((d, o) for d, o in zip(c.best[0].distance[x], c.best[0].id[x], strict=True) if np.isfinite(d) and o != i)[:4]
                 got |= {(i, int(o), float(d), n + 1) for n, (d, o) in enumerate(found)}
             assert got == brute(finite, 4, kind)
+
+
+def test_hardness_and_prototypes_are_made_from_one_search(spark, monkeypatch):
+    from gaugework.operators import scorecard as K
+    from gaugework.plans import evidence_queries as V
+    from gaugework.plans import explain_queries as Q
+
+    sf_dir, searches, search = "/root/testdata/sf0.001", [], N._all_pairs
+    monkeypatch.setattr(N, "_all_pairs", lambda *a: searches.append(1) or search(*a))
+    rules = [r for r in K.TRIAGE_RULES if r[1] in ("hardness", "prototype")]
+    V.evidence(spark, sf_dir, rules).count()
+    assert len(searches) == 1
+    for name, df in Q.neighbour_reports(spark, sf_dir).items():
+        assert sorted(map(tuple, df.collect())) == sorted(map(tuple, Q.R.queries[name](spark, sf_dir).collect()))
