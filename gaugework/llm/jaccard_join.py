@@ -28,9 +28,13 @@ CLASSES = 1 << 16
 #: Shingles of the sets of one cluster's bucket, and those that bitmaps of one bucket stand for; a bucket with more is
 #: dealt into blocks, and each pair of blocks is a bucket.
 BUCKET_SHINGLES, BITMAP_SHINGLES = 4_000_000, 100_000_000
+#: Bytes of text whose sets are made at once: few, so that arrays of their words stay in a core's cache.
+SET_BYTES = 1 << 18
 #: Bitmaps show one of so many tokens.
 SAMPLE = 4
 FANOUT = 16
+#: Sets of a bucket that are compared pair by pair, at most.
+FEW = 24
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,8 +51,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
             whole[have] = whole[have] * np.uint64(0xFF51AFD7ED558CCD) + words.hash[words.bounds[short[have]] + i]
         h = np.concatenate([h, mixed(whole + counts[short].astype(np.uint64) + np.uint64(k << 32))])
         row = np.concatenate([row, short])
-    order = np.lexsort((h, row))
-    row, h = row[order], h[order]
+        order = np.argsort(row, kind="stable")
+        row, h = row[order], h[order]
+    at = np.searchsorted(row, np.arange(len(offsets))).tolist()
+    for a, b in zip(at, at[1:], strict=False):  # rows are in order; a row's numbers alone are sorted without moving others
+        h[a:b].sort()
     new = np.ones(len(h), dtype=bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
     return row[new], h[new]
@@ -57,7 +64,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
 def _blocks_of(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Row range, and the shingles of its rows: row, hash, and where each row's begin."""
     data, offsets = utf8_rows(batch.column("text"))
-    for a, b in blocks(offsets):
+    for a, b in blocks(offsets, SET_BYTES):
         row, h = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
         yield a, b, row, h, np.searchsorted(row, np.arange(b - a + 1))
 
@@ -99,7 +106,7 @@ def _sets(crowd, k: int, percent: int):
                 n = np.diff(cut)
                 running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h ^ np.uint64(0x51ED270B27B4F3CF)))])
                 code = mixed(running[cut[1:]] - running[cut[:-1]] + n.astype(np.uint64))
-                order = np.lexsort((h, level[_class(h)], row))
+                order = np.argsort((row << 8) | level[_class(h)], kind="stable")  # each row's are in order of their hash
                 take = np.arange(len(h)) - cut[row] < prefix_length(n, percent)[row]
                 ends = np.concatenate([[0], np.cumsum(np.where(n > 0, prefix_length(n, percent), 0))]).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(h[order][take])))
@@ -248,9 +255,34 @@ class SignatureTree:
                 stack.append((level - 1, p[once], q[once]))
 
 
+def _few_groups(bitmaps: list[np.ndarray], size: list[int], percent: int) -> Components:
+    """What ``possible_groups`` gives for a few sets, pair by pair: most buckets are so small that a tree costs more than it saves."""
+    together = Components(len(bitmaps))
+    length, bits = [64 * len(b) for b in bitmaps], [int.from_bytes(b.tobytes(), "little") for b in bitmaps]
+    folded = [(b & ((1 << n // 2) - 1)) | (b >> n // 2) for n, b in zip(length, bits, strict=True)]
+    hidden, hidden_folded = [[n - b.bit_count() for n, b in zip(size, form, strict=True)] for form in (bits, folded)]
+    for j in range(1, len(size)):
+        for i in range(j - 1, -1, -1):
+            if 100 * size[i] < percent * size[j]:
+                break  # sizes are in order
+            if together.find(i) == together.find(j):
+                continue
+            if length[i] == length[j]:
+                overlap = (bits[i] & bits[j]).bit_count() + min(hidden[i], hidden[j])
+            elif 2 * length[i] == length[j]:
+                overlap = (bits[i] & folded[j]).bit_count() + min(hidden[i], hidden_folded[j])
+            else:
+                continue
+            if (100 + percent) * overlap >= percent * (size[i] + size[j]):
+                together.join(i, j)
+    return together
+
+
 def possible_groups(bitmaps: list[np.ndarray], size: np.ndarray, percent: int) -> Components:
     """Sets (in order of size) grouped by pairs that their bitmaps do not rule out. Similar sets have bitmaps of equal
     lengths or one twice the other's, which is then folded; each length is a tree with those of twice the length."""
+    if len(bitmaps) <= FEW:
+        return _few_groups(bitmaps, size.tolist(), percent)
     together = Components(len(bitmaps))
     length = np.array([len(b) for b in bitmaps])
     for n in np.unique(length):
